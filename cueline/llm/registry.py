@@ -45,3 +45,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cueline.llm.exact_dedup import exact_dedup
 
     return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op4_bpe_round_trip")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from cueline.llm.bpe import bpe_digests
+
+    return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
