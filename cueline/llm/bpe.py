@@ -84,10 +84,10 @@ def merge_rounds(v: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndar
     ids[ends - 1] = v.last[symbols[ends - 1]]
     word = np.repeat(np.arange(len(words)), lengths)
     done_ids, done_words = [], []
+    ranks = np.full(len(ids), NONE)  # of each symbol and the next one of its word
+    inside = np.flatnonzero(word[1:] == word[:-1])
+    ranks[inside] = v.pair_ranks(ids[inside], ids[inside + 1])
     while len(ids):
-        ranks = np.full(len(ids), NONE)
-        inside = np.flatnonzero(word[1:] == word[:-1])
-        ranks[inside] = v.pair_ranks(ids[inside], ids[inside + 1])
         starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
         sizes = np.diff(np.r_[starts, len(ids)])
         lowest = np.minimum.reduceat(ranks, starts)
@@ -107,7 +107,13 @@ def merge_rounds(v: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndar
         ids[hit] = v.made[ranks[hit]]
         keep = np.ones(len(ids), bool)
         keep[hit + 1] = False
-        ids, word = ids[keep], word[keep]
+        ids, word, ranks = ids[keep], word[keep], ranks[keep]
+        hit -= np.arange(len(hit))
+        changed = np.r_[hit, hit[hit > 0] - 1]  # only pairs with a merged symbol have new ranks
+        ranks[changed] = NONE
+        changed = changed[changed < len(ids) - 1]
+        changed = changed[word[changed] == word[changed + 1]]
+        ranks[changed] = v.pair_ranks(ids[changed], ids[changed + 1])
     if not done_ids:
         return np.empty(0, np.int32), np.zeros(len(words) + 1, np.int64)
     ids, word = np.concatenate(done_ids), np.concatenate(done_words)
@@ -118,7 +124,7 @@ def merge_rounds(v: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndar
 class Encoder:
     """Encodes batches of texts; keeps the tokens of up to `limit` words."""
 
-    def __init__(self, v: Vocabulary, limit: int = 300_000) -> None:
+    def __init__(self, v: Vocabulary, limit: int = 150_000) -> None:
         import regex
 
         self.v, self.limit = v, limit
@@ -230,7 +236,7 @@ def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
         for whole in batches:
-            for batch in parts(whole):
+            for batch in parts(whole, 2 << 20):
                 ids, starts = encoder.encode([x or "" for x in batch.column(1).to_pylist()])
                 lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "ids"])
@@ -262,7 +268,7 @@ def bpe_round_trip(docs: DataFrame, path: str) -> DataFrame:
         v = shared.value
         encoder = Encoder(v)
         for whole in batches:
-            for batch in parts(whole):
+            for batch in parts(whole, 2 << 20):
                 ids, starts = encoder.encode([x or "" for x in batch.column(1).to_pylist()])
                 lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))
                 plain, at = ids.tolist(), starts.tolist()
