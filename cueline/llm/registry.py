@@ -54,3 +54,17 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cueline.llm.bpe import bpe_digests
 
     return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op8_quality_rules")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cueline.llm.quality_rules import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op2_source_mixing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cueline.llm.source_mixing import mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents"))
