@@ -86,3 +86,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cueline.llm.warc import warc_round_trip
 
     return warc_round_trip(table(spark, sf_dir, "pages"))
+
+
+@query("op6_secret_scan")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cueline.llm.secret_scan import find_secrets, span_digests
+
+    return span_digests(find_secrets(table(spark, sf_dir, "documents")))
