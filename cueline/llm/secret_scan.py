@@ -130,6 +130,8 @@ def tokens(texts: list[bytes]) -> Tokens:
 #: Blocks of the weight table: shape, own word, previous word, the one before it, next word, previous shape, file. The row after them keeps weight 0.
 BLOCKS = (SHAPES, WORDS, WORDS, WORDS, WORDS, SHAPES, FILES)
 NOTHING = sum(BLOCKS)
+#: What a feature of each block counts: identities less than shapes, which also hold for words that training did not see.
+SCALE = np.r_[np.repeat((1.0, 0.5, 0.5, 0.5, 0.5, 1.0, 0.5), BLOCKS), 0.0][:, None]
 
 
 def features(t: Tokens) -> np.ndarray:
@@ -203,7 +205,7 @@ def best_labels(field: Field, scores: np.ndarray, text: np.ndarray) -> np.ndarra
     return viterbi_in_step(field, scores, at[first], np.diff(np.r_[first, len(at)]))
 
 
-def fit_field(rows: np.ndarray, labels: np.ndarray, rounds: int = 80, rate: float = 0.3, decay: float = 1e-4) -> Field:
+def fit_field(rows: np.ndarray, labels: np.ndarray, rounds: int = 120, rate: float = 0.3, decay: float = 1e-4) -> Field:
     """Maximum conditional likelihood. rows: windows x tokens x features, -1 where a window is shorter; labels alike."""
     n, steps, k = rows.shape
     there = labels >= 0
@@ -217,7 +219,7 @@ def fit_field(rows: np.ndarray, labels: np.ndarray, rounds: int = 80, rate: floa
     used = np.setdiff1d(flat, [NOTHING])
     squares, move_squares = np.full((NOTHING + 1, 3), 1e-8), np.full((3, 3), 1e-8)
     for _ in range(rounds):
-        e = np.where(there[..., None], weights[np.where(there[..., None], rows, 0)].sum(2), 0.0)
+        e = np.where(there[..., None], (weights * SCALE)[np.where(there[..., None], rows, 0)].sum(2), 0.0)
         a, b = np.zeros((n, steps, 3)), np.zeros((n, steps, 3))
         a[:, 0] = e[:, 0]
         for s in range(1, steps):
@@ -240,7 +242,7 @@ def fit_field(rows: np.ndarray, labels: np.ndarray, rounds: int = 80, rate: floa
         move_squares += move_gradient**2
         weights[used] += (rate * gradient / np.sqrt(squares))[used]
         moves += rate * move_gradient / np.sqrt(move_squares)
-    return Field(weights.astype(np.float32), moves.astype(np.float32))
+    return Field((weights * SCALE).astype(np.float32), moves.astype(np.float32))
 
 
 def weak_labels(text: str, raw: bytes, t: Tokens) -> np.ndarray:
