@@ -93,3 +93,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cueline.llm.secret_scan import find_secrets, span_digests
 
     return span_digests(find_secrets(table(spark, sf_dir, "documents")))
+
+
+@query("op7_language_id")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cueline.llm.language_id import held_out_language_id
+
+    return held_out_language_id(table(spark, sf_dir, "documents"))
