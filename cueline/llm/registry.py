@@ -100,3 +100,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cueline.llm.language_id import held_out_language_id
 
     return held_out_language_id(table(spark, sf_dir, "documents"))
+
+
+@query("op10_quality_classifier")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cueline.llm.quality_classifier import held_out_quality
+
+    return held_out_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
