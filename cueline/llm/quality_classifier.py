@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +29,10 @@ _UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _DIGITS = b"0123456789"
 _SIGNS = b"#*$%&|<>{}[]\\^~@_=+/"
 _STOPS = b".,;:!?"
-#: Edges of the bins of each statistic: words, letters a word, shares of capitals, digits, signs, stops and distinct words, words a line, repeated lines, stated size.
+#: Edges of the bins of each statistic: words, letters a word, shares of capitals, digits, signs, stops and distinct words, words a line, repeated lines, stated size, words like the one before.
 EDGES = [
     np.array([1, 5, 20, 50, 150, 500, 2000]), np.array([2, 3, 4, 5, 6, 8, 12]), np.array([0.005, 0.02, 0.05, 0.1, 0.3, 0.6]), np.array([0.001, 0.005, 0.02, 0.05, 0.2]), np.array([0.001, 0.01, 0.03, 0.1, 0.3]),
-    np.array([0.005, 0.01, 0.02, 0.04, 0.1]), np.array([0.05, 0.15, 0.3, 0.5, 0.7, 0.9]), np.array([3, 8, 20, 60, 200]), np.array([0.001, 0.05, 0.2, 0.5]), np.array([0, 30, 150, 500, 2000, 10000]),
+    np.array([0.005, 0.01, 0.02, 0.04, 0.1]), np.array([0.05, 0.15, 0.3, 0.5, 0.7, 0.9]), np.array([3, 8, 20, 60, 200]), np.array([0.001, 0.05, 0.2, 0.5]), np.array([0, 30, 150, 500, 2000, 10000]), np.array([0.01, 0.05, 0.2, 0.5]),
 ]
 OFFSETS = np.cumsum([0, *(len(e) + 1 for e in EDGES)])
 
@@ -41,7 +42,7 @@ def statistics(text: bytes, words: list[bytes], distinct: int, stated: int | Non
     n, size = len(words), max(1, len(text))
     share = lambda chars: 1 - len(text.translate(None, chars)) / size if text else 0.0
     lines = [x for x in text.split(b"\n") if x]
-    values = [n, size / max(1, n), share(_UPPER), share(_DIGITS), share(_SIGNS), share(_STOPS), distinct / max(1, n), n / max(1, len(lines)), 1 - len(set(lines)) / len(lines) if lines else 0.0, -1 if stated is None else stated]
+    values = [n, size / max(1, n), share(_UPPER), share(_DIGITS), share(_SIGNS), share(_STOPS), distinct / max(1, n), n / max(1, len(lines)), 1 - len(set(lines)) / len(lines) if lines else 0.0, -1 if stated is None else stated, sum(map(eq, words, words[1:])) / max(1, n)]
     return np.array([np.searchsorted(e, v, side="right") for e, v in zip(EDGES, values, strict=True)]) + OFFSETS[:-1]
 
 
