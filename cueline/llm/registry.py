@@ -107,3 +107,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cueline.llm.quality_classifier import held_out_quality
 
     return held_out_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_near_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cueline.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
