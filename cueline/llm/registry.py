@@ -114,3 +114,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cueline.llm.near_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op9_lm_score")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cueline.llm.lm_score import held_out_scores
+
+    return held_out_scores(table(spark, sf_dir, "documents"))
