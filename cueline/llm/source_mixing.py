@@ -111,3 +111,14 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), seed: i
     taken = f"""aggregate(CASE WHEN size > 0 THEN sequence(at div block, (at + size - 1) div block) ELSE array() END, 0L,
         (s, b) -> s + CASE WHEN {rank} < picked THEN {inside.format(words="block")} WHEN {rank} = picked THEN {inside.format(words="part")} ELSE 0L END)"""
     return placed.select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.expr(taken)).alias("taken"))
+
+
+def repeat_by_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), seed: int = 7) -> DataFrame:
+    """The rows as often as the mix takes them: once for each whole pass, and once more with the chance of the part that is
+    taken beyond, decided by a hash of the id. Documents stay whole; per source the words come to its target in the mean."""
+    mixed = mix_sources(docs, weights, seed)
+    chance = F.pmod(F.xxhash64(F.lit(seed + 3), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    taken = mixed.where("taken > 0").groupBy("doc_id").agg(F.max(F.col("taken") / F.col("size")).alias("share"))
+    taken = taken.select(F.col("doc_id").alias("mixed_id__"), (F.floor("share") + (chance < F.col("share") - F.floor("share")).cast("int")).cast("int").alias("copies__")).where("copies__ > 0")
+    joined = docs.join(taken, F.col("doc_id").cast("long").eqNullSafe(F.col("mixed_id__")))
+    return joined.withColumn("copy__", F.explode(F.sequence(F.lit(1), F.col("copies__")))).select(*[F.col(f"`{c}`") for c in docs.columns])
