@@ -124,7 +124,7 @@ def merge_rounds(v: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndar
 class Encoder:
     """Encodes batches of texts; keeps the tokens of up to `limit` words."""
 
-    def __init__(self, v: Vocabulary, limit: int = 150_000) -> None:
+    def __init__(self, v: Vocabulary, limit: int = 120_000) -> None:
         import regex
 
         self.v, self.limit = v, limit
@@ -236,7 +236,7 @@ def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
         for whole in batches:
-            for batch in parts(whole, 2 << 20):
+            for batch in parts(whole):
                 ids, starts = encoder.encode([x or "" for x in batch.column(1).to_pylist()])
                 lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "ids"])
@@ -268,7 +268,7 @@ def bpe_round_trip(docs: DataFrame, path: str) -> DataFrame:
         v = shared.value
         encoder = Encoder(v)
         for whole in batches:
-            for batch in parts(whole, 2 << 20):
+            for batch in parts(whole):
                 ids, starts = encoder.encode([x or "" for x in batch.column(1).to_pylist()])
                 lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))
                 plain, at = ids.tolist(), starts.tolist()

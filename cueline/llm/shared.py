@@ -19,10 +19,12 @@ U64 = np.uint64
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package even where only the driver has it on its path."""
+    """Let Python workers import this package even where only the driver has it on its path, and give them batches of bounded size."""
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("67108864b", "64m"):  # its default; long texts would make workers large
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -60,7 +62,7 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
 class WordHash(dict):
     """64-bit hashes of words, each computed once while it is held; emptied when it holds too many."""
 
-    def __init__(self, limit: int = 400_000) -> None:
+    def __init__(self, limit: int = 150_000) -> None:
         super().__init__()
         self.limit = limit
 
@@ -96,7 +98,7 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mixed(total)
 
 
-def parts(batch: pa.RecordBatch, max_bytes: int = 16 << 20, name: str = "text") -> Iterator[pa.RecordBatch]:
+def parts(batch: pa.RecordBatch, max_bytes: int = 1 << 20, name: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts stay near max_bytes together, one row at least."""
     column = batch.column(batch.schema.get_field_index(name))
     import pyarrow.compute as pc
