@@ -79,7 +79,7 @@ def block_words(total: int, blocks: int) -> int:
     return max(1, -(-total // blocks))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), seed: int = 7, blocks: int = 1 << 20, shard_words: int = 1 << 21) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), seed: int = 7, blocks: int = 1 << 20, shard_words: int = 1 << 17) -> DataFrame:
     """doc_id, size, source_size, target, taken of each document; see the module's text.
 
     blocks: into how many blocks the corpus is cut, up to rounding. shard_words: words of a shard, about; at least 64 blocks.
