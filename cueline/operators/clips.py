@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueline.functions.ranking import cosine
-from cueline.functions.text import for_alignment, indel_ratio, length_ratio, word_count
+from cueline.functions.text import for_alignment, word_count
 from cueline.operators.folds import merge_segments
 from cueline.params import DEFAULT, Params
 
@@ -40,15 +40,15 @@ def caption_alignment(en: DataFrame, zh: DataFrame, keys: list[str], tolerance_m
     sizes = en.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).join(zh.groupBy(*keys).agg(F.count(F.lit(1)).alias("m")), keys, "left")
     order = lambda t: F.row_number().over(Window.partitionBy(*keys).orderBy("idx"))
     e = en.withColumn("place", order(en)).join(sizes, keys).select(*keys, "idx", "place", "start_ms", (F.col("n") == F.coalesce("m", F.lit(0))).alias("same"))
-    z = zh.withColumn("place", order(zh)).select(*keys, "place", F.col("start_ms").alias("zs"), F.col("end_ms").alias("ze"), F.col("text").alias("zt"))
-    by_place = e.where("same").join(z, [*keys, "place"]).select(*keys, "idx", F.col("zt").alias("zh_text"))
+    z = zh.withColumn("place", order(zh)).select(*keys, F.col("place").alias("zp"), F.col("start_ms").alias("zs"), F.col("end_ms").alias("ze"), F.col("text").alias("zt"))
+    by_place = e.where("same").join(z.withColumnRenamed("zp", "place"), [*keys, "place"]).select(*keys, "idx", F.col("zt").alias("zh_text"))
     width = max(tolerance_ms, 1)
     rest = e.where("NOT same")
     held = rest.withColumn("bin", F.floor(F.col("start_ms") / width)).join(z.withColumn("bin", F.explode(_bins(F.col("zs"), F.col("ze"), width))), [*keys, "bin"])
-    held = held.where("zs <= start_ms AND start_ms <= ze").groupBy(*keys, "idx").agg(F.min(F.struct("place", "zt")).alias("held"))
+    held = held.where("zs <= start_ms AND start_ms <= ze").groupBy(*keys, "idx").agg(F.min(F.struct("zp", "zt")).alias("held"))
     off = F.abs(F.col("zs") - F.col("start_ms"))
     near = rest.withColumn("bin", F.explode(_bins(F.col("start_ms") - tolerance_ms, F.col("start_ms") + tolerance_ms, width))).join(z.withColumn("bin", F.floor(F.col("zs") / width)), [*keys, "bin"])
-    near = near.where(off <= tolerance_ms).groupBy(*keys, "idx").agg(F.min(F.struct(off.alias("off"), "place", "zt")).alias("near"))
+    near = near.where(off <= tolerance_ms).groupBy(*keys, "idx").agg(F.min(F.struct(off.alias("off"), "zp", "zt")).alias("near"))
     fitted = rest.join(held, [*keys, "idx"], "left").join(near, [*keys, "idx"], "left").select(*keys, "idx", F.coalesce(F.when(F.col("held.zt") != "", F.col("held.zt")), F.col("near.zt"), F.lit("")).alias("zh_text"))
     return by_place.unionByName(fitted)
 
@@ -56,27 +56,51 @@ def caption_alignment(en: DataFrame, zh: DataFrame, keys: list[str], tolerance_m
 def window_candidates(nodes: DataFrame, segments: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Nodes and the segments of their episode that meet the window around the node's time.
 
-    nodes: EPISODE, node_id, en_text, start_time; segments: EPISODE, seq_index, text, start_time, end_time. Joined by bins as wide as the window.
+    nodes: EPISODE, node_id, start_time and more; segments: EPISODE, seq_index, start_time, end_time and more, which come back as seg_*.
+    Joined by bins as wide as the window.
     """
     width = params.window
     low = F.greatest(F.lit(0.0), F.col("start_time") - width)
     n = nodes.withColumn("low", low).withColumn("high", F.col("start_time") + width).withColumn("bin", F.explode(_bins(F.col("low"), F.col("high"), width)))
-    s = segments.select(*EPISODE, "seq_index", F.col("text").alias("segment_text"), F.col("start_time").alias("seg_start"), F.col("end_time").alias("seg_end"), *([F.col("embedding").alias("seg_embedding")] if "embedding" in segments.columns else []))
+    renamed = {"start_time": "seg_start", "end_time": "seg_end", "seq_index": "seq_index"}
+    s = segments.select(*EPISODE, *[F.col(c).alias(renamed.get(c, f"seg_{c}")) for c in segments.columns if c not in EPISODE])
     s = s.withColumn("bin", F.explode(_bins(F.col("seg_start"), F.col("seg_end"), width)))
     first = F.greatest(F.floor(F.col("low") / width), F.floor(F.col("seg_start") / width))  # a pair that shares several bins counts in its first
     return n.join(s, [*EPISODE, "bin"]).where((F.col("seg_start") < F.col("high")) & (F.col("seg_end") > F.col("low")) & (F.col("bin") == first)).drop("bin", "low", "high")
 
 
+def indel_ratios(left: pd.Series, right: pd.Series) -> pd.Series:
+    """As indel_ratio(), for many pairs of long texts: the common subsequence by bits, one step a character."""
+
+    def one(a: str, b: str) -> float:
+        if not a or not b:
+            return 1.0 if a == b else 0.0
+        places: dict[str, int] = {}
+        for k, c in enumerate(a):
+            places[c] = places.get(c, 0) | 1 << k
+        full = (1 << len(a)) - 1
+        rows = full
+        for c in b:
+            both = rows & places.get(c, 0)
+            rows = ((rows + both) | (rows - both)) & full
+        return 2.0 * (len(a) - rows.bit_count()) / (len(a) + len(b))
+
+    return pd.Series([one(a, b) for a, b in zip(left, right, strict=True)])
+
+
 def align(nodes: DataFrame, segments: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Nodes of each episode, in the order of their times, each with the free segment that fits best.
 
-    Similarities of all candidates are computed as columns; only the choice, which depends on earlier choices, runs per episode.
+    nodes: EPISODE, node_id, en_text, start_time and perhaps embedding; segments: EPISODE, seq_index, text, times and perhaps embedding. Texts are
+    normalised before they meet and candidates scored in bulk; only the choice, which depends on earlier ones, runs per episode.
     """
-    pairs = window_candidates(nodes, segments, params)
-    a, b = for_alignment(F.col("en_text")), for_alignment(F.col("segment_text"))
-    pairs = pairs.withColumn("a", a).withColumn("b", b).where(length_ratio(F.col("a"), F.col("b")) >= params.min_length_ratio)
+    more = lambda t: ["embedding"] if "embedding" in t.columns else []
+    n = nodes.select(*EPISODE, "node_id", "start_time", for_alignment(F.col("en_text")).alias("norm"), *more(nodes)).withColumn("words", word_count(F.col("norm")))
+    s = segments.select(*EPISODE, "seq_index", "start_time", "end_time", "text", for_alignment(F.col("text")).alias("norm"), *more(segments)).withColumn("words", word_count(F.col("norm")))
+    pairs = window_candidates(n, s, params)
+    fits = (F.col("words") > 0) & (F.col("seg_words") > 0) & (F.least("words", "seg_words") / F.greatest("words", "seg_words", F.lit(1)) >= params.min_length_ratio)
     cos = cosine(F.col("embedding"), F.col("seg_embedding")) if {"embedding", "seg_embedding"} <= set(pairs.columns) else F.lit(0.0)
-    scored = pairs.select(*EPISODE, "node_id", F.col("start_time").alias("hint"), "seq_index", "seg_start", "seg_end", "segment_text", word_count(F.col("a")).alias("words"), indel_ratio(F.col("a"), F.col("b")).alias("text_similarity"), cos.alias("embedding_similarity"))
+    scored = pairs.where(fits).select(*EPISODE, "node_id", F.col("start_time").alias("hint"), "seq_index", "seg_start", "seg_end", F.col("seg_text").alias("segment_text"), "words", F.pandas_udf(indel_ratios, "double")("norm", "seg_norm").alias("text_similarity"), cos.alias("embedding_similarity"))
     p = params
     names = [*EPISODE, "node_id", "seq_index", "whisper_start", "whisper_end", "confidence", "text_similarity", "embedding_similarity", "score_margin", "align_step", "whisper_text"]
 
@@ -194,9 +218,9 @@ def fallback_spans(nodes: DataFrame, planned: DataFrame, segments: DataFrame, pa
 
 
 def plan_clips(nodes: DataFrame, segments: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """The table of cuts of all episodes: aligned nodes first, the others by their own times."""
-    merged = merge_segments(segments, EPISODE, params)
-    jobs = gate_alignments(align(nodes, merged, params), params).where("outcome = 'job'")
+    """The table of cuts of all episodes: aligned nodes first, the others by their own times. Merged segments and jobs are read several times and kept."""
+    merged = merge_segments(segments, EPISODE, params).persist()
+    jobs = gate_alignments(align(nodes, merged, params), params).where("outcome = 'job'").persist()
     aligned = jobs.select(F.col("node_id").alias("clip_key"), *EPISODE, F.col("whisper_start").alias("main_start"), F.col("whisper_end").alias("main_end"), "confidence", F.col("align_step"))
     fallback = fallback_spans(nodes, jobs.select("node_id"), merged, params).withColumn("align_step", F.lit("subtitle_fallback"))
     return cut_plan(aligned.unionByName(fallback), merged, params)

@@ -6,10 +6,13 @@ Each table has a Spark form and the same as a DuckDB view (a common table expres
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cueline.workers import let_workers_import
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -18,7 +21,12 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
     """Register a query, with its SQL for DuckDB after the views that it needs."""
 
     def add(f):
-        QUERIES[name] = f
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            let_workers_import(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql:
             needed: list[str] = []
             for v in views:
@@ -32,7 +40,7 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
                 ORACLES[name] = f"WITH {recursive}{head}, {body[5:].strip().removeprefix('RECURSIVE').strip()}"
             else:
                 ORACLES[name] = f"WITH {recursive}{head} {body}"
-        return f
+        return run
 
     return add
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cueline.plans import quality_queries, report_queries, search_queries, text_queries  # noqa: F401
+from cueline.plans import clip_queries, quality_queries, report_queries, search_queries, text_queries  # noqa: F401
 from cueline.plans.base import ORACLES, QUERIES
 
 FLAGSHIP = "quality_gate"
