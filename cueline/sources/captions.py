@@ -55,10 +55,10 @@ def _blocks(files: DataFrame) -> DataFrame:
 def _timed(blocks: DataFrame) -> DataFrame:
     """Blocks with a time line: its times in seconds, and the lines after it without tags and needless blanks."""
     first = F.array_position(F.transform("lines", lambda x: F.regexp_like(x, F.lit("^" + L.TIMECODE))), F.lit(True))
-    timed = blocks.withColumn("at", first).where((F.size("lines") >= 2) & (F.col("at") > 0))
-    line = F.element_at("lines", F.col("at").cast("int"))
+    timed = blocks.withColumn("at", F.nullif(first.cast("int"), F.lit(0))).where((F.size("lines") >= 2) & F.col("at").isNotNull())
+    line = F.try_element_at("lines", F.col("at"))
     times = timed.withColumn("start_time", clock_seconds(F.regexp_extract(line, L.TIMECODE, 1))).withColumn("end_time", clock_seconds(F.regexp_extract(line, L.TIMECODE, 2)))
-    texts = F.filter(F.transform(F.slice("lines", F.col("at").cast("int") + 1, F.size("lines")), lambda x: squeeze(F.regexp_replace(x, "<[^>]+>", ""))), lambda x: x != "")
+    texts = F.filter(F.transform(F.slice("lines", F.coalesce("at", F.lit(0)) + 1, F.size("lines")), lambda x: squeeze(F.regexp_replace(x, "<[^>]+>", ""))), lambda x: x != "")
     return times.where("start_time IS NOT NULL AND end_time IS NOT NULL").withColumn("texts", texts).where(F.size("texts") > 0)
 
 
@@ -77,13 +77,13 @@ def parse_vtt(files: DataFrame) -> DataFrame:
     """file, idx (from 1), start_ms, end_ms, text of WebVTT texts."""
     rows = _blocks(files).where(~F.regexp_like(F.element_at("lines", 1), F.lit("^(WEBVTT|NOTE|STYLE|REGION)")))
     first = F.array_position(F.transform("lines", lambda x: F.contains(x, F.lit("-->"))), F.lit(True)).cast("int")
-    rows = rows.withColumn("at", first).where("at > 0")
-    line = F.split(F.element_at("lines", F.col("at")), "-->", 2)
-    after = F.slice("lines", F.col("at") + 1, F.size("lines"))
+    rows = rows.withColumn("at", F.nullif(first, F.lit(0))).where("at IS NOT NULL")
+    line = F.split(F.try_element_at("lines", F.col("at")), "-->", 2)
+    after = F.slice("lines", F.coalesce("at", F.lit(0)) + 1, F.size("lines"))
     second = F.array_position(F.transform(after, lambda x: F.contains(x, F.lit("-->"))), F.lit(True)).cast("int")
     kept = F.when(second > 0, F.slice(after, 1, F.greatest(second - 1, F.lit(0)))).otherwise(after)
     texts = F.filter(F.transform(kept, lambda x: strip(F.regexp_replace(x, "<[^>]+>", ""))), lambda x: x != "")
-    cues = rows.select("file", "block", cue_ms(F.element_at(line, 1)).alias("start_ms"), cue_ms(F.element_at(F.split(strip(F.element_at(line, 2)), r"\s+"), 1)).alias("end_ms"), F.array_join(texts, " ").alias("text"))
+    cues = rows.select("file", "block", cue_ms(F.element_at(line, 1)).alias("start_ms"), cue_ms(F.element_at(F.split(strip(F.coalesce(F.try_element_at(line, F.lit(2)), F.lit(""))), r"\s+"), 1)).alias("end_ms"), F.array_join(texts, " ").alias("text"))
     return cues.where("text <> '' AND start_ms < end_ms").withColumn("idx", F.row_number().over(Window.partitionBy("file").orderBy("block"))).select("file", "idx", "start_ms", "end_ms", "text")
 
 
