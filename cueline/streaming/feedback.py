@@ -27,5 +27,5 @@ def ingest_files(spark: SparkSession, path: str, sink: Callable[[DataFrame, int]
     from cueline.operators.quality import filter_lines
     from cueline.sources.captions import parse_srt
 
-    files = spark.readStream.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    files = spark.readStream.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
     return files.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda batch, n: sink(filter_lines(parse_srt(batch), params), n)).start()
