@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cueline.functions import lexicon as L
-from cueline.functions.text import for_stock_phrases, matches, strip, word_count
+from cueline.functions.text import for_stock_phrases, matches, strip
 from cueline.params import DEFAULT, Params
 
 STATUSES = ["passed", "rejected_blacklist", "rejected_wordcount", "rejected_quality"]
@@ -68,13 +68,9 @@ def spoken_score(c: Column) -> Column:
     return F.when(matches(text, L.GARBAGE) | shouted | (n == 0), 0.0).otherwise(F.round(score, 4))
 
 
-def gate(text: Column, words: Column | None = None, params: Params = DEFAULT) -> tuple[Column, Column]:
-    """(status, score): the first gate that a line fails, and its score if it reaches the last one, else 0."""
-    n = word_count(text) if words is None else words
-    early = F.when(basic_invalid(text) | stock_phrase(text) | self_introduction(text), "rejected_blacklist").when((n < params.min_words) | (n > params.max_words), "rejected_wordcount")
-    score = F.when(early.isNull(), spoken_score(text)).otherwise(0.0)
-    status = F.coalesce(early, F.when(score >= params.quality_threshold, "passed").otherwise("rejected_quality"))
-    return status, score
+def early_status(text: Column, words: Column, params: Params = DEFAULT) -> Column:
+    """The status of a line that fails before it is scored, else null."""
+    return F.when(basic_invalid(text) | stock_phrase(text) | self_introduction(text), "rejected_blacklist").when((words < params.min_words) | (words > params.max_words), "rejected_wordcount")
 
 
 def stored_score(score: Column) -> Column:

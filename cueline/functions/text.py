@@ -97,7 +97,11 @@ def bilingual(lines: Column) -> Column:
 
 def for_duplicates(c: Column) -> Column:
     """Lower case, short forms written out, no punctuation, single blanks."""
-    spelled = reduce(lambda t, r: F.regexp_replace(t, rf"\b{r[0]}\b", r[1]), L.REWRITES, F.lower(c))
+    plain, short = [r for r in L.REWRITES if "'" not in r[0]], [r for r in L.REWRITES if "'" in r[0]]
+    spell = lambda t, rewrites: reduce(lambda x, r: F.regexp_replace(x, rf"\b{r[0]}\b", r[1]), rewrites, t)
+    lower = F.lower(c)  # most texts have nothing to write out, and one look tells
+    spelled = F.when(F.regexp_like(lower, F.lit(L.any_of([r[0] for r in plain]))), spell(lower, plain)).otherwise(lower)
+    spelled = F.when(F.contains(spelled, F.lit("'")), spell(spelled, short)).otherwise(spelled)
     return squeeze(F.regexp_replace(spelled, r"[^\pL\pN\pM_\s]", " "))
 
 

@@ -43,7 +43,7 @@ def ingest(lines: DataFrame, nodes: DataFrame, params: Params = DEFAULT) -> Data
     lines: line_id, text, word_count, show_name, episode, start_time; nodes: node_id, text. A line like a node merges into it; of lines that
     read alike the first is created; lines that are only near to each other are all created, as the batch is compared with what was there before.
     """
-    gated = filter_lines(lines.withColumn("en_text", F.col("text")), params).drop("en_text")
+    gated = filter_lines(lines.withColumn("en_text", F.col("text")), params).drop("en_text").persist()  # read several times
     found = edit_duplicates(gated.where("filter_status = 'passed'"), nodes, params)
     passed = gated.where("filter_status = 'passed'").join(found, "line_id", "left")
     fresh = first_in_batch(passed.where("node_id IS NULL"), ["line_id"]).withColumn("outcome", F.when(F.col("first_seen"), "created").otherwise("repeated")).drop("first_seen")

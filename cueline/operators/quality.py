@@ -6,14 +6,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueline.functions.lexicon import FUNCTION_WORDS
-from cueline.functions.quality import gate, spoken_score, stored_score
+from cueline.functions.quality import early_status, spoken_score, stored_score
 from cueline.params import DEFAULT, Params
 
 
 def filter_lines(lines: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """The lines with filter_status and quality_score. lines: en_text, word_count."""
-    status, score = gate(F.col("en_text"), F.col("word_count"), params)
-    return lines.withColumn("filter_status", status).withColumn("quality_score", score)
+    """The lines with filter_status and quality_score: the first gate that a line fails, and its score if it reaches the last one, else 0.
+
+    lines: en_text, word_count. Each step is a projection of its own, so that a score is computed once and only where it is needed.
+    """
+    staged = lines.withColumn("early__", early_status(F.col("en_text"), F.col("word_count"), params))
+    scored = staged.withColumn("quality_score", F.when(F.col("early__").isNull(), spoken_score(F.col("en_text"))).otherwise(0.0))
+    status = F.coalesce("early__", F.when(F.col("quality_score") >= params.quality_threshold, "passed").otherwise("rejected_quality"))
+    return scored.withColumn("filter_status", status).drop("early__")
 
 
 def with_stored_score(filtered: DataFrame) -> DataFrame:

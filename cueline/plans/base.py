@@ -85,6 +85,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "en_text"))
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")  # by number: the gates take time, not space, so small tables stay spread
     rows = rows.withColumn("word_count", F.regexp_count("en_text", F.lit(r"\S+")).cast("long")).withColumn("gap_ms", (F.col("doc_id") * 7 + F.col("pos") * 13) % 2000)
     end = F.sum(300 * F.col("word_count") + F.col("gap_ms")).over(Window.partitionBy("doc_id").orderBy("pos"))
     return rows.withColumn("end_ms", end).select("doc_id", "lang", "source", "pos", "en_text", "word_count", "gap_ms", ((F.col("end_ms") - 300 * F.col("word_count")).cast("double") / 1000).alias("start_time"), (F.col("end_ms").cast("double") / 1000).alias("end_time"), (F.col("doc_id") * 100000 + F.col("pos")).alias("line_id"))
