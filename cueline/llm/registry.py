@@ -63,7 +63,45 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query("op2_source_mixing")
+def _seats(out: str, table: str, group: str, party: str, votes: str, seats: str) -> str:
+    """Sainte-Lague seats as common table expressions: the ones that two divisors leave open go by quotient."""
+    over = f"OVER (PARTITION BY {group})" if group else "OVER ()"
+    first = f"{group}, " if group else ""
+    same = " AND ".join(f"p.{c} IS NOT DISTINCT FROM w.{c}" for c in f"{first}{party}".split(", "))
+    return f"""
+    {out}_p AS (SELECT *, greatest(0, ceil(share * greatest(0, {seats} - n / 2) - 0.5) - 1)::BIGINT AS low, CASE WHEN v > 0 THEN floor(share * ({seats} + n / 2) + 0.5) + 1 ELSE 0 END::BIGINT AS high
+      FROM (SELECT *, CASE WHEN total > 0 THEN v / total ELSE 0.0 END AS share FROM (SELECT *, {votes}::DOUBLE AS v, count(*) {over} AS n, sum({votes}::DOUBLE) {over} AS total FROM {table}))),
+    {out}_o AS (SELECT {first}{party}, {seats}, v, base, unnest(range(low + 1, high + 1)) AS k FROM (SELECT *, sum(low) {over} AS base FROM {out}_p) WHERE high > low),
+    {out}_w AS (SELECT {first}{party}, count(*) AS won FROM (SELECT *, row_number() OVER ({f"PARTITION BY {group} " if group else ""}ORDER BY v / (2 * k - 1) DESC, k, {party} NULLS LAST) AS r FROM {out}_o) WHERE r <= {seats} - base GROUP BY ALL),
+    {out} AS (SELECT p.*, low + coalesce(won, 0) AS quota FROM {out}_p p LEFT JOIN {out}_w w ON {same})"""
+
+
+def _seeded(seed: int, *columns: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(f'CAST({c} AS VARCHAR)' for c in columns)})), 1, 12) AS BIGINT)"
+
+
+_MIX = rf"""
+    WITH sizes AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+    s1 AS (SELECT source, sum(size)::BIGINT AS source_size, 3 * sum(size)::BIGINT AS cap FROM sizes GROUP BY source),
+    s2 AS (SELECT *, ([5.0, 2.0, 1.0]::DOUBLE[])[(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS weight FROM s1),
+    s3 AS (SELECT *, (sum(source_size) OVER () - (sum(cap) OVER o - cap)) / (sum(weight) OVER () - sum(weight) OVER o + weight) AS level FROM s2 WINDOW o AS (ORDER BY cap / weight, source IS NULL, source)),
+    s4 AS (SELECT source, source_size, coalesce(least(cap, top * weight), cap)::DOUBLE AS target, greatest(1, ceil(t / 1048576))::BIGINT AS block FROM (SELECT *, max(CASE WHEN cap >= level * weight THEN level END) OVER () AS top, sum(source_size) OVER () AS t FROM s3)),
+    s5 AS (SELECT *, ceil(sum(source_size) OVER () / block)::BIGINT AS blocks, greatest(1, ceil(source_size / greatest(131072, 64 * block)))::BIGINT AS shards FROM s4),
+    {_seats("plan", "s5", "", "source", "target", "blocks").strip()},
+    dealt AS (SELECT doc_id, z.source, size, source_size, target, block, quota AS source_quota, {_seeded(7, "doc_id")} % shards AS shard FROM sizes z JOIN plan ON z.source IS NOT DISTINCT FROM plan.source),
+    sh AS (SELECT source, shard, sum(size)::BIGINT AS shard_size, any_value(source_quota) AS source_quota FROM dealt GROUP BY source, shard),
+    {_seats("q", "sh", "source", "shard", "shard_size", "source_quota").strip()},
+    placed AS (SELECT d.*, shard_size, quota, least(quota * block, 3 * shard_size) AS want, (sum(size) OVER (PARTITION BY d.source, d.shard ORDER BY {_seeded(8, "doc_id")}, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS begins
+      FROM dealt d JOIN q ON d.source IS NOT DISTINCT FROM q.source AND d.shard = q.shard),
+    f AS (SELECT *, CASE WHEN shard_size > 0 THEN want // shard_size ELSE 0 END AS passes, shard_size // block AS n_whole FROM placed),
+    g AS (SELECT *, (want - passes * shard_size) // block AS picked, (want - passes * shard_size) % block AS part, {_seeded(9, "source", "shard")} % greatest(n_whole, 1) AS shift FROM f)
+    SELECT doc_id, size, source_size, target, CAST(passes * size + CASE WHEN size > 0 THEN list_sum(list_transform(range(begins // block, (begins + size - 1) // block + 1), lambda b:
+      CASE WHEN CASE WHEN b < n_whole THEN (b * 2147483647 + shift) % n_whole ELSE n_whole END < picked THEN greatest(0, least(begins + size, b * block + block) - greatest(begins, b * block))
+           WHEN CASE WHEN b < n_whole THEN (b * 2147483647 + shift) % n_whole ELSE n_whole END = picked THEN greatest(0, least(begins + size, b * block + part) - greatest(begins, b * block)) ELSE 0 END)) ELSE 0 END AS BIGINT) AS taken
+    FROM g"""
+
+
+@query("op2_source_mixing", _MIX)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cueline.llm.source_mixing import mix_sources
 

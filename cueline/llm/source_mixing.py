@@ -29,6 +29,12 @@ CAP = 3  # times that a word may be taken
 PRIME = 2147483647
 
 
+def seeded(seed: int, *columns: Column | str) -> Column:
+    """48 bits of a hash that other SQL engines have as well; null columns are left out."""
+    given = [F.col(c) if isinstance(c, str) else c for c in columns]
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[c.cast("string") for c in given]).cast("binary")), 1, 12), 16, 10).cast("long")
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -48,8 +54,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1)) ->
     everything = Window.partitionBy()
     by = by.withColumn("before_cap", F.sum("cap").over(full) - F.col("cap")).withColumn("rest_weight", F.sum("weight").over(everything) - F.sum("weight").over(full) + F.col("weight"))
     by = by.withColumn("level", (F.sum("source_size").over(everything) - F.col("before_cap")) / F.col("rest_weight"))
-    # the first source whose cap the level does not reach sets the level of all that follow
-    by = by.withColumn("level", F.first(F.when(F.col("cap") >= F.col("level") * F.col("weight"), F.col("level")), ignorenulls=True).over(everything))
+    # levels rise up to the first source whose cap is not reached and fall after it: that one's holds for it and all that follow
+    by = by.withColumn("level", F.max(F.when(F.col("cap") >= F.col("level") * F.col("weight"), F.col("level"))).over(everything))
     return by.select("source", "source_size", F.when(F.col("level").isNull(), F.col("cap").cast("double")).otherwise(F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight"))).alias("target"))
 
 
@@ -93,18 +99,18 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), seed: i
     plan = apportion(targets, [], ["source"], "target", "blocks").withColumnRenamed("quota", "source_quota")
     plan = plan.withColumnRenamed("source", "source_p")
     dealt = sizes.join(plan, F.col("source").eqNullSafe(F.col("source_p"))).select(
-        "doc_id", "source", "size", "source_size", "target", "block", "source_quota", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("shards")).alias("shard")
+        "doc_id", "source", "size", "source_size", "target", "block", "source_quota", (seeded(seed, "doc_id") % F.col("shards")).alias("shard")
     )
     shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"))
     quotas = apportion(shards, ["source"], ["shard"], "shard_size", "source_quota").select(F.col("source").alias("source_q"), F.col("shard").alias("shard_q"), "shard_size", "quota")
     w = Window.partitionBy("source", "shard")
-    at = F.sum("size").over(w.orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    at = F.sum("size").over(w.orderBy(seeded(seed + 1, "doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     placed = dealt.withColumn("at", at).join(quotas, F.col("source").eqNullSafe(F.col("source_q")) & (F.col("shard") == F.col("shard_q")))
     # passes over the whole shard, then `rest` words in blocks: `picked` whole ones and `part` words of one more
     placed = placed.withColumn("want", F.least(F.col("quota") * F.col("block"), CAP * F.col("shard_size")))
     placed = placed.withColumn("passes", F.when(F.col("shard_size") > 0, F.floor(F.col("want") / F.col("shard_size"))).otherwise(0).cast("long"))
     placed = placed.withColumn("rest", F.col("want") - F.col("passes") * F.col("shard_size")).withColumn("picked", F.expr("rest div block")).withColumn("part", F.col("rest") % F.col("block"))
-    placed = placed.withColumn("n_whole", F.expr("shard_size div block")).withColumn("shift", F.pmod(F.xxhash64(F.lit(seed + 2), "source", "shard"), F.greatest(F.col("n_whole"), F.lit(1))))
+    placed = placed.withColumn("n_whole", F.expr("shard_size div block")).withColumn("shift", seeded(seed + 2, "source", "shard") % F.greatest(F.col("n_whole"), F.lit(1)))
     # the tail after the last whole block comes last; rank of block b: where the permutation puts it
     rank = f"CASE WHEN b < n_whole THEN (b * {PRIME} + shift) % n_whole ELSE n_whole END"
     inside = "greatest(0L, least(at + size, b * block + {words}) - greatest(at, b * block))"
@@ -117,7 +123,7 @@ def repeat_by_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), seed:
     """The rows as often as the mix takes them: once for each whole pass, and once more with the chance of the part that is
     taken beyond, decided by a hash of the id. Documents stay whole; per source the words come to its target in the mean."""
     mixed = mix_sources(docs, weights, seed)
-    chance = F.pmod(F.xxhash64(F.lit(seed + 3), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    chance = seeded(seed + 3, "doc_id") / float(1 << 48)
     taken = mixed.where("taken > 0").groupBy("doc_id").agg(F.max(F.col("taken") / F.col("size")).alias("share"))
     taken = taken.select(F.col("doc_id").alias("mixed_id__"), (F.floor("share") + (chance < F.col("share") - F.floor("share")).cast("int")).cast("int").alias("copies__")).where("copies__ > 0")
     joined = docs.join(taken, F.col("doc_id").cast("long").eqNullSafe(F.col("mixed_id__")))
