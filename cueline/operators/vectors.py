@@ -9,56 +9,50 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries are a broadcast of a checked size; more of them go through the corpus in blocks of this many.
+#: Rows of a block: 4,096 vectors of 384 numbers are 12 MB.
 BLOCK = 4096
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     """Rows of length 1 in double; rows of zeros stay."""
-    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    out = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+    out = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
     size = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(size > 0, size, 1)
 
 
+def _blocks(table: DataFrame, key: str, name: str) -> DataFrame:
+    """Vectors of length 1 packed in blocks: ids and matrix, as binary columns of one row each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                yield pa.RecordBatch.from_pydict({f"{name}_ids": [part.column(0).to_numpy().astype(np.int64).tobytes()], f"{name}_rows": [_matrix(part.column(1)).tobytes()]})
+
+    given = table.where("embedding IS NOT NULL").select(F.col(key).cast("long").alias("id"), "embedding")
+    return given.mapInArrow(run, f"{name}_ids binary, {name}_rows binary")
+
+
 def nearest(queries: DataFrame, nodes: DataFrame, k: int, key: str = "query_id") -> DataFrame:
     """The k nodes of highest cosine for each query: key, node_id, similarity, rank; ties go to the lower node_id.
 
-    queries: key, embedding; nodes: node_id, embedding. Each task multiplies its nodes with all queries and keeps k a query, so what is
-    shuffled is k rows a query and task. Queries that are too many for a broadcast are dealt to blocks, and each block meets every node.
+    queries: key, embedding; nodes: node_id, embedding. Both are packed in blocks of BLOCK vectors, and each block of queries meets each block of
+    nodes once, in a matrix product; a pair of blocks gives k rows a query. Which side is sent around is up to Spark, by their sizes; nothing
+    passes the driver.
     """
-    q = queries.where("embedding IS NOT NULL").select(F.col(key).cast("long").alias("q"), "embedding")
-    count = q.count()
-    blocks = max(1, -(-count // BLOCK))
-    spark = queries.sparkSession
-    rows = None
-    for block in range(blocks):
-        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block)
-        table = part.toArrow()  # BLOCK queries, about
-        ids, matrix = table.column("q").to_numpy(), _matrix(table.column("embedding")) if table.num_rows else np.empty((0, 1))
-        shared = spark.sparkContext.broadcast((ids, matrix))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, matrix = shared.value
-            best: dict[str, np.ndarray] | None = None
-            for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
-                names = batch.column(0).to_numpy()
-                scores = np.round(matrix @ _matrix(batch.column(1)).T, 12)
-                names = np.broadcast_to(names, scores.shape)
-                if best is not None:
-                    scores, names = np.concatenate([best["s"], scores], 1), np.concatenate([best["n"], names], 1)
-                order = np.lexsort((names, -scores), axis=1)[:, :k]
-                best = {"s": np.take_along_axis(scores, order, 1), "n": np.take_along_axis(names, order, 1)}
-            if best is not None:
-                width = best["s"].shape[1]
-                yield pa.RecordBatch.from_pydict({"q": pa.array(np.repeat(ids, width)), "node_id": pa.array(best["n"].ravel()), "similarity": pa.array(best["s"].ravel())})
-
-        found = nodes.where("embedding IS NOT NULL").select(F.col("node_id").cast("long").alias("node_id"), "embedding").mapInArrow(run, "q long, node_id long, similarity double")
-        rows = found if rows is None else rows.union(found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q_ids, q_rows, n_ids, n_rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids, names = np.frombuffer(q_ids, np.int64), np.frombuffer(n_ids, np.int64)
+                scores = np.round(np.frombuffer(q_rows).reshape(len(ids), -1) @ np.frombuffer(n_rows).reshape(len(names), -1).T, 12)
+                order = np.lexsort((np.broadcast_to(names, scores.shape), -scores), axis=1)[:, :k]
+                yield pa.RecordBatch.from_pydict({"q": pa.array(np.repeat(ids, order.shape[1])), "node_id": pa.array(names[order].ravel()), "similarity": pa.array(np.take_along_axis(scores, order, 1).ravel())})
+
+    met = _blocks(queries, key, "q").crossJoin(_blocks(nodes, "node_id", "n"))  # of blocks, not of rows
+    found = met.select("q_ids", "q_rows", "n_ids", "n_rows").mapInArrow(run, "q long, node_id long, similarity double")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), "node_id"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias(key), "node_id", "similarity", "rank")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias(key), "node_id", "similarity", "rank")
 
 
 def encode(texts: DataFrame, model, dim: int, column: str = "text") -> DataFrame:
