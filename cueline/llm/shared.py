@@ -24,7 +24,7 @@ def prepare(spark: SparkSession) -> None:
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("67108864b", "64m"):  # its default; long texts would make workers large
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
