@@ -4,12 +4,17 @@
    element draws a random permutation step by step (rank plus a fraction), and position p keeps the least value drawn for it. Later
    steps only give larger values, so a text is finished as soon as its largest kept value is below the next step.
 2. Texts with equal sets are one class; its smallest id stands for it. Copies meet in counts, not in lists.
-3. The signature is cut into bands. Texts that agree on a band meet; in each bucket a text is paired with the first and with the one
-   before it in the order of ids, so a bucket of any size gives two pairs a text. Similar texts agree on many bands, and each
+3. The signature is cut into bands. Texts that agree on a band meet; in each bucket a text is first paired with the first and with the
+   one before it in the order of ids, so a bucket of any size gives two pairs a text. Similar texts agree on many bands, and each
    brings other partners. Pairs whose signatures agree too little for the threshold are left out.
 4. Pairs are verified on the full sets. First each text's pair with its smallest likely partner; after grouping these, all the pairs
    whose ends are still in different groups. Pairs within a group need no verdict: it would change nothing.
-5. Groups come from union-find within tasks, then rounds in which every node moves to the smallest one around it.
+5. Buckets of four and more whose members are still in different groups, such as those that a common passage fills, are finished
+   exactly. Their texts' shingles are put in one order, rare ones first. Two texts with the threshold's overlap share their first
+   common shingle early in both, so a text is listed only under its early shingles, by classes of size: the smaller one of a pair
+   under as many as an equal partner leaves room for, the larger one under as many as the class does. In these lists texts again meet
+   the first and the one before; then all pairs of a list whose ends are still in different groups meet, in blocks.
+6. Groups come from union-find within tasks, then rounds in which every node moves to the smallest one around it.
 
 What passes from step to step lies in the shared folder. At the threshold 0.75, 32 bands of 4 miss a pair with a
 chance of (1 - 0.75^4)^32 = 5e-6, and the limit on signatures is five standard deviations below it.
@@ -20,6 +25,7 @@ and stay; rows that share an id share its group; other columns are not touched;
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +41,14 @@ SHINGLE = 5
 SALTS = 32
 #: A side of a join of up to so many ids is broadcast; beyond that Spark shuffles both sides.
 BROADCAST_IDS = 500_000
+#: Slots in which shingles of unfinished buckets are counted; any order of shingles is right, a good one has rare ones first.
+SLOTS = 1 << 22
+#: Texts of a list in one block; each block of smaller texts meets each of larger ones.
+BLOCK = 1024
+#: The least size of each class; classes are 5 % wide.
+EDGES = [1]
+while EDGES[-1] < 1 << 40:
+    EDGES.append(max(EDGES[-1] + 1, -(-EDGES[-1] * 21 // 20)))
 
 
 def shingle_set(text: bytes, hashes: WordHash, width: int = SHINGLE) -> np.ndarray:
@@ -125,18 +139,26 @@ def _given(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def _met(rows: DataFrame, *bucket: str) -> DataFrame:
+    """Pairs a < b: each doc_id with the first one of its bucket and the one before it, two pairs a row at most."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*bucket).orderBy("doc_id")
+    first, before = F.first("doc_id").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lag("doc_id").over(w)
+    met = rows.select("doc_id", first.alias("first"), before.alias("before")).where("before IS NOT NULL")
+    return met.select(F.explode(F.array_distinct(F.array("first", "before"))).alias("a"), F.col("doc_id").alias("b")).where("a < b").distinct()
+
+
 def candidate_pairs(signed: DataFrame, least: float) -> DataFrame:
     """Pairs a < b of class representatives that share a band and whose signatures agree on a share of `least` or more, with that share.
 
-    signed: one row per class. A bucket gives two pairs a text, whatever its size.
+    signed: one row per class. A bucket gives two pairs a text, whatever its size; `finished` does the rest.
     """
-    from pyspark.sql import Window
+    return likely_pairs(_met(signed.select("doc_id", F.explode("bands").alias("band")), "band"), signed, least)
 
-    rows = signed.select("doc_id", F.explode("bands").alias("band"))
-    w = Window.partitionBy("band").orderBy("doc_id")
-    first, before = F.first("doc_id").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lag("doc_id").over(w)
-    met = rows.select("doc_id", first.alias("first"), before.alias("before")).where("before IS NOT NULL")
-    pairs = met.select(F.explode(F.array_distinct(F.array("first", "before"))).alias("a"), F.col("doc_id").alias("b")).where("a < b").distinct()
+
+def likely_pairs(pairs: DataFrame, signed: DataFrame, least: float) -> DataFrame:
+    """The pairs whose signatures agree on a share of `least` or more, with that share."""
     left = signed.select(F.col("doc_id").alias("a"), F.col("signature").alias("mark_a"))
     right = signed.select(F.col("doc_id").alias("b"), F.col("signature").alias("mark_b"))
 
@@ -231,6 +253,113 @@ def _cross(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("p", "a") != F.coalesce("q", "b")).select(*pairs.columns)
 
 
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows with the group of their doc_id."""
+    return rows.join(labels, "doc_id", "left").withColumn("label", F.coalesce("component_id", "doc_id")).drop("component_id")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
+def unfinished(heads: DataFrame, labels: DataFrame) -> DataFrame:
+    """The ids in buckets whose members are in different groups and have not all met; of up to three, first and neighbour are all."""
+    rows = _labelled(heads.select("doc_id", "bands"), labels).select("doc_id", "label", F.explode("bands").alias("band"))
+    open_ = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("n > 3 AND low < high")
+    return rows.join(_small(stored(open_.select("band"), "buckets")), "band", "left_semi").select("doc_id").distinct()
+
+
+def slot_counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles of all sets fall into each slot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            np.add.at(total, (np.frombuffer(b"".join(batch.column(1).to_pylist()), U64) % U64(SLOTS)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        for k in range(0, len(at), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(at[k : k + (1 << 16)].astype(np.int32)), pa.array(total[at[k : k + (1 << 16)]])], names=["slot", "n"])
+
+    found = sets.select("doc_id", "hashes").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    counts = np.ones(SLOTS, np.int32)
+    counts[found.column(0).to_numpy()] = np.minimum(found.column(1).to_numpy(), 2**31 - 1)
+    return counts
+
+
+LISTED = "token long, size_class int, larger boolean, doc_id long, n long, at long"
+
+
+def early_shingles(hashes: np.ndarray, counts: np.ndarray, percent: int) -> Iterator[tuple[int, bool, np.ndarray, np.ndarray]]:
+    """Class, role, shingles and their places: where a set is listed. Shingles alone in their slot have no partner and are left out."""
+    n = len(hashes)
+    weight = counts[(hashes % U64(len(counts))).astype(np.int64)]
+    order = np.lexsort((hashes, weight))
+    hashes, shared = hashes[order], weight[order] > 1
+    least = -(-percent * n // 100)
+    roles = [(bisect_right(EDGES, n) - 1, False, n)]
+    roles += [(c, True, max(EDGES[c], least)) for c in range(bisect_right(EDGES, least) - 1, bisect_right(EDGES, n))]
+    for c, larger, other in roles:
+        at = np.flatnonzero(shared[: n + 1 - -(-percent * (n + other) // (100 + percent))])
+        if len(at):
+            yield c, larger, hashes[at].view(np.int64), at
+
+
+def listed(sets: DataFrame, percent: int) -> DataFrame:
+    """One row for each shingle, class and role under which a set can meet a partner."""
+    shared = sets.sparkSession.sparkContext.broadcast(slot_counts(sets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            for doc_id, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = list(early_shingles(np.frombuffer(x, U64), counts, percent))
+                if found:
+                    m = [len(f[2]) for f in found]
+                    columns = [np.concatenate([f[2] for f in found]), np.repeat([f[0] for f in found], m).astype(np.int32), np.repeat([f[1] for f in found], m)]
+                    columns += [np.full(sum(m), doc_id, np.int64), np.full(sum(m), len(x) // 8, np.int64), np.concatenate([f[3] for f in found])]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in LISTED.split(", ")])
+
+    return sets.where("length(hashes) > 0").select("doc_id", "hashes").mapInArrow(run, LISTED)
+
+
+def _open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """The labelled rows of the lists that hold both roles and different groups, with the blocks of either role."""
+    rows = _labelled(lists, labels)
+    open_ = rows.groupBy("token", "size_class").agg(F.count_if(~F.col("larger")).alias("n_small"), F.count_if("larger").alias("n_large"), F.min("label").alias("low"), F.max("label").alias("high"))
+    open_ = open_.where("n_small > 0 AND n_large > 0 AND low < high").select("token", "size_class", *[F.ceil(F.col(c) / BLOCK).cast("int").alias(c) for c in ("n_small", "n_large")])
+    return rows.join(_small(stored(open_, "open")), ["token", "size_class"])
+
+
+def _all_met(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs a < b of each list, a smaller and a larger one of different groups, whose places leave room for the threshold."""
+    keys = ["token", "size_class", "i", "j"]
+    spread = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    small = rows.where("NOT larger").withColumn("i", spread("n_small")).withColumn("j", every("n_large")).select(*keys, *[F.col(c).alias(f"{c}_x") for c in ("doc_id", "n", "at", "label")])
+    large = rows.where("larger").withColumn("j", spread("n_large")).withColumn("i", every("n_small")).select(*keys, *[F.col(c).alias(f"{c}_y") for c in ("doc_id", "n", "at", "label")])
+    # at the first common shingle of two sets no more than what follows it in both can be common
+    room = f"{100 + percent} * least(n_x - at_x, n_y - at_y) >= {percent} * (n_x + n_y)"
+    met = small.join(large, keys).where(f"label_x != label_y AND n_x <= n_y AND {room}")
+    return met.select(F.least("doc_id_x", "doc_id_y").alias("a"), F.greatest("doc_id_x", "doc_id_y").alias("b")).distinct()
+
+
+def finished(docs: DataFrame, heads: DataFrame, links: DataFrame, percent: int, least: float) -> DataFrame:
+    """Groups of the links and of all links that the buckets' other pairs bring."""
+    labels = components(links)
+    ids = stored(unfinished(heads, labels), "unfinished")
+    if ids.isEmpty():
+        return labels
+    sets = stored(shingle_sets(docs, ids), "sets")
+    lists = stored(listed(sets, percent), "lists")
+    for meet in (lambda rows: _met(rows.select("token", "size_class", "doc_id").distinct(), "token", "size_class"), lambda rows: _all_met(rows, percent)):
+        pairs = _cross(likely_pairs(meet(_open_lists(lists, labels)), heads, least), labels)
+        more = stored(verified(pairs, sets, percent), "verified")
+        if not more.isEmpty():
+            links = links.union(more)
+            labels = components(links)
+    return labels
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept. `docs` has doc_id and text."""
     signed = stored(sign(docs), "signed")
@@ -240,6 +369,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     part = salted.groupBy("set_high", "set_low", "salt").agg(F.min("doc_id").alias("low"))
     classes = stored(part.groupBy("set_high", "set_low").agg(F.min("low").alias("class_id")), "classes")
     heads = named.join(classes.select(F.col("class_id").alias("doc_id"), "set_high", "set_low"), ["doc_id", "set_high", "set_low"]).select("doc_id", "bands", "signature")
+    heads = stored(heads, "heads")
     likely = percent / 100
     pairs = stored(candidate_pairs(heads, likely - 0.2), "pairs")
     sets = stored(shingle_sets(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()), "sets")
@@ -247,7 +377,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     first = pairs.groupBy("b").agg(F.max(F.struct(score.alias("s"), (-F.col("a")).alias("n"))).alias("best")).select((-F.col("best.n")).alias("a"), "b")
     links = stored(verified(first, sets, percent), "verified")
     rest = _cross(pairs.join(first, ["a", "b"], "left_anti"), components(links))
-    groups = components(links.union(verified(rest, sets, percent)))
+    links = links.union(stored(verified(rest, sets, percent), "verified"))
+    groups = finished(docs, heads, links, percent, likely - 0.2)
     final = classes.join(groups, F.col("class_id") == F.col("doc_id"), "left").select("set_high", "set_low", F.coalesce("component_id", "class_id").alias("component_id"))
     lookup = part.join(final, ["set_high", "set_low"]).select("set_high", "set_low", "salt", "component_id")
     linked = salted.join(lookup, ["set_high", "set_low", "salt"]).select("doc_id", "component_id").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))

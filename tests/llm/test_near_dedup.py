@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 
-from cueline.llm.near_dedup import SIZE, components, keep_one_of_each, near_duplicates, shingle_set, super_minhash
+from cueline.llm.near_dedup import SIZE, components, early_shingles, keep_one_of_each, near_duplicates, shingle_set, super_minhash
 from cueline.llm.shared import U64, WordHash
 
 
@@ -99,3 +99,29 @@ def test_groups(spark):
     odd = spark.createDataFrame([(None, base[1]), (None, base[1]), (7, base[1]), (7, base[1]), (9, base[1])], "doc_id long, text string")
     assert sorted(str((r.doc_id, r.component_id, r.kept)) for r in near_duplicates(odd).collect()) == sorted(map(str, [(None, None, True)] * 2 + [(7, 7, True)] * 2 + [(9, 7, False)]))
     assert near_duplicates(docs.limit(0)).count() == 0 and keep_one_of_each(docs.limit(0)).count() == 0
+
+
+def test_common_passage(spark):
+    """Ten near duplicates far apart in buckets that a passage of a thousand other documents fills."""
+    rng = random.Random(11)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    passage = fresh(79)
+    rows = [(i, f"{passage} {fresh(10 if i % 100 == 55 else 30)}") for i in range(1010)]
+    want = brute(rows)
+    assert sum(c == 55 for _, c in want.values()) == 10
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_early_shingles():
+    """Sets at and about the threshold meet in a list, whatever the counts of their shingles."""
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        n, m = sorted(rng.integers(1, 120, 2))
+        both = min(n, -(-75 * (n + m) // 175))
+        pool = np.unique(rng.integers(0, 1 << 63, 400).astype(U64))
+        rng.shuffle(pool)
+        x, y = np.sort(pool[:n]), np.sort(np.concatenate([pool[:both], pool[200 : 200 + m - both]]))
+        small, large = ({(c, t) for c, big, tokens, _ in early_shingles(s, rng_counts, 75) if big == role for t in tokens} for rng_counts in [rng.integers(2, 9, 64)] for s, role in ((x, False), (y, True)))
+        if 100 * both >= 75 * (n + m - both):
+            assert small & large
