@@ -5,9 +5,10 @@ over a trusted target another. A document scores the mean over its n-grams of lo
 (count expected from the corpus + prior), so that rare n-grams say little; dividing by their number makes lengths
 comparable. Every document with a mean under `threshold` goes, as does one that fails the base rules.
 
-The trusted target are documents that `labels` marks with quality 1; at most `trusted_rows` of them, the first ones by a
-hash of their id, so that their ids fit a broadcast. The corpus counts cover every document. Counts are summed in
-Spark, a slice of the slots per task; the driver gets one array of `buckets` entries.
+The trusted target are all documents that `labels` marks with quality 1, found by a join on the id. The corpus counts cover
+every document. The prior is `prior_share` of the target's n-grams, so that a score does not move with the size of the input,
+and `prior` at least: on little evidence n-grams say little. Counts are summed in Spark, a slice of the slots per task; the
+driver gets one array of `buckets` entries.
 
 Defined cases: null text counts as empty and fails the base rules; without trusted documents every ratio is 0 and the
 base rules decide; documents of the same id and repeated rows each get their row; other columns are not touched; an
@@ -28,6 +29,8 @@ from cueline.llm.shared import U64, WordHash, ngram_hashes, parts, prepare
 SYMBOLS = "#*$%&|<>"
 SLICES = 64
 NO_SLOTS = np.empty(0, np.int64)
+#: So many trusted ids are broadcast; beyond that Spark shuffles both sides of the join.
+BROADCAST_IDS = 500_000
 
 
 def slots(words: np.ndarray, buckets: int) -> np.ndarray:
@@ -59,10 +62,12 @@ def repeated_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-def trusted_ids(labels: DataFrame, rows: int) -> np.ndarray:
-    """The sorted ids of at most `rows` documents of quality 1."""
-    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    return np.array(sorted(r[0] for r in good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()), np.int64)
+def with_trust(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, text and trusted: whether labels give the document quality 1."""
+    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("good__", F.lit(True))
+    if good.count() <= BROADCAST_IDS:
+        good = F.broadcast(good)
+    return _given(docs).join(good, "doc_id", "left").select("doc_id", "text", F.col("good__").isNotNull().alias("trusted"))
 
 
 def _given(docs: DataFrame) -> DataFrame:
@@ -73,20 +78,16 @@ def _bytes(batch: pa.RecordBatch, k: int = 1) -> list[bytes]:
     return [x or b"" for x in batch.column(k).cast(pa.binary()).to_pylist()]
 
 
-def fit_ratios(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 18, prior: float = 20.0, trusted_rows: int = 20_000) -> np.ndarray:
+def fit_ratios(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 18, prior: float = 20.0, prior_share: float = 1.2e-6) -> np.ndarray:
     """The log ratio of each slot, from counts over all documents and over the trusted ones."""
     spark = docs.sparkSession
     prepare(spark)
-    trusted = spark.sparkContext.broadcast(trusted_ids(labels, trusted_rows))
     size = buckets // SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, target, ids, hashes = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64), trusted.value, WordHash()
+        total, target, hashes = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64), WordHash()
         for batch in (x for whole in batches for x in parts(whole)):
-            own = batch.column(0).fill_null(-1).to_numpy()
-            at = np.minimum(np.searchsorted(ids, own), max(len(ids) - 1, 0))
-            good = (ids[at] == own) if len(ids) else np.zeros(len(own), bool)
-            good &= ~batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            good = batch.column(2).to_numpy(zero_copy_only=False)
             found = [slots(hashes.of(text.split()), buckets) for text in _bytes(batch)]
             total += np.bincount(np.concatenate([NO_SLOTS, *found]), minlength=buckets)
             target += np.bincount(np.concatenate([NO_SLOTS, *(x for x, g in zip(found, good, strict=True) if g)]), minlength=buckets)
@@ -102,12 +103,13 @@ def fit_ratios(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 18, prior
             yield pa.RecordBatch.from_pydict({"slice": pa.array(list(sums), pa.int32()), "total": [x[0].tobytes() for x in sums.values()], "target": [x[1].tobytes() for x in sums.values()]})
 
     schema = "slice int, total binary, target binary"
-    rows = _given(docs).mapInArrow(count, schema).repartitionById(SLICES, F.col("slice")).mapInArrow(add, schema).collect()
+    rows = with_trust(docs, labels).mapInArrow(count, schema).repartitionById(SLICES, F.col("slice")).mapInArrow(add, schema).collect()
     total, target = np.zeros(buckets), np.zeros(buckets)
     for k, a, b in rows:
         total[k * size : (k + 1) * size], target[k * size : (k + 1) * size] = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
     if not target.sum():
         return np.zeros(buckets, np.float32)
+    prior = max(prior, prior_share * target.sum())
     return np.log((target + prior) / (total * (target.sum() / total.sum()) + prior)).astype(np.float32)
 
 
@@ -138,18 +140,18 @@ def quality_stats(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
     return _given(docs).mapInArrow(run, STATS)
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = -0.1, buckets: int = 1 << 18, prior: float = 20.0, trusted_rows: int = 20_000) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = -0.1, buckets: int = 1 << 18, prior: float = 20.0, prior_share: float = 1.2e-6) -> DataFrame:
     """One row per document: its counts, base_failed, kept, and the score that decided."""
-    stats = quality_stats(docs, fit_ratios(docs, labels, buckets, prior, trusted_rows))
+    stats = quality_stats(docs, fit_ratios(docs, labels, buckets, prior, prior_share))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return stats.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = -0.1, buckets: int = 1 << 18, prior: float = 20.0, trusted_rows: int = 20_000) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = -0.1, buckets: int = 1 << 18, prior: float = 20.0, prior_share: float = 1.2e-6) -> DataFrame:
     """The documents that the rules keep, with all their columns and without a join: each text is judged where it is read."""
     spark = docs.sparkSession
     prepare(spark)
-    shared = spark.sparkContext.broadcast(fit_ratios(docs, labels, buckets, prior, trusted_rows))
+    shared = spark.sparkContext.broadcast(fit_ratios(docs, labels, buckets, prior, prior_share))
 
     @F.pandas_udf("boolean")
     def kept(texts):

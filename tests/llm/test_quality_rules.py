@@ -3,7 +3,9 @@
 import random
 import re
 
-from cueline.llm.quality_rules import keep_good, quality_rules
+import numpy as np
+
+from cueline.llm.quality_rules import fit_ratios, keep_good, quality_rules
 
 
 def brute(text):
@@ -44,3 +46,19 @@ def test_rules(spark):
     empty = quality_rules(docs.limit(0), labels)
     assert empty.count() == 0
     assert all(r.kept == (not r.base_failed) for r in quality_rules(docs, labels.limit(0)).collect())
+
+
+def test_every_label_counts(spark):
+    """With all documents trusted nothing tells the target from the corpus, however many there are."""
+    docs = spark.range(20_300).selectExpr("id AS doc_id", "concat('w', id, ' v', id) AS text")
+    assert not fit_ratios(docs, docs.selectExpr("doc_id", "1 AS quality"), buckets=1 << 12, prior=1.0).any()
+
+
+def test_size_of_input(spark):
+    """Ten times the same documents have the same ratios."""
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('w', id % 7, ' v', id % 11) AS text")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id < 200 AS INT) AS quality")
+    more = docs.crossJoin(spark.range(10)).select("doc_id", "text")
+    once, often = (fit_ratios(x, labels, buckets=1 << 12, prior=0.1, prior_share=0.01) for x in (docs, more))
+    np.testing.assert_allclose(once, often, atol=1e-6)
+    assert once.any()
