@@ -82,11 +82,11 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def train(records: list[bytes], dictionary_bytes: int, sample_bytes: int) -> bytes:
-    """A dictionary from records spread evenly over the archive; no bytes if there is too little to learn from."""
+    """A dictionary from records spread evenly over the archive, 33 or more where it has so many; no bytes if there is too little to learn from."""
     import zstandard
 
     total = sum(map(len, records))
-    step = max(1, -(-total // sample_bytes))
+    step = max(1, min(-(-total // sample_bytes), -(-len(records) // 64)))
     sample = [x[: 1 << 16] for x in records[::step]]
     if len(sample) < 8:
         return b""

@@ -7,7 +7,7 @@ import pyarrow.fs
 import zstandard
 
 from cueline.llm.shared import shared_folder
-from cueline.llm.warc import SKIPPABLE, archive, base32_sha1, open_store, read_archive, read_warc, record, warc_round_trip, write_warc
+from cueline.llm.warc import SKIPPABLE, archive, base32_sha1, open_store, read_archive, read_warc, record, train, warc_round_trip, write_warc
 
 
 def test_bytes():
@@ -46,3 +46,11 @@ def test_round_trip(spark):
     assert payloads[7].payload == long.encode() and payloads[4].record_type == "response"
     store, path = open_store(folder)
     assert all("/." not in x.path for x in store.get_file_info(pyarrow.fs.FileSelector(path)))
+
+
+def test_dictionary_of_large_pages():
+    """Few large records, of which every sixth would be too few, have a dictionary."""
+    page = lambda i: b"".join(b"<li class='entry'><a href='/%d/%d'>item %d</a></li>\n" % (i, k, i * k) for k in range(6000))
+    records = [record(i, "http://a/", page(i), base32_sha1(page(i)), None) for i in range(40)]
+    assert sum(map(len, records)) > 10 << 20 and len(train(records, 1 << 14, 2 << 20)) > 200
+    assert [b for _, b in read_archive(io.BytesIO(archive(records, 1 << 14, 2 << 20)))] == [page(i) for i in range(40)]
