@@ -30,15 +30,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cueline.llm.shared import U64, WordHash, mixed, ngram_hashes, parts, prepare, stored
+from cueline.llm.shared import SALTS, U64, WordHash, forget, looked_up, mixed, ngram_hashes, parts, prepare, stored
 
 BANDS, ROWS = 32, 4
 SIZE = BANDS * ROWS
 SHINGLE = 5
-SALTS = 32
+#: Class representatives for which a bucket is taken as one; of each so many more, every bucket is dealt to one more task.
+HEADS_A_SALT = 2_000_000
 #: A side of a join of up to so many ids is broadcast; beyond that Spark shuffles both sides.
 BROADCAST_IDS = 500_000
 #: Slots in which shingles of unfinished buckets are counted; any order of shingles is right, a good one has rare ones first.
@@ -139,22 +140,32 @@ def _given(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def _met(rows: DataFrame, *bucket: str) -> DataFrame:
-    """Pairs a < b: each doc_id with the first one of its bucket and the one before it, two pairs a row at most."""
-    from pyspark.sql import Window
+def _met(rows: DataFrame, *bucket: str, salts: int = 1) -> DataFrame:
+    """Pairs a < b: each doc_id with the first one of its bucket and the one before it, two pairs a row at most.
 
-    w = Window.partitionBy(*bucket).orderBy("doc_id")
-    first, before = F.first("doc_id").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lag("doc_id").over(w)
-    met = rows.select("doc_id", first.alias("first"), before.alias("before")).where("before IS NOT NULL")
-    return met.select(F.explode(F.array_distinct(F.array("first", "before"))).alias("a"), F.col("doc_id").alias("b")).where("a < b").distinct()
+    salts: into how many parts a bucket is dealt by doc_id; first and neighbour are then those of the part, and the firsts of the parts meet
+    in the same way.
+    """
+
+    def pairs(part: DataFrame, *keys: str) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy("doc_id")
+        first, before = F.first("doc_id").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lag("doc_id").over(w)
+        met = part.select("doc_id", first.alias("first"), before.alias("before")).where("before IS NOT NULL")
+        return met.select(F.explode(F.array_distinct(F.array("first", "before"))).alias("a"), F.col("doc_id").alias("b")).where("a < b")
+
+    if salts == 1:
+        return pairs(rows, *bucket).distinct()
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(salts)).cast("int"))
+    firsts = dealt.groupBy(*bucket, "part").agg(F.min("doc_id").alias("doc_id"))
+    return pairs(dealt, *bucket, "part").union(pairs(firsts, *bucket)).distinct()
 
 
-def candidate_pairs(signed: DataFrame, least: float) -> DataFrame:
+def candidate_pairs(signed: DataFrame, least: float, salts: int = 1) -> DataFrame:
     """Pairs a < b of class representatives that share a band and whose signatures agree on a share of `least` or more, with that share.
 
     signed: one row per class. A bucket gives two pairs a text, whatever its size; `finished` does the rest.
     """
-    return likely_pairs(_met(signed.select("doc_id", F.explode("bands").alias("band")), "band"), signed, least)
+    return likely_pairs(_met(signed.select("doc_id", F.explode("bands").alias("band")), "band", salts=salts), signed, least)
 
 
 def likely_pairs(pairs: DataFrame, signed: DataFrame, least: float) -> DataFrame:
@@ -171,7 +182,8 @@ def likely_pairs(pairs: DataFrame, signed: DataFrame, least: float) -> DataFrame
             keep = share >= least
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep)), pa.array(share[keep])], names=["a", "b", "share"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "mark_a", "mark_b").mapInArrow(run, "a long, b long, share double").distinct()
+    both = looked_up(looked_up(pairs, "a", "b", left), "b", "a", right)
+    return both.select("a", "b", "mark_a", "mark_b").mapInArrow(run, "a long, b long, share double").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -189,7 +201,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    both = looked_up(looked_up(pairs.select("a", "b"), "a", "b", left), "b", "a", right)
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -230,6 +243,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Per round each node moves to the smallest node around it, twice over; links move along, and those within one node go. The
     nodes of every round are fewer by at least the largest of each group, and by far more where nodes have common neighbours.
+    The smallest node of a large group, around which very many stand, is looked up in parts.
     """
     edges = stored(links.select("a", "b").mapInArrow(_forest, "a long, b long"), "links")
     labels = stored(edges.select(F.col("a").alias("doc_id")).union(edges.select("b")).distinct().withColumn("component_id", F.col("doc_id")), "labels")
@@ -237,19 +251,21 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.union(edges.select("b", "a")).toDF("v", "w")
         near = both.groupBy("v").agg(F.min("w").alias("w")).select("v", F.least("v", "w").alias("to"))
         for _ in range(2):
-            next_ = near.select(F.col("v").alias("to"), F.col("to").alias("further"))
-            near = near.join(next_, "to", "left").select("v", F.coalesce("further", "to").alias("to"))
+            near = looked_up(near, "to", "v", near.toDF("to", "further"), "left").select("v", F.coalesce("further", "to").alias("to"))
         near = stored(near, "moves")
-        labels = stored(labels.join(near, F.col("component_id") == F.col("v"), "left").select("doc_id", F.coalesce("to", "component_id").alias("component_id")), "labels")
-        moved = edges.join(near.toDF("a", "p"), "a").join(near.toDF("b", "q"), "b")
-        edges = stored(moved.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).where("a < b").distinct().mapInArrow(_forest, "a long, b long"), "links")
+        moved = looked_up(labels.withColumnRenamed("component_id", "v"), "v", "doc_id", near, "left")
+        new_labels = stored(moved.select("doc_id", F.coalesce("to", "v").alias("component_id")), "labels")
+        moved = looked_up(looked_up(edges, "a", "b", near.toDF("a", "p")), "b", "a", near.toDF("b", "q"))
+        new_edges = stored(moved.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).where("a < b").distinct().mapInArrow(_forest, "a long, b long"), "links")
+        forget(edges, labels, near)
+        edges, labels = new_edges, new_labels
+    forget(edges)
     return labels
 
 
 def _cross(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """The pairs whose ends are in different groups."""
-    p, q = labels.toDF("a", "p"), labels.toDF("b", "q")
-    joined = pairs.join(p, "a", "left").join(q, "b", "left")
+    joined = looked_up(looked_up(pairs, "a", "b", labels.toDF("a", "p"), "left"), "b", "a", labels.toDF("b", "q"), "left")
     return joined.where(F.coalesce("p", "a") != F.coalesce("q", "b")).select(*pairs.columns)
 
 
@@ -262,10 +278,10 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
-def unfinished(heads: DataFrame, labels: DataFrame) -> DataFrame:
-    """The ids in buckets whose members are in different groups and have not all met; of up to three, first and neighbour are all."""
+def unfinished(heads: DataFrame, labels: DataFrame, salts: int = 1) -> DataFrame:
+    """The ids in buckets whose members are in different groups and have not all met; of up to three (two in parts), first and neighbour are all."""
     rows = _labelled(heads.select("doc_id", "bands"), labels).select("doc_id", "label", F.explode("bands").alias("band"))
-    open_ = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("n > 3 AND low < high")
+    open_ = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where(f"n > {3 if salts == 1 else 2} AND low < high")
     return rows.join(_small(stored(open_.select("band"), "buckets")), "band", "left_semi").select("doc_id").distinct()
 
 
@@ -343,15 +359,15 @@ def _all_met(rows: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("doc_id_x", "doc_id_y").alias("a"), F.greatest("doc_id_x", "doc_id_y").alias("b")).distinct()
 
 
-def finished(docs: DataFrame, heads: DataFrame, links: DataFrame, percent: int, least: float) -> DataFrame:
+def finished(docs: DataFrame, heads: DataFrame, links: DataFrame, percent: int, least: float, salts: int = 1) -> DataFrame:
     """Groups of the links and of all links that the buckets' other pairs bring."""
     labels = components(links)
-    ids = stored(unfinished(heads, labels), "unfinished")
+    ids = stored(unfinished(heads, labels, salts), "unfinished")
     if ids.isEmpty():
         return labels
     sets = stored(shingle_sets(docs, ids), "sets")
     lists = stored(listed(sets, percent), "lists")
-    for meet in (lambda rows: _met(rows.select("token", "size_class", "doc_id").distinct(), "token", "size_class"), lambda rows: _all_met(rows, percent)):
+    for meet in (lambda rows: _met(rows.select("token", "size_class", "doc_id").distinct(), "token", "size_class", salts=salts), lambda rows: _all_met(rows, percent)):
         pairs = _cross(likely_pairs(meet(_open_lists(lists, labels)), heads, least), labels)
         more = stored(verified(pairs, sets, percent), "verified")
         if not more.isEmpty():
@@ -360,8 +376,11 @@ def finished(docs: DataFrame, heads: DataFrame, links: DataFrame, percent: int,
     return labels
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept. `docs` has doc_id and text."""
+def near_duplicates(docs: DataFrame, percent: int = 75, heads_a_salt: int = HEADS_A_SALT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept. `docs` has doc_id and text.
+
+    heads_a_salt: how many class representatives there are for each task over which a bucket is dealt; it changes the plan and not the groups.
+    """
     signed = stored(sign(docs), "signed")
     named = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     # a class that very many rows share is counted in SALTS parts, and each part looks up its own row
@@ -371,14 +390,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     heads = named.join(classes.select(F.col("class_id").alias("doc_id"), "set_high", "set_low"), ["doc_id", "set_high", "set_low"]).select("doc_id", "bands", "signature")
     heads = stored(heads, "heads")
     likely = percent / 100
-    pairs = stored(candidate_pairs(heads, likely - 0.2), "pairs")
+    salts = 1 + heads.count() // heads_a_salt
+    pairs = stored(candidate_pairs(heads, likely - 0.2, salts), "pairs")
     sets = stored(shingle_sets(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()), "sets")
     score = F.when(F.col("share") >= likely, 2.0).otherwise(F.col("share"))
     first = pairs.groupBy("b").agg(F.max(F.struct(score.alias("s"), (-F.col("a")).alias("n"))).alias("best")).select((-F.col("best.n")).alias("a"), "b")
     links = stored(verified(first, sets, percent), "verified")
     rest = _cross(pairs.join(first, ["a", "b"], "left_anti"), components(links))
     links = links.union(stored(verified(rest, sets, percent), "verified"))
-    groups = finished(docs, heads, links, percent, likely - 0.2)
+    forget(sets, pairs)
+    groups = finished(docs, heads, links, percent, likely - 0.2, salts)
     final = classes.join(groups, F.col("class_id") == F.col("doc_id"), "left").select("set_high", "set_low", F.coalesce("component_id", "class_id").alias("component_id"))
     lookup = part.join(final, ["set_high", "set_low"]).select("set_high", "set_low", "salt", "component_id")
     linked = salted.join(lookup, ["set_high", "set_low", "salt"]).select("doc_id", "component_id").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
@@ -386,9 +407,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The documents that stay, with all their columns."""
+    """The documents that stay, with all their columns, whatever these are called."""
     dropped = stored(near_duplicates(docs, percent).where("NOT kept").select("doc_id").distinct(), "dropped")
     if dropped.count() <= BROADCAST_IDS:
         dropped = F.broadcast(dropped)
-    dropped = dropped.withColumnRenamed("doc_id", "dropped_id__")
-    return docs.join(dropped, F.col("doc_id").cast("long") == F.col("dropped_id__"), "left_anti")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"))
+    return rows.join(dropped, "doc_id", "left_anti").select("document.*")

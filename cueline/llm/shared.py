@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import tempfile
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 #: White space and words of every contract: bytes.split() cuts at exactly these characters.
@@ -27,18 +31,53 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
+#: Folders that this driver has made, by URI, with the Hadoop file system that removes each.
+_MADE: dict[str, tuple] = {}
+_FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder, as a URI, in the folder that all executors see; set here only where the cluster names none."""
+    """A new folder, as a URI, in the folder that all executors see: the one of spark.checkpoint.dir.
+
+    Where the cluster names none that is an error, except with a local master, whose executors are this machine. The folder goes when
+    this driver ends, if `forget` has not removed it before.
+    """
     prepare(spark)
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.environ.get("CUELINE_SHARED_DIR", "file:///tmp/checkpoints")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/checkpoints"
+    uri = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    if not _MADE:
+        atexit.register(lambda: [_remove(x) for x in list(_MADE)])
+    _MADE[uri] = (path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path)
+    return uri
+
+
+def _remove(uri: str) -> None:
+    store, path = _MADE.pop(uri)
+    try:
+        store.delete(path, True)
+    except Exception as e:  # the JVM or the store may be gone by now; what is left lies in the shared folder
+        print(f"left behind: {uri} ({type(e).__name__})")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: what follows does not depend on executors that may be lost."""
     path = shared_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    _FOLDERS[back] = path
+    return back
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove stored tables that nothing reads any more."""
+    for df in tables:
+        if (uri := _FOLDERS.pop(df, None)) in _MADE:
+            _remove(uri)
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -98,6 +137,17 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mixed(total)
 
 
+SALTS = 32
+
+
+def looked_up(rows: DataFrame, key: str, by: str, table: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined with the one row that `table` has for each key. A key that very many rows have is dealt over SALTS tasks by
+    another column: each of its parts looks the key up once, and the rows meet the answer of their part."""
+    salt = F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")
+    parts_ = rows.select(key, salt.alias("salt_of_part")).distinct().join(table, key)
+    return rows.withColumn("salt_of_part", salt).join(parts_, [key, "salt_of_part"], how).drop("salt_of_part")
+
+
 def parts(batch: pa.RecordBatch, max_bytes: int = 1 << 20, name: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts stay near max_bytes together, one row at least."""
     column = batch.column(batch.schema.get_field_index(name))

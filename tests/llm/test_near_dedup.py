@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from cueline.llm.near_dedup import SIZE, components, early_shingles, keep_one_of_each, near_duplicates, shingle_set, super_minhash
 from cueline.llm.shared import U64, WordHash
@@ -125,3 +126,29 @@ def test_early_shingles():
         small, large = ({(c, t) for c, big, tokens, _ in early_shingles(s, rng_counts, 75) if big == role for t in tokens} for rng_counts in [rng.integers(2, 9, 64)] for s, role in ((x, False), (y, True)))
         if 100 * both >= 75 * (n + m - both):
             assert small & large
+
+
+@pytest.mark.parametrize("strangers", [400, 1500])
+def test_boilerplate(spark, strangers):
+    """Planted pairs just above the threshold among strangers that share a passage below it; buckets as one and in parts."""
+    rng = random.Random(strangers)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    passage = fresh(61)
+    texts = [f"{passage} {fresh(40)}" for _ in range(strangers)]
+    for _ in range(60):  # the two share 67 of their 76 shingles, and 57 with each stranger
+        own = fresh(10)
+        texts += [f"{passage} {own} {fresh(9)}", f"{passage} {own} {fresh(9)}"]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    want = brute(rows)
+    assert sum(c != d for d, (_, c) in want.items()) >= 60
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for heads in (10**6, 100 if strangers == 400 else 10**6):
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs, heads_a_salt=heads).collect()} == want
+
+
+def test_clashing_names(spark):
+    rows = [(i, f"{'a b c d e f g h ' * 3}{i % 2}", i * 7, "x", 2.0, "y") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, dropped_id__ long, component_id string, document double, salt_of_part string")
+    left = keep_one_of_each(docs)
+    assert left.columns == docs.columns and [tuple(r) for r in left.collect()] == [rows[0]]
