@@ -81,24 +81,26 @@ def _seeded(seed: int, *columns: str) -> str:
 
 
 _MIX = rf"""
-    WITH sizes AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+    WITH sizes AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), md5(text)) AS name, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
     s1 AS (SELECT source, sum(size)::BIGINT AS source_size, 3 * sum(size)::BIGINT AS cap FROM sizes GROUP BY source),
     s2 AS (SELECT *, ([5.0, 2.0, 1.0]::DOUBLE[])[(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS weight FROM s1),
     s3 AS (SELECT *, (sum(source_size) OVER () - (sum(cap) OVER o - cap)) / (sum(weight) OVER () - sum(weight) OVER o + weight) AS level FROM s2 WINDOW o AS (ORDER BY cap / weight, source IS NULL, source)),
-    s4 AS (SELECT source, source_size, coalesce(least(cap, top * weight), cap)::DOUBLE AS target, greatest(1, ceil(t / 1048576))::BIGINT AS block FROM (SELECT *, max(CASE WHEN cap >= level * weight THEN level END) OVER () AS top, sum(source_size) OVER () AS t FROM s3)),
-    s5 AS (SELECT *, ceil(sum(source_size) OVER () / block)::BIGINT AS blocks, greatest(1, ceil(source_size / greatest(131072, 64 * block)))::BIGINT AS shards FROM s4),
+    s4 AS (SELECT source, source_size, coalesce(least(cap, top * weight), cap)::DOUBLE AS target, t FROM (SELECT *, max(CASE WHEN cap >= level * weight THEN level END) OVER () AS top, sum(source_size) OVER () AS t FROM s3)),
+    s5 AS (SELECT *, ceil(t / 256)::BIGINT AS blocks, greatest(1, ceil(source_size / 131072))::BIGINT AS shards FROM s4),
     {_seats("plan", "s5", "", "source", "target", "blocks").strip()},
-    dealt AS (SELECT doc_id, z.source, size, source_size, target, block, quota AS source_quota, {_seeded(7, "doc_id")} % shards AS shard FROM sizes z JOIN plan ON z.source IS NOT DISTINCT FROM plan.source),
+    dealt AS (SELECT doc_id, name, z.source, size, source_size, target, quota AS source_quota, {_seeded(7, "name")} % shards AS shard FROM sizes z JOIN plan ON z.source IS NOT DISTINCT FROM plan.source),
     sh AS (SELECT source, shard, sum(size)::BIGINT AS shard_size, any_value(source_quota) AS source_quota FROM dealt GROUP BY source, shard),
     {_seats("q", "sh", "source", "shard", "shard_size", "source_quota").strip()},
-    placed AS (SELECT d.*, shard_size, quota, least(quota * block, 3 * shard_size) AS want, (sum(size) OVER (PARTITION BY d.source, d.shard ORDER BY {_seeded(8, "doc_id")}, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS begins
-      FROM dealt d JOIN q ON d.source IS NOT DISTINCT FROM q.source AND d.shard = q.shard),
-    f AS (SELECT *, CASE WHEN shard_size > 0 THEN want // shard_size ELSE 0 END AS passes, shard_size // block AS n_whole FROM placed),
-    g AS (SELECT *, (want - passes * shard_size) // block AS picked, (want - passes * shard_size) % block AS part, {_seeded(9, "source", "shard")} % greatest(n_whole, 1) AS shift FROM f)
-    SELECT doc_id, size, source_size, target, CAST(passes * size + CASE WHEN size > 0 THEN list_sum(list_transform(range(begins // block, (begins + size - 1) // block + 1), lambda b:
-      CASE WHEN CASE WHEN b < n_whole THEN (b * 2147483647 + shift) % n_whole ELSE n_whole END < picked THEN greatest(0, least(begins + size, b * block + block) - greatest(begins, b * block))
-           WHEN CASE WHEN b < n_whole THEN (b * 2147483647 + shift) % n_whole ELSE n_whole END = picked THEN greatest(0, least(begins + size, b * block + part) - greatest(begins, b * block)) ELSE 0 END)) ELSE 0 END AS BIGINT) AS taken
-    FROM g"""
+    r1 AS (SELECT source, shard, shard_size, shard_size // 256 AS n_whole, least(quota * 256, 3 * shard_size) AS want FROM q),
+    r2 AS (SELECT *, CASE WHEN shard_size > 0 THEN want // shard_size ELSE 0 END AS passes FROM r1),
+    r3 AS (SELECT *, (want - passes * shard_size) // 256 AS picked, (want - passes * shard_size) % 256 AS part, list_transform(range(n_whole), lambda b: {{'hash': {_seeded(9, "source", "shard", "b")}, 'b': b}}) AS ranked FROM r2),
+    r4 AS (SELECT *, list_sort(ranked)[picked + 1] AS edge FROM r3),
+    r5 AS (SELECT source, shard, passes, list_append(list_transform(ranked, lambda x: CASE WHEN edge IS NULL OR x < edge THEN 256 WHEN x = edge THEN part ELSE 0 END), CASE WHEN picked >= n_whole THEN part ELSE 0 END) AS takes FROM r4),
+    placed AS (SELECT d.*, passes, takes, (sum(size) OVER (PARTITION BY d.source, d.shard ORDER BY {_seeded(8, "name")}, name, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS begins
+      FROM dealt d JOIN r5 ON d.source IS NOT DISTINCT FROM r5.source AND d.shard = r5.shard)
+    SELECT doc_id, size, source_size, target, CAST(passes * size + CASE WHEN size > 0 THEN list_sum(list_transform(range(begins // 256, (begins + size - 1) // 256 + 1), lambda b:
+      greatest(0, least(begins + size, b * 256 + takes[b + 1]) - greatest(begins, b * 256)))) ELSE 0 END AS BIGINT) AS taken
+    FROM placed"""
 
 
 @query("op2_source_mixing", _MIX)

@@ -1,20 +1,20 @@
 """Mixing sources to target weights by Sainte-Lague apportionment; DataFrame operations only.
 
-All words T of the corpus are cut into about `blocks` blocks of equal size. The blocks go to the sources by highest
-quotients target / (2k - 1), k = 1, 2, ..; then each source's blocks go to its shards in the same way, by the words of a
-shard. Quotas are integers. In a shard the documents lie in an order that a seed fixes, end to end. Whole passes over
-the shard are taken first; the rest of its quota are blocks that a seeded permutation of the block numbers picks, the
-last one in part, so that a shard gives exactly its quota. A document's words in the picked blocks are what is taken.
+The corpus has as many blocks of `block` words as its words fill. They go to the sources by highest quotients target / (2k - 1),
+k = 1, 2, ..; then each source's blocks go to its shards in the same way, by the words of a shard. Quotas are integers. In a shard
+the documents lie in an order that a seed fixes, end to end, and are cut into blocks. Whole passes over the shard are taken first;
+the rest of its quota are the blocks that come first by a seeded hash of source, shard and block, and the beginning of the next one,
+so that a shard gives exactly its quota. A document's words in the picked blocks are what is taken.
 
 Seats need no seat-by-seat loop: with V votes, n parties and B seats, the divisor V / (B - n / 2) gives at most B seats
 and V / (B + n / 2) at least B; only the seats between are ranked by quotient, fewer than 2n + 1 in all.
 
 A source is split into shards of about `shard_words` words, so a hot source is many groups; per-source tables are the
-only ones that a single task ranks.
+only ones that a single task ranks. Texts are read once: their sizes are stored.
 
-Defined cases: null text has size 0 and takes 0; the null source is a source and comes last by order; a source without
-words has target 0; with no words at all every target is 0; repeated rows are rows of their own; an empty table gives
-no rows.
+Defined cases: null text has size 0 and takes 0; the null source is a source and comes last by order; rows without an id are dealt by
+their text; a source without words has target 0; with no words at all every target is 0; repeated rows are rows of their own; other
+columns are not touched, whatever they are called; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,11 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cueline.llm.shared import WORD
+from cueline.llm.shared import WORD, stored
 
 CAP = 3  # times that a word may be taken
-#: A prime above any block number: multiplying by it permutes the block numbers of a shard unless their count is a multiple of it.
-PRIME = 2147483647
+UNIT = 1 << 20  # parts of a copy, in which shares are added up without rounding
 
 
 def seeded(seed: int, *columns: Column | str) -> Column:
@@ -81,50 +80,81 @@ def apportion(parties: DataFrame, group: list[str], party: list[str], votes: str
     return p.join(won, on, "left").select(*parties.columns, (F.col("low_") + F.coalesce("won_", F.lit(0))).alias("quota"))
 
 
-def block_words(total: int, blocks: int) -> int:
-    return max(1, -(-total // blocks))
+def _sized(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, source and size of each document, and the name by which it is dealt: its id, or else a digest of its text."""
+    text = F.col("text").cast("string")
+    name = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.md5(text.cast("binary")))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text).alias("size"), name.alias("name"), *more)
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), seed: int = 7, blocks: int = 1 << 20, shard_words: int = 1 << 17) -> DataFrame:
+def source_plan(sizes: DataFrame, weights: tuple[float, ...], block: int, shard_words: int) -> DataFrame:
+    """Of each source (column source_p): its size, target, number of shards, and its quota of blocks."""
+    targets = source_targets(sizes, weights)
+    blocks = F.ceil(F.sum("source_size").over(Window.partitionBy()) / block).cast("long")
+    shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / max(shard_words, 64 * block))).cast("long")
+    plan = apportion(targets.withColumn("blocks", blocks).withColumn("shards", shards), [], ["source"], "target", "blocks")
+    return plan.withColumnRenamed("quota", "source_quota").withColumnRenamed("source", "source_p").drop("blocks")
+
+
+def _dealt(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    """The rows with their source's plan and their shard; shard_key names source and shard and is never null."""
+    dealt = rows.join(plan, F.col("source").eqNullSafe(F.col("source_p"))).withColumn("shard", seeded(seed, "name") % F.col("shards"))
+    return dealt.withColumn("shard_key", F.concat(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")), F.lit("/"), F.col("shard").cast("string"))).drop("source_p", "shards")
+
+
+def shard_takes(dealt: DataFrame, seed: int, block: int) -> DataFrame:
+    """Of each shard_key: whole passes, and how many words are taken from the beginning of each block beyond them.
+
+    The last block, which is not full, comes last; the others come by their hashes.
+    """
+    shards = dealt.groupBy("source", "shard", "shard_key").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"))
+    q = apportion(shards, ["source"], ["shard"], "shard_size", "source_quota").withColumn("want", F.least(F.col("quota") * block, CAP * F.col("shard_size")))
+    q = q.withColumn("passes", F.when(F.col("shard_size") > 0, F.expr("want div shard_size")).otherwise(F.lit(0).cast("long"))).withColumn("rest", F.col("want") - F.col("passes") * F.col("shard_size"))
+    q = q.withColumn("picked", F.expr(f"rest div {block}L")).withColumn("part", F.col("rest") % block).withColumn("n_whole", F.expr(f"shard_size div {block}L"))
+    numbers = F.when(F.col("n_whole") > 0, F.sequence(F.lit(0).cast("long"), F.col("n_whole") - 1)).otherwise(F.array().cast("array<long>"))
+    q = q.withColumn("ranked", F.transform(numbers, lambda b: F.struct(seeded(seed + 2, "source", "shard", b).alias("hash"), b.alias("b"))))
+    q = q.withColumn("edge", F.get(F.array_sort("ranked"), F.col("picked").cast("int")))
+    whole = F.transform("ranked", lambda r: F.when(F.col("edge").isNull() | (r < F.col("edge")), F.lit(block).cast("long")).when(r == F.col("edge"), F.col("part")).otherwise(F.lit(0).cast("long")))
+    tail = F.when(F.col("picked") >= F.col("n_whole"), F.col("part")).otherwise(F.lit(0).cast("long"))
+    return q.select("shard_key", "passes", F.concat(whole, F.array(tail)).alias("takes"))
+
+
+def _taken(dealt: DataFrame, takes: DataFrame, seed: int, block: int) -> DataFrame:
+    """The rows with `taken`, and still in the order of their shard."""
+    at = F.sum("size").over(_order(seed).rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    placed = dealt.join(takes, "shard_key").withColumn("at", at)
+    inside = f"greatest(0L, least(at + size, b * {block}L + get(takes, cast(b AS int))) - greatest(at, b * {block}L))"
+    beyond = f"aggregate(CASE WHEN size > 0 THEN sequence(at div {block}L, (at + size - 1) div {block}L) ELSE array() END, 0L, (s, b) -> s + {inside})"
+    return placed.withColumn("taken", F.col("passes") * F.col("size") + F.expr(beyond))
+
+
+def _order(seed: int):
+    return Window.partitionBy("shard_key").orderBy(seeded(seed + 1, "name"), "name", "size")
+
+
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), seed: int = 7, block: int = 256, shard_words: int = 1 << 17) -> DataFrame:
     """doc_id, size, source_size, target, taken of each document; see the module's text.
 
-    blocks: into how many blocks the corpus is cut, up to rounding. shard_words: words of a shard, about; at least 64 blocks.
+    block: words of a block. shard_words: words of a shard, about; at least 64 blocks.
     """
-    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
-    targets = source_targets(sizes, weights)
-    whole = Window.partitionBy()
-    block = F.greatest(F.lit(1), F.ceil(F.sum("source_size").over(whole) / blocks)).cast("long")
-    targets = targets.withColumn("block", block).withColumn("blocks", F.ceil(F.sum("source_size").over(whole) / F.col("block")).cast("long"))
-    targets = targets.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.greatest(F.lit(shard_words), 64 * F.col("block")))).cast("long"))
-    plan = apportion(targets, [], ["source"], "target", "blocks").withColumnRenamed("quota", "source_quota")
-    plan = plan.withColumnRenamed("source", "source_p")
-    dealt = sizes.join(plan, F.col("source").eqNullSafe(F.col("source_p"))).select(
-        "doc_id", "source", "size", "source_size", "target", "block", "source_quota", (seeded(seed, "doc_id") % F.col("shards")).alias("shard")
-    )
-    shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"))
-    quotas = apportion(shards, ["source"], ["shard"], "shard_size", "source_quota").select(F.col("source").alias("source_q"), F.col("shard").alias("shard_q"), "shard_size", "quota")
-    w = Window.partitionBy("source", "shard")
-    at = F.sum("size").over(w.orderBy(seeded(seed + 1, "doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    placed = dealt.withColumn("at", at).join(quotas, F.col("source").eqNullSafe(F.col("source_q")) & (F.col("shard") == F.col("shard_q")))
-    # passes over the whole shard, then `rest` words in blocks: `picked` whole ones and `part` words of one more
-    placed = placed.withColumn("want", F.least(F.col("quota") * F.col("block"), CAP * F.col("shard_size")))
-    placed = placed.withColumn("passes", F.when(F.col("shard_size") > 0, F.floor(F.col("want") / F.col("shard_size"))).otherwise(0).cast("long"))
-    placed = placed.withColumn("rest", F.col("want") - F.col("passes") * F.col("shard_size")).withColumn("picked", F.expr("rest div block")).withColumn("part", F.col("rest") % F.col("block"))
-    placed = placed.withColumn("n_whole", F.expr("shard_size div block")).withColumn("shift", seeded(seed + 2, "source", "shard") % F.greatest(F.col("n_whole"), F.lit(1)))
-    # the tail after the last whole block comes last; rank of block b: where the permutation puts it
-    rank = f"CASE WHEN b < n_whole THEN (b * {PRIME} + shift) % n_whole ELSE n_whole END"
-    inside = "greatest(0L, least(at + size, b * block + {words}) - greatest(at, b * block))"
-    taken = f"""aggregate(CASE WHEN size > 0 THEN sequence(at div block, (at + size - 1) div block) ELSE array() END, 0L,
-        (s, b) -> s + CASE WHEN {rank} < picked THEN {inside.format(words="block")} WHEN {rank} = picked THEN {inside.format(words="part")} ELSE 0L END)"""
-    return placed.select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.expr(taken)).alias("taken"))
-
-
-def repeat_by_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), seed: int = 7) -> DataFrame:
-    """The rows as often as the mix takes them: once for each whole pass, and once more with the chance of the part that is
-    taken beyond, decided by a hash of the id. Documents stay whole; per source the words come to its target in the mean."""
-    mixed = mix_sources(docs, weights, seed)
-    chance = seeded(seed + 3, "doc_id") / float(1 << 48)
-    taken = mixed.where("taken > 0").groupBy("doc_id").agg(F.max(F.col("taken") / F.col("size")).alias("share"))
-    taken = taken.select(F.col("doc_id").alias("mixed_id__"), (F.floor("share") + (chance < F.col("share") - F.floor("share")).cast("int")).cast("int").alias("copies__")).where("copies__ > 0")
-    joined = docs.join(taken, F.col("doc_id").cast("long").eqNullSafe(F.col("mixed_id__")))
-    return joined.withColumn("copy__", F.explode(F.sequence(F.lit(1), F.col("copies__")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    sizes = stored(_sized(docs), "sizes")
+    dealt = _dealt(sizes, source_plan(sizes, weights, block, shard_words), seed)
+    return _taken(dealt, shard_takes(dealt, seed, block), seed, block).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def repeat_by_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), seed: int = 7, block: int = 256, shard_words: int = 1 << 17) -> DataFrame:
+    """The rows, whole, as often as the mix takes them.
+
+    Most documents lie in blocks that are taken or in others, and stay or go with them. Shares of a document are rounded along the seeded
+    order of its shard: one more copy comes each time that the sum of shares passes the next whole number, so that the copies of a
+    shard are its shares to within one. Words then differ from the quota by what the rounded documents are longer or shorter.
+    """
+    sizes = stored(_sized(docs), "sizes")
+    plan = source_plan(sizes, weights, block, shard_words)
+    takes = shard_takes(_dealt(sizes, plan, seed), seed, block)
+    rows = _sized(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"))
+    share = F.when(F.col("size") > 0, F.expr(f"taken * {UNIT}L div size")).otherwise(F.lit(0).cast("long"))
+    shared = _taken(_dealt(rows, plan, seed), takes, seed, block).withColumn("share", share)
+    upto = F.sum("share").over(_order(seed).rowsBetween(Window.unboundedPreceding, 0)) + seeded(seed + 3, "shard_key") % UNIT
+    copies = shared.withColumn("upto", upto).withColumn("copies", F.expr(f"(upto div {UNIT}L) - ((upto - share) div {UNIT}L)")).where("copies > 0")
+    return copies.select("document", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("document.*")
