@@ -2,11 +2,14 @@
 
 Each task writes archives of bounded size to the shared folder. A Zstandard dictionary is built from records of the
 archive itself (a bounded sample, spread evenly over it) and stored in a leading skippable frame; then every record is a
-frame of its own, compressed with that dictionary, so that any record can be read without the ones before it. Of records with
-equal payloads one is a response and the others are revisits without a payload that point to it.
+frame of its own, compressed with that dictionary, so that any record can be read without the ones before it. The first is a warcinfo
+record. Of pages with equal payloads one is a response, an HTTP message, and the others are revisits with its headers alone that point to it.
 
-Archives are written under a name of the attempt and renamed when complete, so that a task that runs again replaces what it
-wrote before; the reader takes the names from the table of archives, not from a listing.
+The name of an archive carries the attempt that wrote it. What counts is the table of archives, which Spark commits for one attempt of
+each task: archives of other attempts, whatever rows they hold, are not named there and are never read.
+
+Record ids are unique. That of a response which revisits point to follows from its row id and payload, so that they can state it;
+where rows repeat both, revisits leave it out and name the row alone. All other ids are random.
 
 Defined cases: a null payload counts as empty; payloads shorter than `min_bytes` are all responses; of rows that share
 payload and the smallest id all are responses; a null id comes after all others; with no rows there is no archive; other
@@ -18,7 +21,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
-import os
 import re
 import struct
 import uuid
@@ -50,22 +52,40 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload, usedforsecurity=False).digest()).decode()
 
 
-def record_id(row: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'row:{row}')}>"
+def record_id(row: int, digest: str) -> str:
+    """The id of the only response that has this row id and payload."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'row:{row}:{digest}')}>"
+
+
+def http_head(length: int) -> bytes:
+    return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
+
+
+def _record(headers: list[str], block: bytes) -> bytes:
+    return VERSION + b"\r\n" + "\r\n".join([*headers, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def record(row: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One record; a revisit has no payload and names the record that has it, and how long it is."""
+def warcinfo(name: str) -> bytes:
+    """The record that leads an archive."""
+    fields = b"software: cueline\r\nformat: WARC File Format 1.1\r\n"
+    return _record(["WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {DATE}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields"], fields)
+
+
+def record(row: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, target: bool = False, known: bool = True) -> bytes:
+    """One record; a revisit has no payload and names the record that has it, and how long it is.
+
+    target: the record is the one response that revisits point to. known: a revisit can state the id of that record.
+    """
     revisit = refers_to is not None
-    body = b"" if revisit else payload
+    block = http_head(len(payload)) + (b"" if revisit else payload)
     uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "") or "urn:none"
-    lines = [
-        f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(row)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri}",
-        f"WARC-Payload-Digest: sha1:{digest}", f"X-Row-ID: {'' if row is None else row}", f"X-Payload-Length: {len(payload)}",
-        *([f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Row-ID: {refers_to}"] if revisit else []),
-        "Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}",
+    headers = [
+        f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(row, digest) if target else f'<urn:uuid:{uuid.uuid4()}>'}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri}",
+        f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{base32_sha1(block)}", f"X-Row-ID: {'' if row is None else row}", f"X-Payload-Length: {len(payload)}",
+        *([f"WARC-Profile: {PROFILE}", f"X-Refers-To-Row-ID: {refers_to}"] if revisit else []), *([f"WARC-Refers-To: {record_id(refers_to, digest)}"] if revisit and known else []),
+        "Content-Type: application/http; msgtype=response",
     ]
-    return VERSION + b"\r\n" + "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+    return _record(headers, block)
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
@@ -132,17 +152,20 @@ def read_archive(stream, chunk: int = 1 << 20) -> Iterator[tuple[dict[str, str],
 
 
 def responses(pages: DataFrame, min_bytes: int) -> DataFrame:
-    """Each page with the id that holds its payload (`first`). Equal payloads are those of equal SHA-256 and length.
+    """Each page with the id that holds its payload (`first`), if others share it, and how many rows have both (`heads`). Equal payloads
+    are those of equal SHA-256 and length.
 
     A payload that very many pages share is counted in SALTS parts first, and each part looks up its own row.
     """
     raw = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), raw.alias("payload"))
-    rows = rows.withColumn("key", F.sha2("payload", 256)).withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)))
-    part = rows.where(F.length("payload") >= min_bytes).groupBy("key", "salt").agg(F.min("page_id").alias("low"), F.count(F.lit(1)).alias("n"))
-    whole = part.groupBy("key").agg(F.min("low").alias("first"), F.sum("n").alias("n")).where("n > 1")
-    lookup = part.join(whole.drop("n"), "key").select(F.col("key").alias("k"), F.col("salt").alias("s"), "first")
-    return rows.join(lookup, (F.col("key") == F.col("k")) & (F.col("salt") == F.col("s")), "left").select("page_id", "url", "payload", "first")
+    rows = rows.withColumn("key", F.unhex(F.sha2("payload", 256))).withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)))
+    each = rows.where(F.length("payload") >= min_bytes).groupBy("key", "salt", "page_id").agg(F.count(F.lit(1)).alias("n"))
+    low = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "n")))
+    part = each.groupBy("key", "salt").agg(low.alias("low"), F.sum("n").alias("n"))
+    whole = part.groupBy("key").agg(F.min("low").alias("low"), F.sum("n").alias("n")).where("n > 1").select("key", F.col("low.page_id").alias("first"), F.col("low.n").alias("heads"))
+    lookup = part.join(whole, "key").select(F.col("key").alias("k"), F.col("salt").alias("s"), "first", "heads")
+    return rows.join(lookup, (F.col("key") == F.col("k")) & (F.col("salt") == F.col("s")), "left").select("page_id", "url", "payload", "first", "heads")
 
 
 def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, archive_mb: int = 16, dictionary_kb: int = 64, sample_mb: int = 2) -> DataFrame:
@@ -158,19 +181,17 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, archive_mb: in
 
         def flush(records: list[bytes]) -> pa.RecordBatch:
             nonlocal n
-            data = archive(records, dictionary_kb << 10, sample_mb << 20)
-            path = f"{where}/part-{part:06d}-{n:04d}.warc.zst"
-            hidden = f"{where}/.{os.path.basename(path)}.{TaskContext.get().taskAttemptId()}"
-            with files.open_output_stream(hidden, compression=None) as out:
+            name = f"part-{part:06d}-{n:04d}-{TaskContext.get().taskAttemptId()}.warc.zst"
+            data = archive([warcinfo(name), *records], dictionary_kb << 10, sample_mb << 20)
+            with files.open_output_stream(f"{where}/{name}", compression=None) as out:
                 out.write(data)
-            files.move(hidden, path)
             n += 1
-            return pa.RecordBatch.from_pydict({"path": [f"{folder}/{os.path.basename(path)}"], "records": pa.array([len(records)], pa.int64()), "bytes": pa.array([len(data)], pa.int64())})
+            return pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "records": pa.array([len(records)], pa.int64()), "bytes": pa.array([len(data)], pa.int64())})
 
         held, size = [], 0
         for batch in batches:
-            for row, url, payload, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.append(record(row, url, payload, base32_sha1(payload), None if first is None or first == row else first))
+            for row, url, payload, first, heads in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.append(record(row, url, payload, base32_sha1(payload), None if first is None or first == row else first, first is not None and first == row and heads == 1, heads == 1))
                 size += len(held[-1])
                 if size >= archive_mb << 20:
                     yield flush(held)
@@ -204,7 +225,10 @@ def read_warc(archives: DataFrame) -> DataFrame:
                 files, where = open_store(path)
                 rows, size = [], 0
                 with files.open_input_stream(where, compression=None) as stream:
-                    for h, body in read_archive(stream):
+                    for h, block in read_archive(stream):
+                        if h["warc-type"] == "warcinfo":
+                            continue
+                        body = block.partition(b"\r\n\r\n")[2]
                         digest, length = h["warc-payload-digest"].removeprefix("sha1:"), int(h["x-payload-length"])
                         response = h["warc-type"] == "response"
                         if response and (len(body) != length or base32_sha1(body) != digest):
