@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cueline.llm.shared import U64, WordHash, mixed, parts, partitions_for, prepare, shared_folder
+from cueline.llm.shared import U64, WordHash, large, mixed, parts, partitions_for, prepare, shared_folder, small
 
 START, END = U64(0x5BF03635DCF3A2C1), U64(0xC2B2AE3D27D4EB4F)
 SPLIT = 16
@@ -85,17 +85,6 @@ def summed(keys: tuple[np.ndarray, ...], *values: np.ndarray) -> tuple[tuple[np.
     return tuple(k[first] for k in sorted_), tuple(np.add.reduceat(v[order], first) for v in values)
 
 
-def small(x: np.ndarray) -> bytes:
-    """Counts in as few bytes each as the largest needs; the first byte says how many."""
-    top = int(x.max()) if len(x) else 0
-    kind = np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64
-    return bytes([np.dtype(kind).itemsize]) + x.astype(kind).tobytes()
-
-
-def large(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"u{data[0]}", offset=1).astype(np.int64)
-
-
 SENT = "shard int, contexts binary, runs binary, words binary, counts binary"
 
 

@@ -7,8 +7,8 @@ comparable. Every document with a mean under `threshold` goes, as does one that
 
 The trusted target are all documents that `labels` marks with quality 1, found by a join on the id. The corpus counts cover
 every document. The prior is `prior_share` of the target's n-grams, so that a score does not move with the size of the input,
-and `prior` at least: on little evidence n-grams say little. Counts are summed in Spark, a slice of the slots per task; the
-driver gets one array of `buckets` entries.
+and `prior` at least: on little evidence n-grams say little. Counts are summed in Spark, a slice of the slots per task and at most
+about FAN tasks' counts at a time, level by level; the driver gets one array of `buckets` entries.
 
 Defined cases: null text counts as empty and fails the base rules; without trusted documents every ratio is 0 and the
 base rules decide; documents of the same id and repeated rows each get their row; other columns are not touched; an
@@ -21,13 +21,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cueline.llm.shared import U64, WordHash, ngram_hashes, parts, prepare
+from cueline.llm.shared import U64, WordHash, large, ngram_hashes, parts, partitions_for, prepare, small
 
 SYMBOLS = "#*$%&|<>"
 SLICES = 64
+FAN = 64
 NO_SLOTS = np.empty(0, np.int64)
 #: So many trusted ids are broadcast; beyond that Spark shuffles both sides of the join.
 BROADCAST_IDS = 500_000
@@ -78,7 +80,7 @@ def _bytes(batch: pa.RecordBatch, k: int = 1) -> list[bytes]:
     return [x or b"" for x in batch.column(k).cast(pa.binary()).to_pylist()]
 
 
-def fit_ratios(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 18, prior: float = 20.0, prior_share: float = 1.2e-6) -> np.ndarray:
+def fit_ratios(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 18, prior: float = 20.0, prior_share: float = 1.2e-6, fan: int = FAN) -> np.ndarray:
     """The log ratio of each slot, from counts over all documents and over the trusted ones."""
     spark = docs.sparkSession
     prepare(spark)
@@ -91,22 +93,31 @@ def fit_ratios(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 18, prior
             found = [slots(hashes.of(text.split()), buckets) for text in _bytes(batch)]
             total += np.bincount(np.concatenate([NO_SLOTS, *found]), minlength=buckets)
             target += np.bincount(np.concatenate([NO_SLOTS, *(x for x, g in zip(found, good, strict=True) if g)]), minlength=buckets)
-        yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "total": [total[k * size : (k + 1) * size].tobytes() for k in range(SLICES)], "target": [target[k * size : (k + 1) * size].tobytes() for k in range(SLICES)]})
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            for k, *both in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                got = [np.frombuffer(x, np.int64) for x in both]
-                sums[k] = [x + y for x, y in zip(sums[k], got, strict=True)] if k in sums else got
-        if sums:
-            yield pa.RecordBatch.from_pydict({"slice": pa.array(list(sums), pa.int32()), "total": [x[0].tobytes() for x in sums.values()], "target": [x[1].tobytes() for x in sums.values()]})
-
-    schema = "slice int, total binary, target binary"
-    rows = with_trust(docs, labels).mapInArrow(count, schema).repartitionById(SLICES, F.col("slice")).mapInArrow(add, schema).collect()
+        yield packed(range(SLICES), TaskContext.get().partitionId(), [(total[k * size : (k + 1) * size], target[k * size : (k + 1) * size]) for k in range(SLICES)])
+
+    def packed(slices, sender: int, counts: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"slice": pa.array(slices, pa.int32()), "sender": pa.array([sender] * len(counts), pa.int32()), "total": [small(a) for a, _ in counts], "target": [small(b) for _, b in counts]})
+
+    def add(of: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[tuple[int, int], list[np.ndarray]] = {}
+            for batch in batches:
+                for k, sender, *both in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    got, key = [large(x) for x in both], (k, sender // of)
+                    sums[key] = [x + y for x, y in zip(sums[key], got, strict=True)] if key in sums else got
+            for (k, sender), counts in sums.items():
+                yield packed([k], sender, [counts])
+
+        return run
+
+    schema = "slice int, sender int, total binary, target binary"
+    senders, rows = partitions_for(docs), with_trust(docs, labels).mapInArrow(count, schema)
+    while senders > fan:  # what so many senders have to say of a slice would be too much for one task
+        senders = -(-senders // fan)
+        rows = rows.repartition(SLICES * senders, "slice", F.expr(f"sender div {fan}")).mapInArrow(add(fan), schema)
     total, target = np.zeros(buckets), np.zeros(buckets)
-    for k, a, b in rows:
-        total[k * size : (k + 1) * size], target[k * size : (k + 1) * size] = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
+    for k, _, a, b in rows.repartitionById(SLICES, F.col("slice")).mapInArrow(add(1 << 31), schema).collect():
+        total[k * size : (k + 1) * size], target[k * size : (k + 1) * size] = large(a), large(b)
     if not target.sum():
         return np.zeros(buckets, np.float32)
     prior = max(prior, prior_share * target.sum())
@@ -116,6 +127,16 @@ def fit_ratios(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 18, prior
 STATS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double"
 
 
+def mean_ratio(words: np.ndarray, table: np.ndarray) -> float:
+    """The mean log ratio of a text's n-grams, from the hashes of its words."""
+    return float(table[slots(words, len(table))].mean(dtype=np.float64)) if len(words) else 0.0
+
+
+def base_fails(n_words, n_repeat_words):
+    """The base rules, over numbers or columns."""
+    return (n_words < 20) | (100 * n_repeat_words > 30 * n_words)
+
+
 def quality_stats(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
     """The counts of each document and its score; no verdict yet."""
     spark = docs.sparkSession
@@ -132,8 +153,7 @@ def quality_stats(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
                     h = hashes.of(words)
                     joined = b"".join(words)
                     chars = len(joined) if joined.isascii() else len(joined.decode())
-                    score = float(table[slots(h, len(table))].mean(dtype=np.float64)) if words else 0.0
-                    out.append((doc_id, len(words), chars, sum(joined.count(c) for c in SYMBOLS.encode()), repeated_lines(text), repeated_words(h), score))
+                    out.append((doc_id, len(words), chars, sum(joined.count(c) for c in SYMBOLS.encode()), repeated_lines(text), repeated_words(h), mean_ratio(h, table)))
                 columns = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns[:6]] + [pa.array(columns[6], pa.float64())], names=[x.split()[0] for x in STATS.split(", ")])
 
@@ -143,8 +163,7 @@ def quality_stats(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = -0.1, buckets: int = 1 << 18, prior: float = 20.0, prior_share: float = 1.2e-6) -> DataFrame:
     """One row per document: its counts, base_failed, kept, and the score that decided."""
     stats = quality_stats(docs, fit_ratios(docs, labels, buckets, prior, prior_share))
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return stats.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    return stats.withColumn("base_failed", base_fails(F.col("n_words"), F.col("n_repeat_words"))).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = -0.1, buckets: int = 1 << 18, prior: float = 20.0, prior_share: float = 1.2e-6) -> DataFrame:
@@ -157,11 +176,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = -0.1, bucke
     def kept(texts):
         import pandas as pd
 
-        hashes, table, out = WordHash(), shared.value, []
+        hashes, out = WordHash(), []
         for text in texts:
-            h = hashes.of((text or "").encode().split())
-            good = len(h) >= 20 and 100 * repeated_words(h) <= 30 * len(h)
-            out.append(good and float(table[slots(h, len(table))].mean(dtype=np.float64)) >= threshold)
+            words = hashes.of((text or "").encode().split())
+            out.append(not base_fails(len(words), repeated_words(words)) and mean_ratio(words, shared.value) >= threshold)
         return pd.Series(out, dtype=bool)
 
     return docs.where(kept(F.col("text").cast("string")))

@@ -2,10 +2,11 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 
-from cueline.llm.quality_rules import fit_ratios, keep_good, quality_rules
+from cueline.llm.quality_rules import fit_ratios, keep_good, quality_rules, quality_stats
 
 
 def brute(text):
@@ -62,3 +63,18 @@ def test_size_of_input(spark):
     once, often = (fit_ratios(x, labels, buckets=1 << 12, prior=0.1, prior_share=0.01) for x in (docs, more))
     np.testing.assert_allclose(once, often, atol=1e-6)
     assert once.any()
+
+
+def test_ratio_by_hand(spark):
+    """Scores against counters over words and pairs; sums in one level or in several."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choices([f"w{k}" for k in range(30 + 10 * (i % 2))], k=40))) for i in range(300)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string").repartition(9), spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, quality int")
+    grams = lambda t: (w := t.split()) + list(zip(w, w[1:]))
+    total, target = Counter(g for _, t in rows for g in grams(t)), Counter(g for i, t in rows[:100] if i % 2 for g in grams(t))
+    share, prior = target.total() / total.total(), 1.5
+    want = {i: np.mean([np.log((target[g] + prior) / (total[g] * share + prior)) for g in grams(t)]) for i, t in rows}
+    for fan in (64, 2):
+        stats = quality_stats(docs, fit_ratios(docs, labels, buckets=1 << 22, prior=prior, fan=fan))
+        off = [abs(r.score - want[r.doc_id]) for r in stats.collect()]
+        assert np.median(off) < 1e-6 and max(off) < 0.02  # a slot may hold two n-grams
