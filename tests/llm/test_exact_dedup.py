@@ -5,7 +5,10 @@ import random
 import re
 from collections import defaultdict
 
-from cueline.llm.exact_dedup import Entry, ExtendibleIndex, drop_exact_copies, exact_dedup, normalised
+import pyarrow as pa
+import pytest
+
+from cueline.llm.exact_dedup import ExtendibleIndex, _owned, drop_exact_copies, exact_dedup, normalised, place_of
 
 
 def brute(rows):
@@ -25,28 +28,50 @@ def test_normalised():
         assert normalised(t.encode()) == re.sub(r"[\x20\x09-\x0D]+", " ", t).encode()
 
 
-def test_index():
+@pytest.mark.parametrize("in_order", [False, True])
+def test_index(in_order):
     rng = random.Random(1)
     index = ExtendibleIndex(capacity=4)
     keys = [rng.getrandbits(64) for _ in range(500)] + [7, 7 | 1 << 63]
-    for k in keys + keys:
-        chain = index.chain(k)
-        if not chain:
-            chain.append(Entry(b"%d" % k, (k, 0), 1, 0, None))
-    assert sum(len(b.chains) for b in index.buckets()) == len(set(keys))
-    for b in index.buckets():
+    for k in sorted(keys + keys) if in_order else keys + keys:
+        index.insert(k, k, b"%d" % k, k % 5, 1)
+    for b in index.directory:
         assert len(b.chains) <= 4 and b.depth <= index.depth
-        assert all(k & ((1 << b.depth) - 1) == b.bits for k in b.chains)
-    assert len(index.directory) == 1 << index.depth and all(index.chain(k)[0].text == b"%d" % k for k in keys)
+        assert all(b.depth == 0 or k >> (64 - b.depth) == b.bits for k in b.chains)
+    assert len(index.directory) == 1 << index.depth and all(index.bucket(k).chains[k][0].count == 2 for k in keys)
+    seen = [k for b in index.complete(None) for k in b.chains]
+    assert sorted(seen) == sorted(keys) and index.written == len({x for x in index.slots() if x >= 0})
+
+
+def test_buckets_go_when_they_are_complete():
+    """Of texts in order a bucket or two are held; each text is written once, in the bucket to which the directory points."""
+    rng = random.Random(4)
+    keys = sorted(rng.getrandbits(64) for _ in range(3000))
+    rows = [(place_of(k, 3)[0], k - (1 << 63), 1, 1, b"%d" % k, None) for k in keys]
+    schema = pa.schema([("owner", pa.int32()), ("key", pa.int64()), ("low", pa.int64()), ("count", pa.int64()), ("body", pa.binary()), ("payload", pa.null())])
+    batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+    where, held, directories = {}, [], {}
+    for owner, index, bucket in _owned(iter([batch]), 3, lambda: ExtendibleIndex(8)):
+        if bucket is None:
+            directories[owner] = (index.depth, index.slots())
+        else:
+            held.append(sum(len(b.chains) for b in {id(b): b for b in index.directory}.values()))
+            for chain in bucket.chains.values():
+                for e in chain:
+                    assert e.text not in where
+                    where[e.text] = (owner, bucket.number)
+    assert len(where) == 3000 and max(held) <= 24 and sorted(directories) == [0, 1, 2]
+    for k in keys:
+        owner, place = place_of(k, 3)
+        depth, slots = directories[owner]
+        assert where[b"%d" % k] == (owner, slots[place >> (64 - depth)])
 
 
-def test_colliding_keys_are_chained(spark, monkeypatch):
+def test_colliding_keys_are_chained():
     index = ExtendibleIndex(capacity=1)
     for text in (b"a", b"b", b"a"):
-        chain = index.chain(5)
-        if not any(e.text == text for e in chain):
-            chain.append(Entry(text, (0, 0), 1, 0, None))
-    assert [e.text for e in index.chain(5)] == [b"a", b"b"]
+        index.insert(5, 5, text, 0, 1)
+    assert [(e.text, e.count) for e in index.bucket(5).chains[5]] == [(b"a", 2), (b"b", 1)]
 
 
 def test_rows(spark):
@@ -55,7 +80,7 @@ def test_rows(spark):
     rows = [(i, rng.choice(texts).replace(" ", rng.choice([" ", "  ", "\n\t"]))) for i in range(400)]
     rows += [(500 + i, "hot text") for i in range(300)] + [(900, None), (901, ""), (902, " "), (None, "hot text"), (None, "alone"), (3, rows[3][1]), (3, rows[3][1]), (950, "word " * 200_000)]
     df = spark.createDataFrame([(*r, "z", 1) for r in rows], "doc_id long, text string, kept string, key int").repartition(7)
-    got = exact_dedup(df, capacity=8, memory_mb=1).collect()
+    got = exact_dedup(df, capacity=8, memory_mb=1, bucket_mb=1).collect()
     assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.text_sha256) for r in got) == sorted((str(a), str(b), c, d) for a, b, c, d in brute(rows))
     by = defaultdict(list)
     for r in got:
