@@ -1,0 +1,16 @@
+"""Joins that stay spread where a key is hot."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+SALTS = 32
+
+
+def looked_up(rows: DataFrame, key: str, by: str, table: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined with the one row that `table` has for each key. A key that very many rows have is dealt over SALTS tasks by
+    another column: each of its parts looks the key up once, and the rows meet the answer of their part."""
+    salt = F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")
+    parts = rows.select(key, salt.alias("salt_of_part")).distinct().join(table, key)
+    return rows.withColumn("salt_of_part", salt).join(parts, [key, "salt_of_part"], how).drop("salt_of_part")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cueline.functions.ranking import rule_tags
 from cueline.functions.text import for_duplicates, node_code
-from cueline.operators.duplicates import add_occurrences, edit_duplicates, first_in_batch, two_stage_duplicates
+from cueline.operators.duplicates import add_occurrences, edit_duplicates, edit_pairs, first_in_batch, two_stage_duplicates
 from cueline.operators.folds import merge_lines
 from cueline.operators.quality import filter_lines
 from cueline.params import DEFAULT, Params
@@ -72,10 +72,9 @@ def promote(lines: DataFrame, ids: DataFrame) -> DataFrame:
 
 def near_pairs(lines: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Pairs of lines of one batch within the edit distance: batch, earlier, line_id. lines: batch, line_id, text."""
-    norm = lines.select("batch", "line_id", for_duplicates(F.col("text")).alias("x")).withColumn("n", F.length("x"))
-    longest = F.greatest("n", "m")
-    close = norm.toDF("batch", "earlier", "y", "m").join(norm, "batch").where((F.col("earlier") < F.col("line_id")) & ((longest == 0) | (F.abs(F.col("n") - F.col("m")) / F.greatest(longest, F.lit(1)) < params.edit_distance)))
-    return close.where(F.levenshtein("x", "y") / F.greatest(longest, F.lit(1)) < params.edit_distance).select("batch", "earlier", "line_id")
+    norm = lines.select("batch", "line_id", for_duplicates(F.col("text")).alias("x"))
+    pairs = edit_pairs(norm.select("batch", F.col("line_id").alias("x_id"), "x"), norm.select("batch", F.col("line_id").alias("y_id"), F.col("x").alias("y")), ["batch"], params)
+    return pairs.where("y_id < x_id").select("batch", F.col("y_id").alias("earlier"), F.col("x_id").alias("line_id"))
 
 
 def promote_in_order(lines: DataFrame, nodes: DataFrame, params: Params = DEFAULT) -> DataFrame:

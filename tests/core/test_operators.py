@@ -123,3 +123,32 @@ def test_streams(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
     assert spark.table("windows").agg(F.sum("n")).first()[0] == 12 and spark.table("sources").count() == 2
+
+
+def test_edit_pairs(spark):
+    """All pairs within the distance, for texts of all lengths and of few letters, against comparing each with each."""
+    import random
+
+    from cueline.operators.duplicates import edit_pairs
+
+    rng = random.Random(4)
+    texts = ["", "a", "ab", "é", "\U0001f600a b"] + ["".join(rng.choices("ab c", k=rng.randrange(1, 90))) for _ in range(120)]
+    for t in list(texts):
+        edited = list(t)
+        for _ in range(rng.randrange(0, 1 + len(t) // 6)):
+            k = rng.randrange(len(edited) + 1)
+            edited[k : k + rng.randrange(2)] = rng.choice(["x", "", "yz"])
+        texts.append("".join(edited))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, p in enumerate(a):
+            row, last = [i + 1], row
+            for j, q in enumerate(b):
+                row.append(min(last[j] + (p != q), last[j + 1] + 1, row[j] + 1))
+        return row[-1]
+
+    want = {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if a == b or (max(len(a), len(b)) and abs(len(a) - len(b)) / max(len(a), len(b)) < 0.15 and distance(a, b) / max(len(a), len(b)) < 0.15)}
+    rows = list(enumerate(texts))
+    got = edit_pairs(spark.createDataFrame(rows, "x_id long, x string"), spark.createDataFrame(rows, "y_id long, y string"))
+    assert sorted((r.x_id, r.y_id) for r in got.collect()) == sorted(want) and len(want) > 300
