@@ -17,7 +17,7 @@ def matches(c: Column, pattern: str) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def squeeze(c: Column) -> Column:

@@ -10,6 +10,7 @@ from cueline.functions.ranking import cosine
 from cueline.functions.text import for_alignment, word_count
 from cueline.operators.folds import merge_segments
 from cueline.params import DEFAULT, Params
+from cueline.workers import kept
 
 EPISODE = ["show_name", "episode"]
 
@@ -219,8 +220,8 @@ def fallback_spans(nodes: DataFrame, planned: DataFrame, segments: DataFrame, pa
 
 def plan_clips(nodes: DataFrame, segments: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """The table of cuts of all episodes: aligned nodes first, the others by their own times. Merged segments and jobs are read several times and kept."""
-    merged = merge_segments(segments, EPISODE, params).persist()
-    jobs = gate_alignments(align(nodes, merged, params), params).where("outcome = 'job'").persist()
+    merged = kept(merge_segments(segments, EPISODE, params))
+    jobs = kept(gate_alignments(align(nodes, merged, params), params).where("outcome = 'job'"))
     aligned = jobs.select(F.col("node_id").alias("clip_key"), *EPISODE, F.col("whisper_start").alias("main_start"), F.col("whisper_end").alias("main_end"), "confidence", F.col("align_step"))
     fallback = fallback_spans(nodes, jobs.select("node_id"), merged, params).withColumn("align_step", F.lit("subtitle_fallback"))
     return cut_plan(aligned.unionByName(fallback), merged, params)

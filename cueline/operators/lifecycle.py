@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from cueline.functions.ranking import rule_tags
 from cueline.functions.text import for_duplicates, node_code
-from cueline.operators.duplicates import add_occurrences, edit_duplicates, edit_pairs, first_in_batch, two_stage_duplicates
+from cueline.operators.duplicates import edit_duplicates, edit_pairs, first_in_batch, vector_duplicates
 from cueline.operators.folds import merge_lines
-from cueline.operators.quality import filter_lines
+from cueline.operators.quality import contextual_scores, filter_lines
 from cueline.params import DEFAULT, Params
+from cueline.workers import kept
 
 SOURCE = ["node_id", "show_name", "episode"]
 
@@ -37,21 +38,62 @@ def add_sources(sources: DataFrame, new: DataFrame) -> DataFrame:
     return both.groupBy(*SOURCE).agg(F.min("age__").alias("age__")).select(*SOURCE, (F.col("age__") == 1).alias("is_new"))
 
 
+def _active(nodes: DataFrame) -> DataFrame:
+    return nodes.where("is_active") if "is_active" in nodes.columns else nodes
+
+
+def _known_to(lines: DataFrame, nodes: DataFrame, params: Params) -> DataFrame:
+    """line_id and node_id of the lines that active nodes have: by edit distance, and where there are vectors by these."""
+    if "embedding" not in lines.columns:
+        return edit_duplicates(lines, _active(nodes), params)
+    coarse = edit_duplicates(lines, _active(nodes), params)
+    fine = vector_duplicates(lines.join(coarse, "line_id", "left_anti"), nodes, params)
+    return coarse.unionByName(fine)
+
+
+def gate_batch(lines: DataFrame, nodes: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """The lines of a batch with filter_status and quality_score, and in_context: whether a passed line is rare enough in the batch and new
+    enough to the nodes; null for lines that fail before, true where lines have no vectors."""
+    gated = filter_lines(lines.withColumn("en_text", F.col("text")), params).drop("en_text")
+    if "embedding" not in lines.columns:
+        return gated.withColumn("in_context", F.when(F.col("filter_status") == "passed", F.lit(True)))
+    gated = kept(gated)
+    passed = gated.where("filter_status = 'passed'").select("line_id", F.col("text").alias("en_text"), "embedding")
+    scores = contextual_scores(passed, nodes.where("embedding IS NOT NULL").select("node_id", "embedding"), "line_id", params)
+    return gated.join(scores.select("line_id", F.col("passed").alias("in_context")), "line_id", "left")
+
+
 def ingest(lines: DataFrame, nodes: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """What becomes of each line of a batch: filter_status, and for passed ones outcome ('merged', 'repeated' or 'created') and node_id.
+    """What becomes of each line of a batch: filter_status, in_context, and for lines that pass both gates outcome and node_id.
 
-    lines: line_id, text, word_count, show_name, episode, start_time; nodes: node_id, text. A line like a node merges into it; of lines that
-    read alike the first is created; lines that are only near to each other are all created, as the batch is compared with what was there before.
+    lines: line_id, text, word_count, show_name, episode, start_time, perhaps embedding; nodes: node_id, text, perhaps embedding and is_active. A
+    line that an active node has is 'merged' into it. Of the others that read alike the first one counts and the rest are 'repeated'; lines that are
+    only near to each other all count, as the batch is compared with what was there before. A line that counts is 'merged' into a node
+    of exactly its text, active or not, and else 'created'.
     """
-    gated = filter_lines(lines.withColumn("en_text", F.col("text")), params).drop("en_text").persist()  # read several times
-    found = edit_duplicates(gated.where("filter_status = 'passed'"), nodes, params)
-    passed = gated.where("filter_status = 'passed'").join(found, "line_id", "left")
-    fresh = first_in_batch(passed.where("node_id IS NULL"), ["line_id"]).withColumn("outcome", F.when(F.col("first_seen"), "created").otherwise("repeated")).drop("first_seen")
-    merged = passed.where("node_id IS NOT NULL").withColumn("outcome", F.lit("merged"))
-    rest = gated.where("filter_status <> 'passed'").withColumn("node_id", F.lit(None).cast("long")).withColumn("outcome", F.lit(None).cast("string"))
+    gated = kept(gate_batch(lines, nodes, params))
+    live = gated.where("filter_status = 'passed' AND in_context")
+    settled = kept(live.join(_known_to(live, nodes, params), "line_id", "left"))
+    exact = nodes.groupBy("text").agg(F.min("node_id").alias("exact_id"))
+    fresh = first_in_batch(settled.where("node_id IS NULL"), ["line_id"]).join(exact, "text", "left")
+    outcome = F.when(~F.col("first_seen"), "repeated").when(F.col("exact_id").isNotNull(), "merged").otherwise("created")
+    fresh = fresh.withColumn("outcome", outcome).withColumn("node_id", F.when(F.col("first_seen"), F.col("exact_id"))).drop("first_seen", "exact_id")
+    merged = settled.where("node_id IS NOT NULL").withColumn("outcome", F.lit("merged"))
+    rest = gated.where("filter_status <> 'passed' OR NOT in_context").withColumn("node_id", F.lit(None).cast("long")).withColumn("outcome", F.lit(None).cast("string"))
     return merged.unionByName(fresh).unionByName(rest)
 
 
+def ingested_sources(ingested: DataFrame, sources: DataFrame | None = None, first_id: int = 1) -> DataFrame:
+    """node_id, show_name, episode, subtitle_id that a batch adds: of merged lines the node's, of created ones their own; each node and episode once.
+
+    subtitle_id is the last line of the episode with the text of the first line that brings the source. sources: those that are there.
+    """
+    marked = subtitle_ids(ingested.withColumn("en_text", F.col("text")).select("line_id", "episode", "en_text", "show_name", "node_id", "outcome"), ingested.select("episode", F.col("text").alias("en_text"), "line_id"))
+    new = marked.where("outcome IN ('merged', 'created')").withColumn("node_id", F.coalesce("node_id", F.col("line_id") + first_id))
+    new = new.groupBy(*SOURCE).agg(F.min_by("subtitle_id", "line_id").alias("subtitle_id"))
+    return new.join(sources.select(*SOURCE).distinct(), SOURCE, "left_anti") if sources is not None else new
+
+
 def created_nodes(ingested: DataFrame, first_id: int = 1) -> DataFrame:
     """Nodes of created lines: rule tags, code, one occurrence. Ids are the first id plus the line's."""
     tags = rule_tags(F.col("word_count"))
@@ -171,12 +213,24 @@ def merge_adjacent(nodes: DataFrame, gap: float, params: Params = DEFAULT) -> Da
     return merge_lines(given, ["show_name", "episode"], ["node_id"], params, gap, vectors="embedding" in nodes.columns)
 
 
-def sync_episode(lines: DataFrame, nodes: DataFrame, params: Params = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """Passed lines that are not synced yet: (line_id, node_id, stage), and the nodes with their occurrences.
+def sync_episode(lines: DataFrame, nodes: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """What becomes of the passed lines of an episode that no node came from: line_id, outcome ('merged' or 'created'), node_id, created_by.
 
-    A line with exactly the text of a node counts for it, like one within the edit distance; there is no comparison within the batch.
+    A line that an active node has, or that has exactly the text of any node, is merged into it. Of other lines of one exact text the first creates
+    a node, and the rest are merged into that one: created_by is the line that made it. Lines that are merely near to each other all create nodes.
     """
-    found = two_stage_duplicates(unsynced(lines, nodes), nodes, params) if "embedding" in lines.columns else edit_duplicates(unsynced(lines, nodes), nodes, params)
-    return found, add_occurrences(nodes, found)
-
-
+    open_ = kept(unsynced(lines, nodes))
+    found = kept(open_.join(_known_to(open_, nodes, params), "line_id", "left").select("line_id", "text", "node_id"))
+    exact = nodes.groupBy("text").agg(F.min("node_id").alias("exact_id"))
+    fresh = found.where("node_id IS NULL").drop("node_id").join(exact, "text", "left")
+    firsts = fresh.where("exact_id IS NULL").groupBy("text").agg(F.min("line_id").alias("created_by"))
+    fresh = fresh.join(firsts, "text", "left").select("line_id", F.when(F.col("line_id") == F.col("created_by"), "created").otherwise("merged").alias("outcome"), F.col("exact_id").alias("node_id"), "created_by")
+    merged = found.where("node_id IS NOT NULL").select("line_id", F.lit("merged").alias("outcome"), "node_id", F.lit(None).cast("long").alias("created_by"))
+    return merged.unionByName(fresh)
+
+
+def synced_nodes(lines: DataFrame, synced: DataFrame, first_id: int = 1) -> DataFrame:
+    """Nodes of lines that sync created, with rule tags and as many occurrences as lines were merged into them."""
+    more = synced.where("created_by IS NOT NULL").groupBy(F.col("created_by").alias("line_id")).agg(F.count(F.lit(1)).alias("occurrences"))
+    made = lines.join(more, "line_id").withColumn("outcome", F.lit("created"))
+    return created_nodes(made, first_id).join(more.select(F.col("line_id").alias("subtitle_id"), "occurrences"), "subtitle_id").withColumn("occurrence_count", F.col("occurrences")).drop("occurrences")

@@ -45,10 +45,12 @@ def tfidf_scores(lines: DataFrame, key: str = "line_id") -> DataFrame:
     Lines without words score like 0 before scaling; a single line, or lines that are all alike, get 0.5. The number of lines
     and the range are one row each, joined as such: no window gathers the batch in one task.
     """
-    words = F.filter(F.regexp_extract_all(F.lower("en_text"), F.lit("([a-z']+)"), F.lit(1)), lambda w: ~F.array_contains(F.array(*[F.lit(x) for x in sorted(FUNCTION_WORDS)]), w) & (F.length(w) > 2))
+    words = F.filter(F.regexp_extract_all(F.lower("en_text"), F.lit("([a-z']+)"), F.lit(1)), lambda w: ~w.isin(*sorted(FUNCTION_WORDS)) & (F.length(w) > 2))
     split = lines.select(key, words.alias("words"))
     total = split.agg(F.count(F.lit(1)).alias("n"))
-    counts = split.select(key, F.size("words").alias("size"), F.explode("words").alias("word")).groupBy(key, "size", "word").agg(F.count(F.lit(1)).alias("c"))
+    # a line's words are counted within its row: no shuffle brings them together
+    counted = F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("word"), F.size(F.filter("words", lambda x: x == w)).alias("c")))
+    counts = split.select(key, F.size("words").alias("size"), F.explode(counted).alias("w")).select(key, "size", "w.*")
     seen = counts.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     rated = counts.join(seen, "word").crossJoin(F.broadcast(total))  # one row
     raw = rated.groupBy(key).agg(F.sum(F.col("c") * F.col("c") / F.col("size") / F.col("size") * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)).alias("raw"))

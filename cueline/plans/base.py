@@ -36,6 +36,8 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
             head = ", ".join(f"{v} AS ({VIEWS[v].strip()})" for v in needed)
             if not head:
                 ORACLES[name] = body
+            elif body.startswith(","):  # more common table expressions
+                ORACLES[name] = f"WITH {recursive}{head}{body}"
             elif body.upper().startswith("WITH "):
                 ORACLES[name] = f"WITH {recursive}{head}, {body[5:].strip().removeprefix('RECURSIVE').strip()}"
             else:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cueline.operators import lifecycle as M
 from cueline.plans.base import NEEDS, VIEWS, clips, lines, nodes, query, sql_values, table, values
-from cueline.plans.quality_queries import LINES
+from cueline.plans.quality_queries import LINES, TFIDF
 from cueline.plans.search_queries import PLAIN
 from cueline.plans.text_queries import duplicates_sql
 
@@ -41,28 +41,42 @@ def add_sources(spark, sf_dir):
     return M.add_sources(c.where("clip_status = 'matched'"), c.where("clip_status <> 'matched'"))
 
 
-VIEWS["passed"] = "SELECT * FROM gated WHERE filter_status = 'passed'"
-VIEWS["norm"] = f"SELECT line_id, {PLAIN.format(duplicates_sql('en_text'))} AS x FROM passed"
-VIEWS["known"] = f"SELECT item_id AS node_id, {PLAIN.format(duplicates_sql('text'))} AS y FROM benchmark"
-VIEWS["merged"] = "SELECT line_id, min(node_id) AS node_id FROM norm, known WHERE greatest(length(x), length(y)) = 0 OR (abs(length(x) - length(y)) / greatest(length(x), length(y)) < 0.15 AND levenshtein(x, y) / greatest(length(x), length(y)) < 0.15) GROUP BY line_id"
+# A batch of all lines, each with one of the vectors; nodes are the items of benchmark, some of them not active.
+VIEWS["passed"] = "SELECT *, (doc_id * 31 + pos) % 500 AS vec FROM gated WHERE filter_status = 'passed'"
+VIEWS["vecs"] = "SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings"
+VIEWS["items0"] = "SELECT item_id AS node_id, text, v, item_id % 7 <> 3 AS is_active, item_id * 100000 AS subtitle_id FROM benchmark LEFT JOIN vecs ON vec_id = item_id"
+VIEWS["met"] = "SELECT vec_id AS vec, node_id, is_active, list_cosine_similarity(q.v, k.v) AS s, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_cosine_similarity(q.v, k.v), 12) DESC, node_id) AS r FROM vecs q CROSS JOIN items0 k WHERE vec_id < 500 AND k.v IS NOT NULL"
+VIEWS["fitting"] = f"""SELECT line_id FROM ({TFIDF.replace("FROM lines)", "FROM passed)")}) JOIN passed USING (line_id)
+    JOIN (SELECT vec, greatest(0, least(1, 1 - avg(s))) AS novelty FROM met WHERE r <= 3 GROUP BY vec) USING (vec) WHERE tfidf * 0.4::DOUBLE + novelty * 0.6::DOUBLE >= 0.3::DOUBLE"""
+VIEWS["norm"] = f"SELECT line_id, vec, en_text, {PLAIN.format(duplicates_sql('en_text'))} AS x FROM passed"
+VIEWS["known"] = f"SELECT node_id, {PLAIN.format(duplicates_sql('text'))} AS y FROM items0 WHERE is_active"
+VIEWS["by_edit"] = "SELECT x, min(node_id) AS node_id FROM (SELECT DISTINCT x FROM norm) CROSS JOIN known WHERE greatest(length(x), length(y)) = 0 OR (abs(length(x) - length(y)) / greatest(length(x), length(y)) < 0.15 AND levenshtein(x, y) / greatest(length(x), length(y)) < 0.15) GROUP BY x"
+VIEWS["by_vector"] = "SELECT vec, min(node_id) AS node_id FROM met WHERE r <= 5 AND s >= 0.95 AND is_active GROUP BY vec"
+VIEWS["exact"] = "SELECT text AS en_text, min(node_id) AS exact_id FROM items0 GROUP BY text"
+VIEWS["settled"] = "SELECT n.*, coalesce(e.node_id, v.node_id) AS node_id FROM norm n LEFT JOIN by_edit e USING (x) LEFT JOIN by_vector v USING (vec)"
+VIEWS["batch"] = "SELECT *, row_number() OVER (PARTITION BY node_id IS NULL, x ORDER BY line_id) = 1 AS first FROM settled WHERE line_id IN (SELECT line_id FROM fitting)"
+VIEWS["ingested"] = """SELECT g.line_id, doc_id, source, g.en_text, filter_status, CASE WHEN filter_status = 'passed' THEN b.line_id IS NOT NULL END AS in_context, CASE WHEN b.node_id IS NOT NULL THEN b.node_id WHEN b.first THEN exact_id END AS node_id,
+    CASE WHEN b.line_id IS NULL THEN NULL WHEN b.node_id IS NOT NULL THEN 'merged' WHEN NOT b.first THEN 'repeated' WHEN exact_id IS NOT NULL THEN 'merged' ELSE 'created' END AS outcome FROM gated g LEFT JOIN batch b USING (line_id) LEFT JOIN exact x ON x.en_text = g.en_text"""
 NEEDS["passed"] = LINES
-NEEDS["norm"] = (*LINES, "passed")
-NEEDS["merged"] = (*LINES, "passed", "norm", "known")
-VIEWS["ingested"] = "SELECT g.line_id, filter_status, m.node_id, CASE WHEN filter_status <> 'passed' THEN NULL WHEN m.node_id IS NOT NULL THEN 'merged' WHEN row_number() OVER (PARTITION BY filter_status, m.node_id IS NULL, x ORDER BY g.line_id) = 1 THEN 'created' ELSE 'repeated' END AS outcome FROM gated g LEFT JOIN norm n USING (line_id) LEFT JOIN merged m USING (line_id)"
-NEEDS["ingested"] = (*LINES, "passed", "norm", "known", "merged")
+NEEDS["settled"] = (*LINES, "passed", "vecs", "items0", "met", "norm", "known", "by_edit", "by_vector", "exact")
+NEEDS["ingested"] = (*NEEDS["settled"], "fitting", "settled", "batch")
 
 
 def _batch(spark, sf_dir):
-    return lines(spark, sf_dir).select("line_id", F.col("en_text").alias("text"), "word_count", F.col("source").alias("show_name"), F.col("doc_id").cast("string").alias("episode"), "start_time")
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("vec"), "embedding")
+    rows = lines(spark, sf_dir).withColumn("vec", (F.col("doc_id") * 31 + F.col("pos")) % 500).join(e, "vec", "left")
+    return rows.select("line_id", F.col("en_text").alias("text"), "word_count", F.col("source").alias("show_name"), F.col("doc_id").cast("string").alias("episode"), "start_time", "embedding")
 
 
 def _known(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("node_id"), "text")
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node_id"), "embedding")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("node_id"), "text", (F.col("item_id") % 7 != 3).alias("is_active"), (F.col("item_id") * 100000).alias("subtitle_id"))
+    return items.join(e, "node_id", "left")
 
 
-@query("ingest", "SELECT line_id, filter_status, node_id, outcome FROM ingested", ("ingested",))
+@query("ingest", "SELECT line_id, filter_status, in_context, node_id, outcome FROM ingested", ("ingested",))
 def ingest(spark, sf_dir):
-    return M.ingest(_batch(spark, sf_dir), _known(spark, sf_dir)).select("line_id", "filter_status", "node_id", "outcome")
+    return M.ingest(_batch(spark, sf_dir), _known(spark, sf_dir)).select("line_id", "filter_status", "in_context", "node_id", "outcome")
 
 
 @query("ingest_summary", "SELECT count_if(outcome = 'created') AS created, count_if(outcome = 'merged') AS merged, count_if(outcome = 'repeated') AS repeated, count_if(outcome IS NULL) AS skipped FROM ingested", ("ingested",))
@@ -70,7 +84,26 @@ def ingest_summary(spark, sf_dir):
     return M.batch_summary(M.ingest(_batch(spark, sf_dir), _known(spark, sf_dir)))
 
 
-@query("created_nodes", "SELECT line_id + 1 AS node_id, word_count, CASE WHEN word_count <= 8 THEN 'beginner' WHEN word_count <= 20 THEN 'intermediate' ELSE 'advanced' END AS difficulty, concat(upper(source), '-', substr(CAST(doc_id AS VARCHAR), 1, 8), '-', printf('%08d', CAST(round_even(start_time * 1000, 0) AS BIGINT))) AS code FROM ingested JOIN lines USING (line_id) WHERE outcome = 'created'", ("ingested",))
+@query(
+    "ingest_sources",
+    """, last AS (SELECT doc_id, en_text, max(line_id) AS subtitle_id FROM ingested GROUP BY ALL)
+    SELECT coalesce(node_id, line_id + 1) AS node_id, source AS show_name, CAST(doc_id AS VARCHAR) AS episode, arg_min(subtitle_id, line_id) AS subtitle_id FROM ingested JOIN last USING (doc_id, en_text) WHERE outcome IN ('merged', 'created') GROUP BY ALL""",
+    ("ingested",),
+)
+def ingest_sources(spark, sf_dir):
+    return M.ingested_sources(M.ingest(_batch(spark, sf_dir), _known(spark, sf_dir)))
+
+
+@query("ingest_counts", ", m AS (SELECT node_id, count(*) AS more FROM ingested WHERE outcome = 'merged' GROUP BY node_id) SELECT node_id, CAST(1 + node_id % 5 + coalesce(more, 0) AS BIGINT) AS occurrence_count FROM items0 LEFT JOIN m USING (node_id)", ("ingested",))
+def ingest_counts(spark, sf_dir):
+    from cueline.operators.duplicates import add_occurrences
+
+    nodes_ = _known(spark, sf_dir)
+    merged = M.ingest(_batch(spark, sf_dir), nodes_).where("outcome = 'merged'")
+    return add_occurrences(nodes_.select("node_id", (1 + F.col("node_id") % 5).alias("occurrence_count")), merged.select("node_id")).select("node_id", "occurrence_count")
+
+
+@query("created_nodes", "SELECT line_id + 1 AS node_id, word_count, CASE WHEN word_count <= 8 THEN 'beginner' WHEN word_count <= 20 THEN 'intermediate' ELSE 'advanced' END AS difficulty, concat(upper(source), '-', substr(CAST(doc_id AS VARCHAR), 1, 8), '-', printf('%08d', CAST(round_even(start_time * 1000, 0) AS BIGINT))) AS code FROM (SELECT line_id, outcome FROM ingested) JOIN lines USING (line_id) WHERE outcome = 'created'", ("ingested",))
 def created_nodes(spark, sf_dir):
     return M.created_nodes(M.ingest(_batch(spark, sf_dir), _known(spark, sf_dir))).select("node_id", "word_count", "difficulty", "code")
 
@@ -154,15 +187,25 @@ def replace_episode(spark, sf_dir):
     return replace(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), new, ["conv_id"])
 
 
-@query("sync_episode", "WITH u AS (SELECT line_id FROM passed WHERE line_id NOT IN (SELECT subtitle_id FROM nodes WHERE subtitle_id IS NOT NULL)) SELECT line_id, node_id FROM merged WHERE line_id IN (SELECT line_id FROM u)", ("merged", "nodes"))
-def sync_episode(spark, sf_dir):
+SYNC = """, u AS (SELECT s.*, exact_id, min(line_id) OVER (PARTITION BY s.en_text, node_id IS NULL) AS first FROM settled s LEFT JOIN exact USING (en_text) WHERE line_id NOT IN (SELECT subtitle_id FROM items0)),
+    y AS (SELECT line_id, CASE WHEN coalesce(node_id, exact_id) IS NULL AND line_id = first THEN 'created' ELSE 'merged' END AS outcome, coalesce(node_id, exact_id) AS node_id, CASE WHEN coalesce(node_id, exact_id) IS NULL THEN first END AS created_by FROM u)"""
+
+
+def _synced(spark, sf_dir):
     from cueline.operators.quality import filter_lines
 
-    rows = filter_lines(lines(spark, sf_dir)).withColumn("text", F.col("en_text"))
-    known = _known(spark, sf_dir).join(nodes(spark, sf_dir).select("node_id", "subtitle_id"), "node_id", "left")
-    taken = nodes(spark, sf_dir).select("subtitle_id", F.lit(None).cast("long").alias("node_id"), F.lit(None).cast("string").alias("text"))
-    found = M.edit_duplicates(M.unsynced(rows, taken), known)
-    return found.select("line_id", "node_id")
+    rows = filter_lines(_batch(spark, sf_dir).withColumn("en_text", F.col("text"))).drop("en_text")
+    return rows, M.sync_episode(rows, _known(spark, sf_dir))
+
+
+@query("sync_episode", SYNC + " SELECT * FROM y", ("settled", "ingested"))
+def sync_episode(spark, sf_dir):
+    return _synced(spark, sf_dir)[1]
+
+
+@query("synced_nodes", SYNC + ", c AS (SELECT created_by AS line_id, count(*) AS occurrence_count FROM y WHERE created_by IS NOT NULL GROUP BY created_by) SELECT line_id + 1 AS node_id, occurrence_count, CASE WHEN word_count <= 8 THEN 'beginner' WHEN word_count <= 20 THEN 'intermediate' ELSE 'advanced' END AS difficulty FROM c JOIN lines USING (line_id)", ("settled", "ingested"))
+def synced_nodes(spark, sf_dir):
+    return M.synced_nodes(*_synced(spark, sf_dir)).select("node_id", "occurrence_count", "difficulty")
 
 
 @query("stream_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL")
