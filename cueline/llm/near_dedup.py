@@ -182,8 +182,7 @@ def likely_pairs(pairs: DataFrame, signed: DataFrame, least: float) -> DataFrame
             keep = share >= least
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep)), pa.array(share[keep])], names=["a", "b", "share"])
 
-    both = looked_up(looked_up(pairs, "a", "b", left), "b", "a", right)
-    return both.select("a", "b", "mark_a", "mark_b").mapInArrow(run, "a long, b long, share double").distinct()
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "mark_a", "mark_b").mapInArrow(run, "a long, b long, share double").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -201,8 +200,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y"))
-    both = looked_up(looked_up(pairs.select("a", "b"), "a", "b", left), "b", "a", right)
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -241,23 +239,23 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame) -> DataFrame:
     """doc_id and component_id (the smallest id reachable) of every node of the links a, b.
 
-    Per round each node moves to the smallest node around it, twice over; links move along, and those within one node go. The
-    nodes of every round are fewer by at least the largest of each group, and by far more where nodes have common neighbours.
-    The smallest node of a large group, around which very many stand, is looked up in parts.
+    Per round each node moves to the smallest node around it, and on to where that one moves; links move along, and those within one node
+    go. The nodes of every round are fewer by at least the largest of each group, and by far more where nodes have common neighbours.
+    The smallest node of a large group, around which very many stand, is looked up in parts. Each step is stored, so plans stay small.
     """
     edges = stored(links.select("a", "b").mapInArrow(_forest, "a long, b long"), "links")
     labels = stored(edges.select(F.col("a").alias("doc_id")).union(edges.select("b")).distinct().withColumn("component_id", F.col("doc_id")), "labels")
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a")).toDF("v", "w")
         near = both.groupBy("v").agg(F.min("w").alias("w")).select("v", F.least("v", "w").alias("to"))
-        for _ in range(2):
-            near = looked_up(near, "to", "v", near.toDF("to", "further"), "left").select("v", F.coalesce("further", "to").alias("to"))
         near = stored(near, "moves")
-        moved = looked_up(labels.withColumnRenamed("component_id", "v"), "v", "doc_id", near, "left")
+        moves = stored(looked_up(near, "to", "v", near.toDF("to", "further"), "left").select("v", F.coalesce("further", "to").alias("to")), "moves")
+        moved = looked_up(labels.withColumnRenamed("component_id", "v"), "v", "doc_id", moves, "left")
         new_labels = stored(moved.select("doc_id", F.coalesce("to", "v").alias("component_id")), "labels")
-        moved = looked_up(looked_up(edges, "a", "b", near.toDF("a", "p")), "b", "a", near.toDF("b", "q"))
+        half = stored(looked_up(edges, "a", "b", moves.toDF("a", "p")), "links")
+        moved = looked_up(half, "b", "a", moves.toDF("b", "q"))
         new_edges = stored(moved.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).where("a < b").distinct().mapInArrow(_forest, "a long, b long"), "links")
-        forget(edges, labels, near)
+        forget(edges, labels, near, moves, half)
         edges, labels = new_edges, new_labels
     forget(edges)
     return labels
@@ -265,7 +263,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def _cross(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """The pairs whose ends are in different groups."""
-    joined = looked_up(looked_up(pairs, "a", "b", labels.toDF("a", "p"), "left"), "b", "a", labels.toDF("b", "q"), "left")
+    joined = pairs.join(labels.toDF("a", "p"), "a", "left").join(labels.toDF("b", "q"), "b", "left")
     return joined.where(F.coalesce("p", "a") != F.coalesce("q", "b")).select(*pairs.columns)
 
 
