@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cueline.llm.shared import WORD, stored
+from cueline.llm.shared import WORD, partitions_for, stored
 
 CAP = 3  # times that a word may be taken
 UNIT = 1 << 20  # parts of a copy, in which shares are added up without rounding
@@ -138,7 +138,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), seed: i
     block: words of a block. shard_words: words of a shard, about; at least 64 blocks.
     """
     sizes = stored(_sized(docs), "sizes")
-    dealt = _dealt(sizes, source_plan(sizes, weights, block, shard_words), seed)
+    dealt = _dealt(sizes, stored(source_plan(sizes, weights, block, shard_words), "source-plan"), seed)
     return _taken(dealt, shard_takes(dealt, seed, block), seed, block).select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -150,11 +150,13 @@ def repeat_by_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), seed:
     shard are its shares to within one. Words then differ from the quota by what the rounded documents are longer or shorter.
     """
     sizes = stored(_sized(docs), "sizes")
-    plan = source_plan(sizes, weights, block, shard_words)
-    takes = shard_takes(_dealt(sizes, plan, seed), seed, block)
+    # stored, these tables have a known size: Spark sends the small ones around, and texts move once, to their shards
+    plan = stored(source_plan(sizes, weights, block, shard_words), "source-plan")
+    takes = stored(shard_takes(_dealt(sizes, plan, seed), seed, block), "shard-takes")
     rows = _sized(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"))
     share = F.when(F.col("size") > 0, F.expr(f"taken * {UNIT}L div size")).otherwise(F.lit(0).cast("long"))
-    shared = _taken(_dealt(rows, plan, seed), takes, seed, block).withColumn("share", share)
+    dealt = _dealt(rows, plan, seed).repartition(partitions_for(docs), "shard_key")
+    shared = _taken(dealt, takes, seed, block).withColumn("share", share)
     upto = F.sum("share").over(_order(seed).rowsBetween(Window.unboundedPreceding, 0)) + seeded(seed + 3, "shard_key") % UNIT
     copies = shared.withColumn("upto", upto).withColumn("copies", F.expr(f"(upto div {UNIT}L) - ((upto - share) div {UNIT}L)")).where("copies > 0")
     return copies.select("document", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("document.*")
