@@ -137,6 +137,16 @@ def gate_alignments(aligned: DataFrame, params: Params = DEFAULT) -> DataFrame:
     return aligned.withColumn("outcome", F.when(padded > params.clip_max, "failed_long").when(padded < params.clip_min, "failed_short").when(F.col("confidence") >= params.low_confidence, "job").otherwise("unmatched"))
 
 
+def failed_records(gated: DataFrame) -> DataFrame:
+    """Records of alignments that are too long to cut: they are kept as failed clips, not active, with what the alignment found."""
+    return gated.where("outcome = 'failed_long'").drop("outcome").withColumn("clip_status", F.lit("failed")).withColumn("is_active", F.lit(False))
+
+
+def gate_counts(gated: DataFrame) -> DataFrame:
+    """How many alignments became jobs, failed for their length, and were left unmatched."""
+    return gated.agg(F.count_if(F.col("outcome") == "job").alias("jobs"), F.count_if(F.col("outcome").isin("failed_long", "failed_short")).alias("failed"), F.count_if(F.col("outcome") == "unmatched").alias("unmatched"))
+
+
 def _nearest_end(spans: DataFrame, segments: DataFrame, at: str, field: str, radius: float, name: str, least: float = 0.0, open_: bool = True) -> DataFrame:
     """spans with column name: the value of segments' field nearest to spans' at, within the radius, the first of equals; null if there is none."""
     width = max(radius, 0.001)

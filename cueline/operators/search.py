@@ -77,11 +77,11 @@ def semantic_search(queries: DataFrame, nodes: DataFrame, clips: DataFrame | Non
     k = recall_size(offset, limit, params)
     english = nodes.select("node_id", "embedding")
     chinese = nodes.select("node_id", F.col("zh_embedding").alias("embedding"))
-    tried = queries.select("query_id", F.posexplode("candidates").alias("n", "embedding")).withColumn("key", F.col("query_id") * 16 + F.col("n"))
+    tried = queries.select("query_id", F.posexplode("candidates").alias("n", "embedding")).withColumn("key", F.shiftleft(F.col("query_id").cast("long"), 16) + F.col("n"))  # up to 65,536 phrasings a query
     hits = (
         nearest(queries, chinese, k).withColumn("signal", F.lit("zh"))
         .unionByName(nearest(queries, english, k).withColumn("signal", F.lit("en")))
-        .unionByName(nearest(tried, english, k, "key").withColumn("query_id", F.expr("key div 16")).drop("key").withColumn("signal", F.lit("translated")))
+        .unionByName(nearest(tried, english, k, "key").withColumn("query_id", F.shiftright("key", 16)).drop("key").withColumn("signal", F.lit("translated")))
     )
     out = page(rank(gather(hits), nodes, query_hints(queries), params), offset, limit)
     if clips is None:

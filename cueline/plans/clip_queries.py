@@ -108,6 +108,29 @@ def clip_gates(spark, sf_dir):
     return C.gate_alignments(values(spark, GATES, "id int, whisper_start double, whisper_end double, confidence double")).select("id", "outcome")
 
 
+# Orders as alignments: times and confidence from their numbers.
+VIEWS["alignments"] = "SELECT o_orderkey AS node_id, CAST(o_orderkey % 1000 AS DOUBLE) AS s, CAST(o_orderkey % 1000 AS DOUBLE) + CAST(o_custkey % 80 AS DOUBLE) / 4 - 1 AS e, CAST(o_custkey % 101 AS DOUBLE) / 100 AS c FROM orders"
+VIEWS["gated_alignments"] = "SELECT *, CASE WHEN e - s + 1.5::DOUBLE > 15 THEN 'failed_long' WHEN e - s + 1.5::DOUBLE < 1 THEN 'failed_short' WHEN c >= 0.6::DOUBLE THEN 'job' ELSE 'unmatched' END AS outcome FROM alignments"
+NEEDS["gated_alignments"] = ("alignments",)
+
+
+def _gated_alignments(spark, sf_dir):
+    start = (F.col("o_orderkey") % 1000).cast("double")
+    end = start + (F.col("o_custkey") % 80).cast("double") / 4 - 1
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node_id"), start.alias("whisper_start"), end.alias("whisper_end"), ((F.col("o_custkey") % 101).cast("double") / 100).alias("confidence"))
+    return C.gate_alignments(rows)
+
+
+@query("failed_records", "SELECT node_id, s AS whisper_start, e AS whisper_end, c AS confidence, 'failed' AS clip_status, FALSE AS is_active FROM gated_alignments WHERE outcome = 'failed_long'", ("gated_alignments",))
+def failed_records(spark, sf_dir):
+    return C.failed_records(_gated_alignments(spark, sf_dir))
+
+
+@query("gate_counts", "SELECT count_if(outcome = 'job') AS jobs, count_if(outcome IN ('failed_long', 'failed_short')) AS failed, count_if(outcome = 'unmatched') AS unmatched FROM gated_alignments", ("gated_alignments",))
+def gate_counts(spark, sf_dir):
+    return C.gate_counts(_gated_alignments(spark, sf_dir))
+
+
 def _spans(spark, sf_dir):
     return _targets(spark, sf_dir).withColumnRenamed("node_id", "clip_key")
 
