@@ -6,6 +6,8 @@ which depends on what came before, run in Python.
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,18 +21,18 @@ SUFFIXES = {"srt": ["srt"], "ass": ["ass", "ssa"], "vtt": ["vtt"]}
 
 
 def _decode(raw: bytes) -> str:
-    """Text of a file: by its byte-order mark, else UTF-8, else GB 18030 (which GBK and GB2312 are part of), with bad bytes replaced."""
+    """Text of a file: by its byte-order mark, else UTF-8; else Windows 1252 if bytes beyond ASCII only stand alone, as accents in Western text do;
+    else the first of GB 18030 (which GBK and GB2312 are part of), Big5 and Shift-JIS that fits, or Windows 1252 with bad bytes replaced."""
     for mark, name in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
         if raw.startswith(mark):
             return raw.decode(name, "replace")
-    try:
-        return raw.decode("utf-8")
-    except UnicodeDecodeError:
-        pass
-    try:
-        return raw.decode("gb18030")
-    except UnicodeDecodeError:
-        return raw.decode("utf-8", "replace")
+    names = ["utf-8"] if re.search(rb"[\x80-\xff]{2}", raw) else ["utf-8", "cp1252"]
+    for name in (*names, "gb18030", "big5", "shift_jis"):
+        try:
+            return raw.decode(name)
+        except UnicodeDecodeError:
+            continue
+    return raw.decode("cp1252", "replace")
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

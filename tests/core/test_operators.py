@@ -152,3 +152,10 @@ def test_edit_pairs(spark):
     rows = list(enumerate(texts))
     got = edit_pairs(spark.createDataFrame(rows, "x_id long, x string"), spark.createDataFrame(rows, "y_id long, y string"))
     assert sorted((r.x_id, r.y_id) for r in got.collect()) == sorted(want) and len(want) > 300
+
+
+def test_encodings():
+    from cueline.sources.captions import _decode
+
+    for text, name in (("naïve café déjà", "cp1252"), ("你好，世界", "gb18030"), ("你好，世界", "utf-8"), ("你好", "utf-16"), ("plain", "ascii"), ("你好", "utf-8-sig")):
+        assert _decode(text.encode(name)) == text
