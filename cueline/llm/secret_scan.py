@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueline.llm.shared import U64, mixed, parts, prepare
@@ -261,7 +261,7 @@ def weak_labels(text: str, raw: bytes, t: Tokens) -> np.ndarray:
 
 
 def windows(texts: list[bytes], per_text: int = 6) -> tuple[np.ndarray, np.ndarray]:
-    """Training windows of WINDOW tokens: around the first base spans of a text, and one by a hash of its bytes."""
+    """Training windows of WINDOW tokens: around base spans of a text, and one anywhere in it; a hash of its bytes says which and where."""
     from xxhash import xxh3_64_intdigest
 
     rows, labels = [], []
@@ -270,8 +270,12 @@ def windows(texts: list[bytes], per_text: int = 6) -> tuple[np.ndarray, np.ndarr
         if not len(t.start):
             continue
         f, y = features(t), weak_labels(raw.decode(), raw, t)
-        hits = np.flatnonzero(y == BEGIN)[:per_text].tolist()
-        for at in {max(0, h - xxh3_64_intdigest(raw, seed=h) % WINDOW) // 8 * 8 for h in hits} | {xxh3_64_intdigest(raw) % len(y)}:
+        own = xxh3_64_intdigest(raw)
+        hits = np.flatnonzero(y == BEGIN)
+        drawn = mixed(U64(own) ^ (hits + 1).astype(U64))
+        pick = np.argsort(drawn, kind="stable")[:per_text]
+        back = (drawn[pick] // U64(WINDOW) % U64(WINDOW)).astype(np.int64)
+        for at in {*(np.maximum(0, hits[pick] - back) // 8 * 8).tolist(), own % len(y)}:
             r, g = np.full((WINDOW, f.shape[1]), -1, np.int64), np.full(WINDOW, -1, np.int64)
             part = f[at : at + WINDOW]
             r[: len(part)], g[: len(part)] = part, y[at : at + WINDOW]
@@ -282,21 +286,25 @@ def windows(texts: list[bytes], per_text: int = 6) -> tuple[np.ndarray, np.ndarr
     return np.stack(rows), np.stack(labels)
 
 
-def train_field(docs: DataFrame, sample_rows: int = 12_000, most_windows: int = 3_000) -> Field | None:
-    """A field from a sample of the documents; None if no base span occurs in it. Windows with spans come first."""
+def train_field(docs: DataFrame, sample_rows: int = 12_000, with_spans: int = 2_000, without: int = 1_000) -> Field | None:
+    """A field from a sample of about sample_rows documents; None if no base span occurs in it.
+
+    Windows with spans and windows without have a bound each, so that the field sees both kinds at every size; a hash chooses among more.
+    """
     prepare(docs.sparkSession)
-    rate = max(1, docs.count() // sample_rows)
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(rate)) == 0)
+    share = min(1.0, sample_rows / max(1, docs.count()))
+    drawn = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(drawn)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for whole in batches for x in parts(whole, 2 << 20)):
             rows, labels = windows([(x or "").encode() for x in batch.column(1).to_pylist()])
-            hit = (labels > 0).any(1)
-            keep = hit | (np.arange(len(hit)) % 8 == 0)
-            yield pa.RecordBatch.from_pydict({"hit": pa.array(hit[keep], pa.bool_()), "rows": [x.astype(np.int32).tobytes() for x in rows[keep]], "labels": [x.astype(np.int8).tobytes() for x in labels[keep]]})
+            yield pa.RecordBatch.from_pydict({"hit": pa.array((labels > 0).any(1), pa.bool_()), "rows": pa.array([x.astype(np.int32).tobytes() for x in rows], pa.binary()), "labels": pa.array([x.astype(np.int8).tobytes() for x in labels], pa.binary())})
 
     found = sample.mapInArrow(run, "hit boolean, rows binary, labels binary")
-    got = found.orderBy(F.col("hit").desc(), F.xxhash64("rows"), "rows").limit(most_windows).collect()
+    place = F.row_number().over(Window.partitionBy("hit").orderBy(F.xxhash64("rows"), "rows", "labels"))
+    most = found.withColumn("place", place).where(F.col("place") <= max(with_spans, without))  # a limit before the shuffle, too
+    got = sorted(most.where(F.col("place") <= F.when(F.col("hit"), with_spans).otherwise(without)).collect(), key=lambda x: (not x.hit, x.place))
     if not got or not got[0].hit:
         return None
     rows = np.stack([np.frombuffer(x.rows, np.int32).reshape(WINDOW, len(BLOCKS)) for x in got]).astype(np.int64)
