@@ -4,7 +4,7 @@ score = sigmoid(w0 + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j). The pairwise s
 sum_{i<j} <v_i, v_j> x_i x_j = 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2). Words weigh log(1 + count), scaled to length 1;
 each statistic falls in one of a few bins, which are features; so does the number of characters that the table states.
 
-Training rows are a bounded sample of the labelled ones, `train_rows` at most, the first by a hash of their id; the driver
+Training rows are a bounded sample of the labelled ones, `train_rows` at most (rows of one id included), the first by a hash of their id; the driver
 gets their features and learns in numpy, the same for the same rows. Scoring reads every text as a whole.
 
 Defined cases: null text counts as empty and is scored by its bins; labels other than 0 and 1 are not used; if only one label or none is
@@ -95,8 +95,8 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.margins(r), -30, 30)))
 
 
-def fit_machine(rows: Rows, labels: np.ndarray, slots: int, rank: int = 8, epochs: int = 12, rate: float = 0.1, decay: float = 2e-5, batch: int = 128, seed: int = 3) -> Machine:
-    """Logistic loss by AdaGrad over small batches, in an order that the seed fixes."""
+def fit_machine(rows: Rows, labels: np.ndarray, slots: int, rank: int = 8, epochs: int = 12, rate: float = 0.1, decay: float = 2e-5, batch: int = 128, seed: int = 3, steps: int = 600) -> Machine:
+    """Logistic loss by AdaGrad over small batches, in an order that the seed fixes; epochs at least, and more of them where these make fewer than `steps` steps."""
     rng = np.random.default_rng(seed)
     width = slots + int(OFFSETS[-1])
     share = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3)) if len(labels) else 0.5
@@ -106,7 +106,7 @@ def fit_machine(rows: Rows, labels: np.ndarray, slots: int, rank: int = 8, epoch
         return m
     square_linear, square_factors, square_bias = np.full(width, 1e-6), np.full((width, rank), 1e-6, np.float32), 1e-6
     ends = np.r_[rows.begins[1:], len(rows.index)]
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-steps // -(-len(labels) // batch)))):
         order = rng.permutation(len(labels))
         for at in range(0, len(order), batch):
             pick = order[at : at + batch]
@@ -165,7 +165,8 @@ def train_machine(docs: DataFrame, labels: DataFrame, slots: int = 1 << 15, trai
                 y = quality[np.searchsorted(ids, numbers)]
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(numbers, pa.int64()), "quality": pa.array(y, pa.int32()), "index": [r.index[a:b].astype(np.int32).tobytes() for a, b in zip(r.begins, ends, strict=True)], "value": [r.value[a:b].astype(np.float32).tobytes() for a, b in zip(r.begins, ends, strict=True)]})
 
-    got = sorted(_given(docs).mapInArrow(run, "doc_id long, quality int, index binary, value binary").collect())
+    found = _given(docs).mapInArrow(run, "doc_id long, quality int, index binary, value binary")
+    got = sorted(found.orderBy(F.xxhash64(F.lit(17), "doc_id"), "doc_id", F.xxhash64("index", "value"), "index", "value").limit(train_rows).collect())  # repeated ids, too, stay within the bound
     if not got:
         return fit_machine(Rows(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)), np.empty(0), slots)
     index, value = [np.frombuffer(r["index"], np.int32) for r in got], [np.frombuffer(r["value"], np.float32) for r in got]

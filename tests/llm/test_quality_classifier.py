@@ -40,3 +40,31 @@ def test_held_out(spark):
     assert len(held) > 40 and np.mean([r.predicted == (r.doc_id % 3 > 0) for r in held]) > 0.97
     assert held_out_quality(docs.limit(0), labels).count() == 0
     assert {r.score for r in held_out_quality(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_repeated_ids_stay_within_the_bound(spark, monkeypatch):
+    from cueline.llm import quality_classifier as Q
+
+    seen = []
+    fit = Q.fit_machine
+    monkeypatch.setattr(Q, "fit_machine", lambda rows, labels, slots: seen.append(len(labels)) or fit(rows, labels, slots))
+    docs = spark.createDataFrame([(i % 5, f"word{i} and {'more ' * (i % 9)}", i) for i in range(300)], "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id long, quality int")
+    Q.train_machine(docs, labels, train_rows=40)
+    assert seen == [40]
+
+
+def test_scores_against_brute_force(spark):
+    """The query's scores are the sum over all pairs of features, written out."""
+    from cueline.llm import quality_classifier as Q
+
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choices(["fine", "words", "here", "BAD", "##", "x1"], k=rng.randrange(0, 12))), i) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(i, int("BAD" not in t)) for i, t, _ in rows], "doc_id long, quality int")
+    m = Q.train_machine(docs, labels.where(~Q._held(labels.doc_id)))
+    for r in held_out_quality(docs, labels).collect():
+        f = Q.featurise([rows[r.doc_id][1].encode()], [rows[r.doc_id][2]], m.slots, Q.WordHash())
+        i, x = f.index, f.value
+        margin = m.bias + m.linear[i] @ x + sum(float(m.factors[i[p]] @ m.factors[i[q]]) * x[p] * x[q] for p in range(len(i)) for q in range(p))
+        assert abs(r.score - 1 / (1 + np.exp(-margin))) < 1e-4
