@@ -1,11 +1,12 @@
 """Language identification with spans for mixed-language text.
 
-Per word: the script of its letters (by code-point ranges) leaves only the languages that use this script; each of them
+A word ends at a blank, or where the script of its letters changes. Per word: the script of its letters (by code-point ranges) leaves only the languages that use this script; each of them
 scores the word by hashed character n-grams. Per text: Viterbi over the words, where changing the language costs `penalty`,
 labels spans; the language of most letters is the prediction.
 
 What is learned are n-gram counts per language from a bounded sample of labelled rows, `rows_per_language` for each language
-about, chosen by a hash of their id, and which scripts a language uses. The table of counts has a fixed number of slots.
+about, chosen by a hash of their id, and which scripts a language uses. The table of counts has a fixed number of slots, and
+columns for the `most_languages` languages with most rows: a column of many stray values teaches no more of them.
 Texts are labelled as a whole, all texts of a slice in step, one word after the other.
 
 Defined cases: null text, or text without a letter, is `und` with score 0; so is everything if nothing was learned; rows
@@ -15,6 +16,7 @@ columns are not touched; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,6 +37,19 @@ _scripts = np.array([SCRIPTS.index(x) for x in SCRIPT_NAMES])
 GRAMS = (1, 2, 3)
 UNKNOWN = "und"
 NEVER = np.float32(-1e4)
+_beyond_latin = re.compile("[\u0370-\u1dff\u1f00-\u1fff\u3040-\U0010ffff]")
+
+
+def words_of(text: str) -> list[str]:
+    """Words of a text: runs without blanks, cut before a letter of another script than the letter before it."""
+    if not _beyond_latin.search(text):
+        return text.split()
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    script = _scripts[np.searchsorted(_starts, points, side="right") - 1]
+    script[((points > 0x5A) & (points < 0x61)) | ((points > 0x7A) & (points < 0xC0))] = 0  # signs among Latin letters
+    at = np.flatnonzero(script)
+    cuts = at[1:][script[at[1:]] != script[at[:-1]]].tolist()
+    return " ".join(text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)).split()
 
 
 def letters_of(word: str) -> str:
@@ -124,7 +139,7 @@ class Labeller:
 
     def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of all words of the texts, and how many each text has."""
-        split = [t.split() for t in texts]
+        split = [words_of(t) for t in texts]
         if len(self.number) > self.limit:
             self._clear()
         new = [w for w in dict.fromkeys(w for ws in split for w in ws) if w not in self.number]
@@ -188,23 +203,23 @@ class Labeller:
         return out
 
 
-def learn_languages(labelled: DataFrame, slots: int = 1 << 15, rows_per_language: int = 3000, smoothing: float = 0.5) -> Languages:
-    """From columns doc_id, text and lang. The driver gets one array of `slots` counts per language."""
+def learn_languages(labelled: DataFrame, slots: int = 1 << 15, rows_per_language: int = 3000, smoothing: float = 0.5, most_languages: int = 400) -> Languages:
+    """From columns doc_id, text and lang. The driver gets one array of `slots` counts per language, of `most_languages` at most."""
     spark = labelled.sparkSession
     prepare(spark)
     given = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    counts = {r[0]: r[1] for r in given.groupBy("lang").count().collect()}
+    counts = {r[0]: r[1] for r in given.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
     if not counts:
         return Languages([], np.zeros((slots, 0), np.float32), np.zeros((len(SCRIPTS), 0), bool))
-    rates = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, max(1, n // rows_per_language))])
-    sample = given.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), rates[F.col("lang")]) == 0)
+    shares = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, rows_per_language / n) * (1 << 30)))])
+    sample = given.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) < shares[F.col("lang")])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, list[np.ndarray]] = {}
         for batch in (x for whole in batches for x in parts(whole, 4 << 20)):
             by: dict[str, Counter] = {}
             for text, lang in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                by.setdefault(lang, Counter()).update(text.split())
+                by.setdefault(lang, Counter()).update(words_of(text))
             for lang, words in by.items():
                 plain = [(letters_of(w), n) for w, n in words.items()]
                 plain = [(w, n) for w, n in plain if w]

@@ -1,11 +1,14 @@
 """Held-out accuracy, spans of mixed text, and Viterbi against all labellings."""
 
 import itertools
+import math
 import random
+import zlib
+from collections import Counter
 
 import numpy as np
 
-from cueline.llm.language_id import SCRIPTS, Labeller, Languages, grams, held_out_language_id, label_languages, learn_languages
+from cueline.llm.language_id import SCRIPTS, UNKNOWN, Labeller, Languages, grams, held_out_language_id, label_languages, learn_languages, letters_of, words_of
 
 WORDS = {"en": "the of and house water time people with there which about".split(), "fr": "le de et maison eau temps gens avec où lequel étaient".split(), "ru": "и в не на дом вода время люди который они".split()}
 
@@ -48,3 +51,83 @@ def test_viterbi():
 def test_grams():
     g = grams(["ab", "c"], 1 << 30)
     assert np.bincount(g.words).tolist() == [2 + 3 + 2, 1 + 2 + 1]
+
+
+def test_words_end_where_the_script_changes():
+    assert words_of("one (two) трое[x] été") == ["one", "(two)", "трое[", "x]", "été"]
+    assert words_of("日本語はPythonで東京") == ["日本語", "は", "Python", "で", "東京"]
+    assert words_of("") == [] and words_of("数") == ["数"]
+
+
+def test_spans_without_blanks(spark):
+    rng = random.Random(4)
+    run = lambda letters, n: "".join(rng.choices(letters, k=n))
+    rows = [(i, run("天地人日月水火山", 20) if i % 2 else run("กขคงจฉชซ", 20), "zh" if i % 2 else "th") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    mixed = spark.createDataFrame([(1, run("天地人日月水火山", 12) + run("กขคงจฉชซ", 9))], "doc_id long, text string")
+    assert [(s.first, s.end, s.lang) for s in label_languages(mixed, learn_languages(docs)).first().spans] == [(0, 1, "zh"), (1, 2, "th")]
+
+
+def test_stray_languages_are_bounded(spark):
+    docs = spark.createDataFrame([(i, "some words", "en" if i % 2 else f"stray {i}") for i in range(100)], "doc_id long, text string, lang string")
+    learned = learn_languages(docs, most_languages=3)
+    assert len(learned.names) == 3 and "en" in learned.names
+
+
+def test_query_against_brute_force(spark):
+    """Counts, scores of words, the best labelling and the score of a text, all written out."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choices(WORDS[a] + WORDS[b][:2], k=rng.randrange(0, 7))), a) for i, (a, b) in enumerate((rng.choice(["en", "fr", "ru"]), rng.choice(["en", "fr", "ru"])) for _ in range(80))]
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    slots, full = 1 << 15, (1 << 64) - 1
+
+    def finish(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & full
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & full
+        return x ^ x >> 31
+
+    def slots_of(word):
+        padded, out = f" {word} ", []
+        for n in (1, 2, 3):
+            for k in range(len(padded) - n + 1):
+                if n > 1 or padded[k] != " ":
+                    total = n
+                    for c in padded[k : k + n]:
+                        total = (total * 0x9E3779B97F4A7C15 + ord(c)) & full
+                    out.append(finish(total) % slots)
+        return out
+
+    counts, latin = {}, {}
+    for i, t, lang in rows:
+        if not held(i):
+            for w in t.split():
+                for s in slots_of(letters_of(w)):
+                    counts.setdefault(lang, Counter())[s] += 1
+                latin.setdefault(lang, Counter())[w[0] < "\u0370"] += 1
+    names = sorted(counts)
+    logs = {k: lambda s, k=k: math.log((counts[k][s] + 0.5) / (sum(counts[k].values()) + 0.5 * slots)) for k in names}
+    uses = {k: {x for x in (True, False) if latin[k][x] >= 0.01 * sum(latin[k].values())} for k in names}
+
+    def scores_of(word):
+        raw = {k: sum(logs[k](s) for s in slots_of(letters_of(word))) for k in names if (word[0] < "\u0370") in uses[k]}
+        return [max(raw[k] - max(raw.values()), -3.0) if k in raw else -1e4 for k in names]
+
+    got = {r.doc_id: r for r in held_out_language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    for i, t, _ in rows:
+        words = t.split()
+        assert got[i].held_out == held(i)
+        if not words:
+            assert (got[i].lang_pred, got[i].score) == (UNKNOWN, 0.0)
+            continue
+        each = [scores_of(w) for w in words]
+        value = lambda y: sum(e[v] for e, v in zip(each, y, strict=True)) - 5.0 * sum(a != b for a, b in itertools.pairwise(y))  # noqa: B023, E731
+        ranked = sorted(itertools.product(range(len(names)), repeat=len(words)), key=value, reverse=True)
+        if value(ranked[0]) - value(ranked[1]) < 1e-3:
+            continue  # a tie, but for rounding
+        by = Counter()
+        for w, v in zip(words, ranked[0], strict=True):
+            by[v] += len(w)
+        winner = max(by, key=lambda v: (by[v], -v))
+        mean = [sum(max(e[k], -3.0) for e, v in zip(each, ranked[0], strict=True) if v == winner) for k in range(len(names))]
+        assert got[i].lang_pred == names[winner]
+        assert abs(got[i].score - by[winner] / sum(by.values()) / sum(math.exp(m - mean[winner]) for m in mean)) < 1e-3
