@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueline.functions.ranking import cosine
-from cueline.functions.text import for_alignment, word_count
+from cueline.functions.text import for_alignment, for_diagnosis, word_count
 from cueline.operators.folds import merge_segments
 from cueline.params import DEFAULT, Params
 from cueline.workers import kept
@@ -131,6 +131,21 @@ def align(nodes: DataFrame, segments: DataFrame, params: Params = DEFAULT) -> Da
     return scored.groupBy(*EPISODE).applyInPandas(choose, kinds)
 
 
+def closest_segments(nodes: DataFrame, segments: DataFrame, k: int = 5) -> DataFrame:
+    """For a look at single nodes: the k segments of a node's episode, wherever they are, whose text is most like its own; the earliest of equals."""
+    pairs = nodes.select(*EPISODE, "node_id", for_diagnosis(F.coalesce("en_text", F.lit(""))).alias("a")).join(segments.select(*EPISODE, "seq_index", "start_time", for_diagnosis(F.coalesce("text", F.lit(""))).alias("b")), EPISODE)
+    scored = pairs.withColumn("similarity", F.pandas_udf(indel_ratios, "double")("a", "b"))
+    place = F.row_number().over(Window.partitionBy("node_id").orderBy(F.desc("similarity"), "start_time", "seq_index"))
+    return scored.withColumn("rank", place).where(F.col("rank") <= k).select("node_id", "seq_index", "similarity", "rank")
+
+
+def episodes_to_cut(nodes: DataFrame, videos: DataFrame) -> DataFrame:
+    """New nodes with the video of their episode: the first one, if it has a file. videos: video_id, show_name, episode, file_path."""
+    first = videos.groupBy(*EPISODE).agg(F.min(F.struct("video_id", "file_path")).alias("video"))
+    there = first.where(F.coalesce("video.file_path", F.lit("")) != "").select(*EPISODE, "video.*")
+    return nodes.select(*EPISODE, "node_id").join(there, EPISODE)
+
+
 def gate_alignments(aligned: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """What becomes of each alignment: 'failed_long' (recorded), 'failed_short', 'job' or 'unmatched' (only counted)."""
     padded = F.col("whisper_end") - F.col("whisper_start") + params.pad_start + params.pad_end

@@ -1,7 +1,8 @@
 """Ordered folds: lines into sentences, segments into longer ones, subtitle events into groups.
 
 Whether two rows merge depends on what has been merged before, so each group (a file, an episode) is folded in order. An
-episode is a few hundred to a few thousand rows; groups are spread over the cluster.
+episode is a few hundred to a few thousand rows; groups are spread over the cluster. A larger group of lines is dealt over several
+tasks, at gaps and dashes, which no merge crosses.
 """
 
 from __future__ import annotations
@@ -9,10 +10,11 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueline.functions import lexicon as L
+from cueline.functions.text import matches, word_count
 from cueline.params import DEFAULT, Params
 
 _ellipsis, _ends, _open_end, _dash = (re.compile(p.replace(r"[\pL\pN_]", r"\w")) for p in (L.ELLIPSIS, L.ENDS, L.OPEN_END, L.DASH))
@@ -62,6 +64,19 @@ def merge_rows(rows: list[dict], gap: float, params: Params = DEFAULT, vectors:
     return out
 
 
+#: Rows of a group after which another task takes over, at the next gap or dash.
+STRETCH = 4096
+
+
+def _stretches(lines: DataFrame, keys: list[str], order: list[str], gap: float) -> DataFrame:
+    """Lines with stretch__, the part of their group that they are folded in; what could merge is in one."""
+    w = Window.partitionBy(*keys).orderBy(F.asc_nulls_last("start_time"), *order)
+    near = F.coalesce(F.col("start_time") - F.lag("end_time").over(w) <= gap, F.lit(False))
+    apart = ~near | matches(F.coalesce("en_text", F.lit("")), L.DASH)
+    begin = F.max(F.when(F.col("apart__"), F.col("place__"))).over(w)
+    return lines.withColumns({"apart__": apart, "place__": F.row_number().over(w)}).withColumn("stretch__", F.floor(begin / STRETCH)).drop("apart__", "place__")
+
+
 def merge_lines(lines: DataFrame, keys: list[str], order: list[str], params: Params = DEFAULT, gap: float | None = None, vectors: bool = False) -> DataFrame:
     """Lines that belong to one sentence as one line: keys, the first order value, times, texts, word_count, parts. keys name the file or episode."""
     gap = params.line_gap if gap is None else gap
@@ -75,7 +90,7 @@ def merge_lines(lines: DataFrame, keys: list[str], order: list[str], params: Par
         return pd.DataFrame(merge_rows(part.to_dict("records"), gap, params, vectors), columns=columns)
 
     given = lines.select(*keys, *order, "start_time", "end_time", "en_text", "zh_text", *(["embedding"] if vectors else []))
-    return given.groupBy(*keys).applyInPandas(fold, kinds)
+    return _stretches(given, keys, order, gap).groupBy(*keys, "stretch__").applyInPandas(fold, kinds)
 
 
 def merge_segments(segments: DataFrame, keys: list[str], params: Params = DEFAULT) -> DataFrame:
@@ -108,10 +123,6 @@ def preview_pairs(nodes: DataFrame, keys: list[str], gap: float, params: Params
 
     A reason is the first that applies. Only neighbours are compared, so this needs no fold.
     """
-    from pyspark.sql import Window
-
-    from cueline.functions.text import matches, word_count
-
     w = Window.partitionBy(*keys).orderBy("start_time", "node_id")
     pairs = nodes.select(*keys, "node_id", "start_time", "end_time", "en_text", F.lead("node_id").over(w).alias("next_id"), F.lead("start_time").over(w).alias("next_start"), F.lead("en_text").over(w).alias("next_text")).where("next_id IS NOT NULL")
     a, b = F.coalesce("en_text", F.lit("")), F.coalesce("next_text", F.lit(""))

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a block: 4,096 vectors of 384 numbers are 12 MB.
@@ -68,6 +68,32 @@ def encode(texts: DataFrame, model, dim: int, column: str = "text") -> DataFrame
     return texts.withColumn("embedding", run(F.coalesce(F.col(column), F.lit(""))))
 
 
+def checked(c: Column, dim: int) -> Column:
+    """The vector; an error if it has another length. Null stays null."""
+    return F.when(c.isNull() | (F.size(c) == dim), c).otherwise(F.raise_error(F.concat(F.lit(f"a vector of {dim} numbers was expected, not of "), F.size(c).cast("string"))))
+
+
+def to_bytes(c: Column, dim: int) -> Column:
+    """Vectors of dim numbers as 4 bytes each."""
+
+    @F.pandas_udf("binary")
+    def run(batch):
+        return batch.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
+
+    return run(checked(c.cast("array<float>"), dim))
+
+
+def from_bytes(c: Column, dim: int) -> Column:
+    """Vectors from 4 bytes a number; an error if there are more or less than dim."""
+
+    @F.pandas_udf("array<float>")
+    def run(batch):
+        return batch.map(lambda x: None if x is None else np.frombuffer(x, "<f4"))
+
+    size = F.length(c)
+    return run(F.when(c.isNull() | (size == 4 * dim), c).otherwise(F.raise_error(F.concat(F.lit(f"a vector of {4 * dim} bytes was expected, not of "), size.cast("string")))))
+
+
 def index_report(nodes: DataFrame, indexed: DataFrame, share: float) -> DataFrame:
     """Whether the index needs to be built anew: the share of its rows that are no active node with a vector, and what is missing."""
     wanted = nodes.where("is_active AND embedding IS NOT NULL").select("node_id")

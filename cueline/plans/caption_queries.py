@@ -145,3 +145,16 @@ def chinese_choice(spark, sf_dir):
 @query("page_titles", "SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1) AS path, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM pages")
 def page_titles(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.coalesce(F.regexp_extract("url", "^[a-z]+://[^/]+(/[^?#]*)", 1), F.lit("")).alias("path"), F.coalesce(F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1), F.lit("")).alias("title"))
+
+
+# Documents as uploaded files, of which benchmark items have an episode of their own.
+UPLOAD = "concat(source, '-', CAST(doc_id AS VARCHAR(20)), CASE doc_id % 5 WHEN 0 THEN '.srt' WHEN 1 THEN '.ASS' WHEN 2 THEN '.ssa' WHEN 3 THEN '.vtt' ELSE '' END)"
+
+
+@query("take_in", f"SELECT file, upper(substr(md5(concat('b1/', file)), 1, 8)) AS code, CASE WHEN doc_id IN (SELECT item_id FROM benchmark) THEN concat('E', CAST(doc_id AS VARCHAR)) ELSE 'E01' END AS episode FROM (SELECT doc_id, {UPLOAD} AS file FROM documents) WHERE doc_id % 5 < 3")
+def take_in(spark, sf_dir):
+    from cueline.sources.captions import take_in as take
+
+    files = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{UPLOAD.replace('VARCHAR(20)', 'STRING')} AS file")
+    own = files.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id")), "doc_id").select("file", F.concat(F.lit("E"), F.col("doc_id").cast("string")).alias("episode"))
+    return take(files.select("file"), "b1", own, "E01")

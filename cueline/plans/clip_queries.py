@@ -8,7 +8,7 @@ from cueline.functions import lexicon as L
 from cueline.operators import clips as C
 from cueline.operators import folds as O
 from cueline.operators import reports as R
-from cueline.plans.base import NEEDS, VIEWS, lines, literal, query, segments, sql_values, table, values
+from cueline.plans.base import NEEDS, VIEWS, lines, literal, nodes, query, segments, sql_values, table, values
 
 # Lines of even documents stand for one language, those of the next document for the other.
 VIEWS["pairs"] = "SELECT a.doc_id AS file, a.line_id, a.start_time, b.start_time AS other_start, b.en_text AS other_text, abs(b.start_time - a.start_time) AS off FROM lines a JOIN lines b ON b.doc_id = a.doc_id + 1 WHERE a.doc_id % 2 = 0"
@@ -269,3 +269,17 @@ def merge_by_vectors(spark, sf_dir):
     from cueline.operators.lifecycle import merge_adjacent
 
     return merge_adjacent(e, 30.0)
+
+
+@query("closest_segments")
+def closest_segments(spark, sf_dir):
+    return C.closest_segments(_targets(spark, sf_dir), segments(spark, sf_dir))
+
+
+# Suppliers as videos of the episode of the document with their number.
+@query("episodes_to_cut", """, v AS (SELECT show_name, episode, arg_min(row(s_suppkey, CASE WHEN s_acctbal > 0 THEN s_name END), s_suppkey) AS v FROM supplier JOIN nodes ON node_id = s_suppkey GROUP BY ALL)
+    SELECT show_name, episode, node_id, v[1] AS video_id, v[2] AS file_path FROM nodes JOIN v USING (show_name, episode) WHERE v[2] IS NOT NULL""", ("nodes",))
+def episodes_to_cut(spark, sf_dir):
+    n = nodes(spark, sf_dir)
+    videos = table(spark, sf_dir, "supplier").join(n, F.col("s_suppkey") == F.col("node_id")).select(F.col("s_suppkey").alias("video_id"), "show_name", "episode", F.when(F.col("s_acctbal") > 0, F.col("s_name")).alias("file_path"))
+    return C.episodes_to_cut(n, videos)

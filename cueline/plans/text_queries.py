@@ -198,3 +198,13 @@ def rank_scores(spark, sf_dir):
 @query("unit_vectors", "SELECT vec_id, round(list_sum(list_transform(v, lambda x: x * x / (s * s))), 6) AS length, round(v[1] / s, 6) AS first FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))) AS s FROM embeddings)")
 def unit_vectors(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", K.unit(F.col("embedding")).alias("u")).select("vec_id", F.round(K.norm(F.col("u")) * K.norm(F.col("u")), 6).alias("length"), F.round(F.element_at("u", 1), 6).alias("first"))
+
+
+@query("vector_bytes", "SELECT vec_id, CAST(4 * len(embedding) AS INT) AS n_bytes, embedding[1] AS first, embedding[len(embedding)] AS last FROM embeddings")
+def vector_bytes(spark, sf_dir):
+    from cueline.operators.vectors import from_bytes, to_bytes
+
+    rows = table(spark, sf_dir, "embeddings")
+    dim = len(rows.first().embedding)
+    packed = rows.select("vec_id", to_bytes(F.col("embedding"), dim).alias("bytes"))
+    return packed.select("vec_id", F.length("bytes").alias("n_bytes"), from_bytes(F.col("bytes"), dim).alias("v")).select("vec_id", "n_bytes", F.element_at("v", 1).alias("first"), F.element_at("v", -1).alias("last"))

@@ -18,6 +18,7 @@ from cueline.operators.folds import merge_lines
 from cueline.params import DEFAULT, Params
 
 SUFFIXES = {"srt": ["srt"], "ass": ["ass", "ssa"], "vtt": ["vtt"]}
+SUBTITLES = [*SUFFIXES["srt"], *SUFFIXES["ass"]]
 
 
 def _decode(raw: bytes) -> str:
@@ -120,12 +121,38 @@ def suffix(c: Column) -> Column:
 
 
 def read_subtitles(spark: SparkSession, path: str, params: Params = DEFAULT) -> DataFrame:
-    """All subtitle files under a path, by their kind, with unfinished lines merged: file, block, times, texts, word_count, parts."""
+    """All subtitle files under a path, by their kind, with unfinished lines merged: file, block, times, texts, word_count, parts.
+
+    A path that is itself a file of another kind is an error, and so are captions of another kind in a folder; its other files do not count.
+    """
+    named = F.regexp_extract("path", r"([^/]+)$", 1) == path.rstrip("/").rsplit("/", 1)[-1]
+    other = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(~suffix(F.col("path")).isin(SUBTITLES) & (named | suffix(F.col("path")).isin(SUFFIXES["vtt"]))).select("path").first()
+    if other:
+        raise ValueError(f"no subtitle file that can be read: {other.path}")
     files = read_files(spark, path)
     lines = parse_srt(files.where(suffix(F.col("file")) == "srt")).unionByName(parse_ass(files.where(suffix(F.col("file")).isin("ass", "ssa"))))
     return merge_lines(lines, ["file"], ["block"], params)
 
 
+def merge_stats(lines: DataFrame) -> DataFrame:
+    """Per file, lines before and after merging, and how many of them went into others."""
+    before, after = F.sum("parts"), F.count(F.lit(1))
+    return lines.groupBy("file").agg(before.alias("before"), after.alias("after"), (before - after).alias("merged"))
+
+
+def take_in(files: DataFrame, batch: str, episodes: DataFrame | None = None, episode: str | None = None) -> DataFrame:
+    """Uploaded files that are subtitles, with a code each of eight hex digits, and their episode.
+
+    files: file; episodes: file, episode, where files have their own; the rest get the batch's. A file's code comes from its name and the batch's, so
+    that a second run gives the same.
+    """
+    own = files.where(suffix(F.col("file")).isin(SUBTITLES)).withColumn("code", F.upper(F.substring(F.md5(F.concat_ws("/", F.lit(batch), "file")), 1, 8)))
+    if episodes is None:
+        return own.withColumn("episode", F.lit(episode).cast("string"))
+    named = episodes.groupBy("file").agg(F.max("episode").alias("episode"))
+    return own.join(named, "file", "left").withColumn("episode", F.coalesce("episode", F.lit(episode).cast("string")))
+
+
 def srt_text(captions: DataFrame, keys: list[str]) -> DataFrame:
     """keys and the text of a bilingual SRT file. captions: keys, idx, start_ms, end_ms, text, zh_text."""
     entry = F.concat(F.col("n").cast("string"), F.lit("\n"), ms_clock(F.col("start_ms")), F.lit(" --> "), ms_clock(F.col("end_ms")), F.lit("\n"), F.col("text"), F.lit("\n"), F.when(F.coalesce("zh_text", F.lit("")) != "", F.concat("zh_text", F.lit("\n"))).otherwise(""))
