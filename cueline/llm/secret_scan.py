@@ -302,9 +302,11 @@ def train_field(docs: DataFrame, sample_rows: int = 12_000, with_spans: int = 2_
             yield pa.RecordBatch.from_pydict({"hit": pa.array((labels > 0).any(1), pa.bool_()), "rows": pa.array([x.astype(np.int32).tobytes() for x in rows], pa.binary()), "labels": pa.array([x.astype(np.int8).tobytes() for x in labels], pa.binary())})
 
     found = sample.mapInArrow(run, "hit boolean, rows binary, labels binary")
-    place = F.row_number().over(Window.partitionBy("hit").orderBy(F.xxhash64("rows"), "rows", "labels"))
-    most = found.withColumn("place", place).where(F.col("place") <= max(with_spans, without))  # a limit before the shuffle, too
-    got = sorted(most.where(F.col("place") <= F.when(F.col("hit"), with_spans).otherwise(without)).collect(), key=lambda x: (not x.hit, x.place))
+    slices = 32  # of each kind by hash, so that no task has all windows of a kind; each slice has its share of the bound
+    dealt = found.withColumn("slice", F.pmod(F.xxhash64(F.lit(3), "rows"), F.lit(slices)))
+    place = F.row_number().over(Window.partitionBy("hit", "slice").orderBy(F.xxhash64("rows"), "rows", "labels"))
+    most = dealt.withColumn("place", place).where(F.col("place") <= -(-max(with_spans, without) // slices))  # a limit before the shuffle, too
+    got = sorted(most.where(F.col("place") <= F.when(F.col("hit"), -(-with_spans // slices)).otherwise(-(-without // slices))).collect(), key=lambda x: (not x.hit, x.place, x.slice))
     if not got or not got[0].hit:
         return None
     rows = np.stack([np.frombuffer(x.rows, np.int32).reshape(WINDOW, len(BLOCKS)) for x in got]).astype(np.int64)
