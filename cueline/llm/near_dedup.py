@@ -42,6 +42,8 @@ SHINGLE = 5
 HEADS_A_SALT = 2_000_000
 #: A side of a join of up to so many ids is broadcast; beyond that Spark shuffles both sides.
 BROADCAST_IDS = 500_000
+#: So many links (16 MB) are grouped by one task.
+FEW_LINKS = 1_000_000
 #: Slots in which shingles of unfinished buckets are counted; any order of shingles is right, a good one has rare ones first.
 SLOTS = 1 << 22
 #: Texts of a list in one block; each block of smaller texts meets each of larger ones.
@@ -236,29 +238,42 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"a": pa.array([top(x) for x in nodes], pa.int64()), "b": pa.array(nodes, pa.int64())})
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, few: int = FEW_LINKS) -> DataFrame:
     """doc_id and component_id (the smallest id reachable) of every node of the links a, b.
 
     Per round each node moves to the smallest node around it, and on to where that one moves; links move along, and those within one node
     go. The nodes of every round are fewer by at least the largest of each group, and by far more where nodes have common neighbours.
-    The smallest node of a large group, around which very many stand, is looked up in parts. Each step is stored, so plans stay small.
+    The smallest node of a large group, around which very many stand, is looked up in parts. As soon as `few` links or less are left, one task
+    finishes them; until then each step is stored, so plans stay small.
     """
-    edges = stored(links.select("a", "b").mapInArrow(_forest, "a long, b long"), "links")
-    labels = stored(edges.select(F.col("a").alias("doc_id")).union(edges.select("b")).distinct().withColumn("component_id", F.col("doc_id")), "labels")
-    while not edges.isEmpty():
+    edges, labels = stored(links.select("a", "b").mapInArrow(_forest, "a long, b long"), "links"), None
+    while edges.count() > few:
+        if labels is None:
+            labels = stored(edges.select(F.col("a").alias("doc_id")).union(edges.select("b")).distinct().withColumn("component_id", F.col("doc_id")), "labels")
         both = edges.union(edges.select("b", "a")).toDF("v", "w")
         near = both.groupBy("v").agg(F.min("w").alias("w")).select("v", F.least("v", "w").alias("to"))
         near = stored(near, "moves")
         moves = stored(looked_up(near, "to", "v", near.toDF("to", "further"), "left").select("v", F.coalesce("further", "to").alias("to")), "moves")
-        moved = looked_up(labels.withColumnRenamed("component_id", "v"), "v", "doc_id", moves, "left")
-        new_labels = stored(moved.select("doc_id", F.coalesce("to", "v").alias("component_id")), "labels")
         half = stored(looked_up(edges, "a", "b", moves.toDF("a", "p")), "links")
         moved = looked_up(half, "b", "a", moves.toDF("b", "q"))
         new_edges = stored(moved.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).where("a < b").distinct().mapInArrow(_forest, "a long, b long"), "links")
+        new_labels = _moved(labels, moves)
         forget(edges, labels, near, moves, half)
         edges, labels = new_edges, new_labels
-    forget(edges)
-    return labels
+    stars = stored(edges.repartition(1).mapInArrow(_forest, "a long, b long"), "stars")
+    if labels is None:
+        done = stored(stars.select(F.col("b").alias("doc_id"), F.col("a").alias("component_id")).union(stars.select("a", "a").distinct()), "labels")
+    else:
+        done = _moved(labels, stars.select(F.col("b").alias("v"), F.col("a").alias("to")))
+        forget(labels)
+    forget(edges, stars)
+    return done
+
+
+def _moved(labels: DataFrame, moves: DataFrame) -> DataFrame:
+    """The labels after their components have moved."""
+    moved = looked_up(labels.withColumnRenamed("component_id", "v"), "v", "doc_id", moves, "left")
+    return stored(moved.select("doc_id", F.coalesce("to", "v").alias("component_id")), "labels")
 
 
 def _cross(pairs: DataFrame, labels: DataFrame) -> DataFrame:

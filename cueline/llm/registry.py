@@ -161,3 +161,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cueline.llm.lm_score import held_out_scores
 
     return held_out_scores(table(spark, sf_dir, "documents"))
+
+
+@query("op11_simhash_dedup")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cueline.llm.simhash import simhash_duplicates
+
+    return simhash_duplicates(table(spark, sf_dir, "documents"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,6 +13,7 @@ from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -148,6 +150,56 @@ def large(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"u{data[0]}", offset=1).astype(np.int64)
 
 
+SLICES, FAN = 64, 64
+COUNTS = "slice int, sender int, counts binary"
+
+
+def sliced(counts: np.ndarray, slices: int = SLICES) -> pa.RecordBatch:
+    """What a task has counted, a row a slice."""
+    size = -(-len(counts) // slices)
+    return _packed(range(slices), TaskContext.get().partitionId(), [counts[k * size : (k + 1) * size] for k in range(slices)])
+
+
+def _packed(slices, sender: int, counts: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"slice": pa.array(slices, pa.int32()), "sender": pa.array([sender] * len(counts), pa.int32()), "counts": [small(x) for x in counts]})
+
+
+def summed(rows: DataFrame, senders: int, slices: int = SLICES, fan: int = FAN) -> DataFrame:
+    """One row a slice with the sum of what all tasks have sent of it, a slice a partition.
+
+    What very many senders have to say of a slice would be too much for one task: at most about `fan` of them meet in one, level by level.
+    """
+
+    def add(of: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[tuple[int, int], np.ndarray] = {}
+            for batch in batches:
+                for k, sender, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    key, got = (k, sender // of), large(data)
+                    if key in sums:
+                        sums[key] += got
+                    else:
+                        sums[key] = got
+            for (k, sender), counts in sums.items():
+                yield _packed([k], sender, [counts])
+
+        return run
+
+    while senders > fan:
+        senders = -(-senders // fan)
+        rows = rows.repartition(slices * senders, "slice", F.expr(f"sender div {fan}")).mapInArrow(add(fan), COUNTS)
+    return rows.repartitionById(slices, F.col("slice")).mapInArrow(add(1 << 31), COUNTS)
+
+
+#: A side of a join of up to so many narrow rows is broadcast; beyond that Spark shuffles both sides.
+BROADCAST_ROWS = 500_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """A table of few narrow columns as a side of a join: broadcast if a count proves it small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 SALTS = 32
 
 
@@ -159,6 +211,25 @@ def looked_up(rows: DataFrame, key: str, by: str, table: DataFrame, how: str = "
     return rows.withColumn("salt_of_part", salt).join(parts_, [key, "salt_of_part"], how).drop("salt_of_part")
 
 
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def stretches(text: bytes, overlap: int, limit: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a text, some `limit` bytes at a time; each stretch begins with the last `overlap` words before it."""
+    begin, before = 0, []
+    while begin < len(text):
+        blank = _BLANK.search(text, begin + limit)
+        end = blank.start() if blank else len(text)
+        words = before + text[begin:end].split()
+        yield words
+        begin, before = end, words[-overlap:] if overlap else []
+
+
+def given(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, text and more text columns of documents, whatever else there is."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).cast("string").alias(c) for c in more])
+
+
 def parts(batch: pa.RecordBatch, max_bytes: int = 1 << 20, name: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts stay near max_bytes together, one row at least."""
     column = batch.column(batch.schema.get_field_index(name))

@@ -65,10 +65,11 @@ def test_shingles():
     assert len(shingle_set(b"a b c d e a b c d e", h)) == 5
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 40, 1_000_000])
+def test_components(spark, few):
     rng = random.Random(3)
     links = [(i, i + 1) for i in range(0, 300)] + [(1000 + rng.randrange(200), 1000 + rng.randrange(200)) for _ in range(150)] + [(5000, 6000 + i) for i in range(50)]
-    got = {r.doc_id: r.component_id for r in components(spark.createDataFrame([(min(a, b), max(a, b)) for a, b in links if a != b], "a long, b long").repartition(9)).collect()}
+    got = {r.doc_id: r.component_id for r in components(spark.createDataFrame([(min(a, b), max(a, b)) for a, b in links if a != b], "a long, b long").repartition(9), few).collect()}
     up = {}
     for a, b in links:
         if a != b:
