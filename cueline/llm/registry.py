@@ -168,3 +168,81 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cueline.llm.simhash import simhash_duplicates
 
     return simhash_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op12_divergence_audit",
+    r"""
+    WITH t AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        unnest(regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS word FROM documents),
+    w AS (SELECT doc, lang, source, translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM t),
+    k AS (SELECT lang, term, count(*) AS n_lang FROM w GROUP BY ALL HAVING count(DISTINCT doc) >= 10),
+    g AS (SELECT DISTINCT coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+    l AS (SELECT lang, count(*) AS v, sum(n_lang) AS total FROM k GROUP BY lang),
+    c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY ALL),
+    s AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+    d AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+        1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 2) // (coalesce(s.total, 0) + 2 * l.v) AS p,
+        1 + CAST(1000000000 AS HUGEINT) * (k.n_lang + 2) // (l.total + 2 * l.v) AS q
+      FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN s ON s.lang = g.lang AND s.source = g.source LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+    pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source != b.source
+      LEFT JOIN (SELECT x.lang, x.source AS x, y.source AS y, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS f FROM d x JOIN d y ON x.lang = y.lang AND x.term = y.term AND x.source != y.source GROUP BY ALL) z
+      ON z.lang = a.lang AND z.x = a.source AND z.y = b.source),
+    terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM d WHERE n > 0 AND p > q)
+    SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+    FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+    QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 10
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cueline.llm.divergence_audit import divergence_audit
+
+    return divergence_audit(table(spark, sf_dir, "documents"))
+
+
+def _bucketed(out: str, source: str, key: str) -> str:
+    """Common table expressions: how often each bucket occurs in each text of a table, by CRC-32.
+
+    Distinct words' CRCs go byte by byte; that of a longer run is the XOR of its last word's and of the CRC before it, moved on by as many zero bytes.
+    """
+    moved = "xor(xor({0}), xor({1}))".format(*[", ".join(f"tables[c.n * 1024 + {256 * k} + ((p.c >> {8 * k}) & 255) + 1]" for k in ks) for ks in ((0, 1), (2, 3))])
+    return rf"""
+    {out}_w AS (SELECT doc, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM (SELECT {key} AS doc,
+      regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM {source})),
+    {out}_c AS (SELECT w.doc, w.i, v.c, v.spaced, v.n + 1 AS n FROM {out}_w w JOIN vocabulary v USING (word)),
+    {out}_2 AS (SELECT c.doc, c.i, c.n, c.spaced, xor({moved}, c.spaced) AS c FROM {out}_c c JOIN {out}_c p ON p.doc = c.doc AND p.i = c.i - 1, zeros),
+    {out}_3 AS (SELECT c.doc, xor({moved}, c.spaced) AS c FROM {out}_2 c JOIN {out}_2 p ON p.doc = c.doc AND p.i = c.i - 1, zeros),
+    {out} AS MATERIALIZED (SELECT doc, c % 10000 AS bucket, count(*) AS n FROM (SELECT doc, c FROM {out}_c UNION ALL SELECT doc, c FROM {out}_2 UNION ALL SELECT doc, c FROM {out}_3) GROUP BY ALL)"""
+
+
+_RESAMPLE = rf"""
+    WITH RECURSIVE bits AS (SELECT b, b AS c, 0 AS k FROM range(256) r(b) UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+    step AS MATERIALIZED (SELECT b, c AS t FROM bits WHERE k = 8),
+    d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+    m AS MATERIALIZED (SELECT row_number() OVER () AS row, coalesce(text, '') AS text FROM benchmark),
+    words AS MATERIALIZED (SELECT word, encode(word) AS raw FROM (SELECT DISTINCT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM (SELECT text FROM d UNION ALL SELECT text FROM m))),
+    crc AS (SELECT word, hex(raw) AS h, 0 AS k, 4294967295::BIGINT AS c, 378745018::BIGINT AS e FROM words
+      UNION ALL SELECT word, h, k + 1, xor(x.t, c >> 8), xor(y.t, e >> 8) FROM (SELECT *, CAST('0x' || substr(h, 2 * k + 1, 2) AS BIGINT) AS byte FROM crc WHERE 2 * k < length(h)) o
+      JOIN step x ON x.b = xor(o.c & 255, o.byte) JOIN step y ON y.b = xor(o.e & 255, o.byte)),
+    vocabulary AS MATERIALIZED (SELECT word, k AS n, xor(c, 4294967295) AS c, xor(e, 4294967295) AS spaced FROM crc WHERE 2 * k = length(h)),
+    z AS (SELECT 0::BIGINT AS n, place, b, b << (8 * place) AS c FROM range(256) r(b), range(4) s(place)
+      UNION ALL SELECT n + 1, place, z.b, xor(t, c >> 8) FROM z JOIN step ON step.b = c & 255 WHERE n <= (SELECT max(n) FROM vocabulary)),
+    zeros AS MATERIALIZED (SELECT list(c ORDER BY n, place, b) AS tables FROM z),
+    {_bucketed("ds", "d", "row").strip()},
+    {_bucketed("ms", "m", "row").strip()},
+    counts AS (SELECT bucket, sum(s)::DOUBLE AS s, sum(t)::DOUBLE AS t FROM (SELECT bucket, 0 AS s, 0 AS t FROM range(10000) r(bucket) UNION ALL SELECT bucket, n, 0 FROM ds UNION ALL SELECT bucket, 0, n FROM ms) GROUP BY bucket),
+    gains AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000)))) AS BIGINT) AS gain FROM counts),
+    weights AS (SELECT doc, sum(n) AS n_features, sum(n * gain) AS weight FROM ds JOIN gains USING (bucket) GROUP BY doc),
+    lengths AS (SELECT doc, count(*) AS n_words FROM ds_w GROUP BY doc),
+    scored AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+        CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+      FROM d LEFT JOIN weights w ON w.doc = d.row LEFT JOIN lengths l ON l.doc = d.row),
+    ordered AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place, count(*) FILTER (n_words >= 20) OVER () AS n FROM scored)
+    SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 5 * n // 100 THEN place END AS rank FROM ordered"""
+
+
+@query("op13_importance_resampling", _RESAMPLE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cueline.llm.importance_resampling import importance_resample
+
+    return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
