@@ -87,13 +87,13 @@ def distance(x: np.ndarray, y) -> np.ndarray:
 
 
 def vantage(members: np.ndarray, bits: int, tries: int = 8) -> tuple[np.uint64, int]:
-    """A member and a radius with few others near the boundary, and at least a quarter on either side where that can be had."""
+    """A member and a radius with few others near the boundary, and two fifths at least on either side where that can be had."""
     best = None
     for point in members[np.linspace(0, len(members) - 1, min(tries, len(members))).astype(int)]:
         within = np.cumsum(np.bincount(distance(members, point), minlength=65 + bits)) / len(members)
         for r in range(64):
             inside, band = within[r], within[r + bits] - within[max(0, r - bits)]
-            key = (max(0.0, 0.25 - min(inside, 1 - inside)), band)
+            key = (max(0.0, 0.4 - min(inside, 1 - inside)), band)
             if best is None or key < best[0]:
                 best = (key, point, r)
     return best[1], best[2]
