@@ -1,13 +1,12 @@
 """Quality rules: simple counts, and a hashed n-gram log-likelihood ratio.
 
 Words and word pairs are hashed into `buckets` slots. Their counts over the whole corpus make one multinomial, those
-over a trusted target another. A document scores the mean over its n-grams of log (count in target + prior) /
-(count expected from the corpus + prior), so that rare n-grams say little; dividing by their number makes lengths
-comparable. Every document with a mean under `threshold` goes, as does one that fails the base rules.
+over a trusted target another. A document scores the mean over its n-grams of log (share in the target + prior) /
+(share in the corpus + prior), so that rare n-grams say little; dividing by their number makes lengths comparable. The prior is a share too:
+more of the same documents gives the same scores. Every document with a mean under `threshold` goes, as does one that fails the base rules.
 
 The trusted target are all documents that `labels` marks with quality 1, found by a join on the id. The corpus counts cover
-every document. The prior is `prior_share` of the target's n-grams, so that a score does not move with the size of the input,
-and `prior` at least: on little evidence n-grams say little. Counts are summed in Spark, a slice of the slots per task and at most
+every document. Counts are summed in Spark, a slice of the slots per task and at most
 about FAN tasks' counts at a time, level by level; the driver gets one array of `buckets` entries.
 
 Defined cases: null text counts as empty and fails the base rules; without trusted documents every ratio is 0 and the
@@ -21,15 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cueline.llm.shared import U64, WordHash, large, ngram_hashes, parts, partitions_for, prepare, small
+from cueline.llm.shared import COUNTS, FAN, U64, WordHash, given, large, ngram_hashes, parts, partitions_for, prepare, sliced, summed, texts
 
 SYMBOLS = "#*$%&|<>"
-SLICES = 64
-FAN = 64
+#: What is added to both shares of an n-gram: those that are rarer than it say little.
+PRIOR = 1e-4
 NO_SLOTS = np.empty(0, np.int64)
 #: So many trusted ids are broadcast; beyond that Spark shuffles both sides of the join.
 BROADCAST_IDS = 500_000
@@ -69,59 +67,28 @@ def with_trust(docs: DataFrame, labels: DataFrame) -> DataFrame:
     good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("good__", F.lit(True))
     if good.count() <= BROADCAST_IDS:
         good = F.broadcast(good)
-    return _given(docs).join(good, "doc_id", "left").select("doc_id", "text", F.col("good__").isNotNull().alias("trusted"))
+    return given(docs).join(good, "doc_id", "left").select("doc_id", "text", F.col("good__").isNotNull().alias("trusted"))
 
 
-def _given(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-
-def _bytes(batch: pa.RecordBatch, k: int = 1) -> list[bytes]:
-    return [x or b"" for x in batch.column(k).cast(pa.binary()).to_pylist()]
-
-
-def fit_ratios(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 18, prior: float = 20.0, prior_share: float = 1.2e-6, fan: int = FAN) -> np.ndarray:
+def fit_ratios(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 18, prior: float = PRIOR, fan: int = FAN) -> np.ndarray:
     """The log ratio of each slot, from counts over all documents and over the trusted ones."""
-    spark = docs.sparkSession
-    prepare(spark)
-    size = buckets // SLICES
+    prepare(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, target, hashes = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64), WordHash()
         for batch in (x for whole in batches for x in parts(whole)):
             good = batch.column(2).to_numpy(zero_copy_only=False)
-            found = [slots(hashes.of(text.split()), buckets) for text in _bytes(batch)]
+            found = [slots(hashes.of(text.split()), buckets) for text in texts(batch)]
             total += np.bincount(np.concatenate([NO_SLOTS, *found]), minlength=buckets)
             target += np.bincount(np.concatenate([NO_SLOTS, *(x for x, g in zip(found, good, strict=True) if g)]), minlength=buckets)
-        yield packed(range(SLICES), TaskContext.get().partitionId(), [(total[k * size : (k + 1) * size], target[k * size : (k + 1) * size]) for k in range(SLICES)])
-
-    def packed(slices, sender: int, counts: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"slice": pa.array(slices, pa.int32()), "sender": pa.array([sender] * len(counts), pa.int32()), "total": [small(a) for a, _ in counts], "target": [small(b) for _, b in counts]})
-
-    def add(of: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: dict[tuple[int, int], list[np.ndarray]] = {}
-            for batch in batches:
-                for k, sender, *both in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    got, key = [large(x) for x in both], (k, sender // of)
-                    sums[key] = [x + y for x, y in zip(sums[key], got, strict=True)] if key in sums else got
-            for (k, sender), counts in sums.items():
-                yield packed([k], sender, [counts])
-
-        return run
-
-    schema = "slice int, sender int, total binary, target binary"
-    senders, rows = partitions_for(docs), with_trust(docs, labels).mapInArrow(count, schema)
-    while senders > fan:  # what so many senders have to say of a slice would be too much for one task
-        senders = -(-senders // fan)
-        rows = rows.repartition(SLICES * senders, "slice", F.expr(f"sender div {fan}")).mapInArrow(add(fan), schema)
-    total, target = np.zeros(buckets), np.zeros(buckets)
-    for k, _, a, b in rows.repartitionById(SLICES, F.col("slice")).mapInArrow(add(1 << 31), schema).collect():
-        total[k * size : (k + 1) * size], target[k * size : (k + 1) * size] = large(a), large(b)
+        yield sliced(np.concatenate([total, target]))
+
+    sums = summed(with_trust(docs, labels).mapInArrow(count, COUNTS), partitions_for(docs), fan=fan).collect()
+    both = np.concatenate([large(r.counts) for r in sorted(sums)]) if sums else np.zeros(2 * buckets)
+    total, target = both[:buckets], both[buckets:]
     if not target.sum():
         return np.zeros(buckets, np.float32)
-    prior = max(prior, prior_share * target.sum())
-    return np.log((target + prior) / (total * (target.sum() / total.sum()) + prior)).astype(np.float32)
+    return np.log((target / target.sum() + prior) / (total / total.sum() + prior)).astype(np.float32)
 
 
 STATS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double"
@@ -148,7 +115,7 @@ def quality_stats(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
         for whole in batches:
             for batch in parts(whole):
                 out = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), _bytes(batch), strict=True):
+                for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
                     words = text.split()
                     h = hashes.of(words)
                     joined = b"".join(words)
@@ -157,20 +124,20 @@ def quality_stats(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
                 columns = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns[:6]] + [pa.array(columns[6], pa.float64())], names=[x.split()[0] for x in STATS.split(", ")])
 
-    return _given(docs).mapInArrow(run, STATS)
+    return given(docs).mapInArrow(run, STATS)
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = -0.1, buckets: int = 1 << 18, prior: float = 20.0, prior_share: float = 1.2e-6) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = -0.1, buckets: int = 1 << 18, prior: float = PRIOR) -> DataFrame:
     """One row per document: its counts, base_failed, kept, and the score that decided."""
-    stats = quality_stats(docs, fit_ratios(docs, labels, buckets, prior, prior_share))
+    stats = quality_stats(docs, fit_ratios(docs, labels, buckets, prior))
     return stats.withColumn("base_failed", base_fails(F.col("n_words"), F.col("n_repeat_words"))).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = -0.1, buckets: int = 1 << 18, prior: float = 20.0, prior_share: float = 1.2e-6) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = -0.1, buckets: int = 1 << 18, prior: float = PRIOR) -> DataFrame:
     """The documents that the rules keep, with all their columns and without a join: each text is judged where it is read."""
     spark = docs.sparkSession
     prepare(spark)
-    shared = spark.sparkContext.broadcast(fit_ratios(docs, labels, buckets, prior, prior_share))
+    shared = spark.sparkContext.broadcast(fit_ratios(docs, labels, buckets, prior))
 
     @F.pandas_udf("boolean")
     def kept(texts):

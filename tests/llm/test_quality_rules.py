@@ -31,7 +31,7 @@ def test_rules(spark):
     rows = [(i, t, 1, "k") for i, t in enumerate(good + bad + odd)] + [(None, good[0], 1, "k"), (0, good[0], 1, "k")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, quality int, kept string")
     labels = spark.createDataFrame([(i, int(i < 60), 0) for i in range(80)] + [(None, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
-    got = quality_rules(docs, labels, buckets=1 << 12, prior=1.0).collect()
+    got = quality_rules(docs, labels, buckets=1 << 12).collect()
     assert len(got) == len(rows)
     text = {r[0]: r[1] for r in rows}
     for r in got:
@@ -41,7 +41,7 @@ def test_rules(spark):
             assert r.kept
         if r.doc_id is not None and 60 <= r.doc_id < 90:
             assert not r.kept
-    kept = keep_good(docs, labels, buckets=1 << 12, prior=1.0)
+    kept = keep_good(docs, labels, buckets=1 << 12)
     assert kept.columns == docs.columns
     assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(str(r.doc_id) for r in got if r.kept)
     empty = quality_rules(docs.limit(0), labels)
@@ -52,17 +52,25 @@ def test_rules(spark):
 def test_every_label_counts(spark):
     """With all documents trusted nothing tells the target from the corpus, however many there are."""
     docs = spark.range(20_300).selectExpr("id AS doc_id", "concat('w', id, ' v', id) AS text")
-    assert not fit_ratios(docs, docs.selectExpr("doc_id", "1 AS quality"), buckets=1 << 12, prior=1.0).any()
+    assert not fit_ratios(docs, docs.selectExpr("doc_id", "1 AS quality"), buckets=1 << 12).any()
 
 
 def test_size_of_input(spark):
-    """Ten times the same documents have the same ratios."""
-    docs = spark.range(400).selectExpr("id AS doc_id", "concat('w', id % 7, ' v', id % 11) AS text")
-    labels = docs.selectExpr("doc_id", "CAST(doc_id < 200 AS INT) AS quality")
-    more = docs.crossJoin(spark.range(10)).select("doc_id", "text")
-    once, often = (fit_ratios(x, labels, buckets=1 << 12, prior=0.1, prior_share=0.01) for x in (docs, more))
-    np.testing.assert_allclose(once, often, atol=1e-6)
-    assert once.any()
+    """The same documents 1, 8 and 64 times over get the same verdicts, by the query's own parameters."""
+    rng = random.Random(5)
+    plain, junk = [f"w{k}" for k in range(200)], [f"zz{k}" for k in range(40)]
+    rows = []
+    for i in range(200):
+        part = 0 if i < 100 else (i % 4) / 4  # junk from none to three quarters
+        rows.append((i, " ".join(rng.choice(junk if rng.random() < part else plain) for _ in range(60)), int(i < 100)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    kept, scores = [], []
+    for copies in (1, 8, 64):
+        got = quality_rules(docs.crossJoin(spark.range(copies)).select("doc_id", "text"), docs).select("doc_id", "kept", "score").distinct().collect()
+        kept.append({r.doc_id for r in got if r.kept})
+        scores.append([s for _, s in sorted({(r.doc_id, round(r.score, 6)) for r in got})])
+    assert kept[0] == kept[1] == kept[2] and scores[0] == scores[1] == scores[2]
+    assert kept[0] == {i for i, _, _ in rows if i < 100 or i % 4 == 0}
 
 
 def test_ratio_by_hand(spark):
@@ -72,9 +80,9 @@ def test_ratio_by_hand(spark):
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string").repartition(9), spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, quality int")
     grams = lambda t: (w := t.split()) + list(zip(w, w[1:]))
     total, target = Counter(g for _, t in rows for g in grams(t)), Counter(g for i, t in rows[:100] if i % 2 for g in grams(t))
-    share, prior = target.total() / total.total(), 1.5
-    want = {i: np.mean([np.log((target[g] + prior) / (total[g] * share + prior)) for g in grams(t)]) for i, t in rows}
+    whole, part, prior = total.total(), target.total(), 1e-4
+    want = {i: np.mean([np.log((target[g] / part + prior) / (total[g] / whole + prior)) for g in grams(t)]) for i, t in rows}
     for fan in (64, 2):
-        stats = quality_stats(docs, fit_ratios(docs, labels, buckets=1 << 22, prior=prior, fan=fan))
+        stats = quality_stats(docs, fit_ratios(docs, labels, buckets=1 << 22, fan=fan))
         off = [abs(r.score - want[r.doc_id]) for r in stats.collect()]
         assert np.median(off) < 1e-6 and max(off) < 0.02  # a slot may hold two n-grams
