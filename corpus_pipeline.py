@@ -14,7 +14,7 @@ from cueline.llm.bpe import bpe_round_trip
 from cueline.llm.exact_dedup import drop_exact_copies
 from cueline.llm.near_dedup import keep_one_of_each
 from cueline.llm.quality_rules import keep_good
-from cueline.llm.shared import prepare, stored
+from cueline.llm.shared import forget, prepare, stored
 from cueline.llm.source_mixing import repeat_by_mix
 
 TOKENIZER = "word_bpe_49k.json"
@@ -59,7 +59,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stored(docs, f"stage-{k}-{name}")
+            forget(before)
     return docs

@@ -385,7 +385,9 @@ def finished(docs: DataFrame, heads: DataFrame, links: DataFrame, percent: int,
         more = stored(verified(pairs, sets, percent), "verified")
         if not more.isEmpty():
             links = links.union(more)
+            forget(labels)
             labels = components(links)
+    forget(ids, sets, lists)
     return labels
 
 
@@ -413,6 +415,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, heads_a_salt: int = HEAD
     links = links.union(stored(verified(rest, sets, percent), "verified"))
     forget(sets, pairs)
     groups = finished(docs, heads, links, percent, likely - 0.2, salts)
+    forget(heads)
     final = classes.join(groups, F.col("class_id") == F.col("doc_id"), "left").select("set_high", "set_low", F.coalesce("component_id", "class_id").alias("component_id"))
     lookup = part.join(final, ["set_high", "set_low"]).select("set_high", "set_low", "salt", "component_id")
     linked = salted.join(lookup, ["set_high", "set_low", "salt"]).select("doc_id", "component_id").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
