@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +14,10 @@ from cueline.operators.duplicates import edit_duplicates, edit_pairs, first_in_b
 from cueline.operators.folds import merge_lines
 from cueline.operators.quality import contextual_scores, filter_lines
 from cueline.params import DEFAULT, Params
-from cueline.workers import kept
+from cueline.workers import forget, kept, stored
+
+if TYPE_CHECKING:
+    import pandas as pd
 
 SOURCE = ["node_id", "show_name", "episode"]
 
@@ -112,33 +118,55 @@ def promote(lines: DataFrame, ids: DataFrame) -> DataFrame:
     return lines.join(marked, "line_id", "left").withColumn("filter_status", F.when(F.col("hit__"), "promoted").otherwise(F.col("filter_status"))).drop("hit__")
 
 
-def near_pairs(lines: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Pairs of lines of one batch within the edit distance: batch, earlier, line_id. lines: batch, line_id, text."""
-    norm = lines.select("batch", "line_id", for_duplicates(F.col("text")).alias("x"))
-    pairs = edit_pairs(norm.select("batch", F.col("line_id").alias("x_id"), "x"), norm.select("batch", F.col("line_id").alias("y_id"), F.col("x").alias("y")), ["batch"], params)
-    return pairs.where("y_id < x_id").select("batch", F.col("y_id").alias("earlier"), F.col("x_id").alias("line_id"))
+#: So many pairs (16 MB) are settled by one task.
+FEW_PAIRS = 1_000_000
 
 
-def promote_in_order(lines: DataFrame, nodes: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """line_id, node_id, merged_into, outcome: the lines of a batch are taken in order, and each one that is created counts for those after it.
+def first_in_order(pairs: DataFrame, few: int = FEW_PAIRS) -> DataFrame:
+    """Of lines taken in order those that are not the first of their kind: line_id, merged_into. pairs: earlier, line_id (earlier < line_id), each once.
 
-    A line like a node merges into it. Another one merges into the first earlier line of its batch that is like it and was itself created;
-    only the near pairs of a batch are followed in order.
+    A line is created unless an earlier one that it is paired with was created; it is merged into the first of these. Per round, lines without
+    undecided earlier partners are created and take their later partners out; when `few` pairs or less are undecided, one task follows them.
     """
-    import pandas as pd
 
-    into = edit_duplicates(lines, nodes, params)
-    near = near_pairs(lines.join(into, "line_id", "left_anti"), params)
-
-    def settle(part: pd.DataFrame) -> pd.DataFrame:
-        gone: dict[int, int] = {}
-        for line, earlier in part.sort_values(["line_id", "earlier"]).groupby("line_id", sort=True)["earlier"]:
-            kept = [a for a in earlier if a not in gone]
-            if kept:
-                gone[line] = kept[0]
-        return pd.DataFrame({"line_id": list(gone), "merged_into": list(gone.values())}, dtype="int64")
+    def follow(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
+        for part in [pd.concat(parts)] if (parts := list(rows)) else []:
+            gone: set[int] = set()
+            for line, earlier in part.sort_values("line_id").groupby("line_id", sort=True)["earlier"]:
+                if any(e not in gone for e in earlier):
+                    gone.add(line)
+            yield pd.DataFrame({"line_id": list(gone)}, dtype="int64")
+
+    pairs = stored(pairs.select("earlier", "line_id"), "pairs")
+    as_earlier = lambda t: t.withColumnRenamed("line_id", "earlier")
+    left, gone = pairs, pairs.select("line_id").limit(0)
+    while left.count() > few:
+        first = stored(left.select(F.col("earlier").alias("line_id")).distinct().join(left.select("line_id").distinct(), "line_id", "left_anti"), "first")
+        out = stored(left.join(as_earlier(first), "earlier", "left_semi").select("line_id").distinct(), "out")
+        decided = first.union(out)
+        rest = stored(left.join(decided, "line_id", "left_anti").join(as_earlier(decided), "earlier", "left_anti").select("earlier", "line_id"), "undecided")
+        forget(first, *([left] if left is not pairs else []))
+        left, gone = rest, gone.union(out)
+    gone = stored(gone.union(left.repartition(1).mapInPandas(follow, "line_id long")), "gone")
+    return pairs.join(as_earlier(gone), "earlier", "left_anti").groupBy("line_id").agg(F.min("earlier").alias("merged_into"))
+
+
+def promote_in_order(lines: DataFrame, nodes: DataFrame, params: Params = DEFAULT, few: int = FEW_PAIRS) -> DataFrame:
+    """line_id, node_id, merged_into, outcome: the lines of a batch are taken in order, and each one that is created counts for those after it.
 
-    inside = near.groupBy("batch").applyInPandas(settle, "line_id long, merged_into long")
+    A line like a node merges into it. Another one merges into the first earlier line of its batch that is like it and was itself created. Lines that read
+    alike are followed as one, the first of them, as they have the same partners. lines: batch, line_id, text; lines without text are all created.
+    """
+    into = edit_duplicates(lines, nodes, params)
+    rest = lines.join(into, "line_id", "left_anti").select("batch", "line_id", for_duplicates(F.col("text")).alias("x"))
+    rest = stored(rest.where("x IS NOT NULL"), "rest")
+    alike = stored(rest.groupBy("batch", "x").agg(F.min("line_id").alias("first_id")), "alike")
+    pairs = edit_pairs(alike.select("batch", F.col("first_id").alias("x_id"), "x"), alike.select("batch", F.col("first_id").alias("y_id"), F.col("x").alias("y")), ["batch"], params)
+    settled = first_in_order(pairs.where("y_id < x_id").select(F.col("y_id").alias("earlier"), F.col("x_id").alias("line_id")), few)
+    kind = alike.join(settled, F.col("first_id") == F.col("line_id"), "left").select("batch", "x", "first_id", F.coalesce("merged_into", "first_id").alias("kind"))
+    inside = rest.join(kind, ["batch", "x"]).select("line_id", F.when(F.col("kind") != F.col("line_id"), F.col("kind")).alias("merged_into"))
     outcome = F.when(F.col("node_id").isNotNull(), "merged").when(F.col("merged_into").isNotNull(), "repeated").otherwise("created")
     return lines.select("line_id").join(into, "line_id", "left").join(inside, "line_id", "left").withColumn("outcome", outcome)
 

@@ -39,6 +39,12 @@ def filter_stats(filtered: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
+#: word and c, how often it occurs, of each word of an array: runs of the sorted array, found within the row, in time linear in its length. An array of one
+#: holds what is used many times, so that it is computed once.
+RUNS = """transform(array(array_sort(words)), s -> transform(array(filter(sequence(0, size(s)), i -> i < size(s) AND (i = 0 OR get(s, i) <> get(s, i - 1)))),
+    t -> transform(t, (at, k) -> struct(get(s, at) AS word, coalesce(get(t, k + 1), size(s)) - at AS c)))[0])[0]"""
+
+
 def tfidf_scores(lines: DataFrame, key: str = "line_id") -> DataFrame:
     """How rare a line's words are in the batch, scaled to [0, 1]: key, tfidf. lines: key, en_text.
 
@@ -48,9 +54,7 @@ def tfidf_scores(lines: DataFrame, key: str = "line_id") -> DataFrame:
     words = F.filter(F.regexp_extract_all(F.lower("en_text"), F.lit("([a-z']+)"), F.lit(1)), lambda w: ~w.isin(*sorted(FUNCTION_WORDS)) & (F.length(w) > 2))
     split = lines.select(key, words.alias("words"))
     total = split.agg(F.count(F.lit(1)).alias("n"))
-    # a line's words are counted within its row: no shuffle brings them together
-    counted = F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("word"), F.size(F.filter("words", lambda x: x == w)).alias("c")))
-    counts = split.select(key, F.size("words").alias("size"), F.explode(counted).alias("w")).select(key, "size", "w.*")
+    counts = split.select(key, F.size("words").alias("size"), F.explode(F.expr(RUNS)).alias("w")).select(key, "size", "w.*")
     seen = counts.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     rated = counts.join(seen, "word").crossJoin(F.broadcast(total))  # one row
     raw = rated.groupBy(key).agg(F.sum(F.col("c") * F.col("c") / F.col("size") / F.col("size") * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)).alias("raw"))

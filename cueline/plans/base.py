@@ -33,7 +33,7 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
                 needed += [x for x in (*NEEDS.get(v, ()), v) if x not in needed]
             recursive = "RECURSIVE " if "RECURSIVE" in sql[:40] else ""
             body = bigint_counts(sql).strip().removeprefix("RECURSIVE").strip()
-            head = ", ".join(f"{v} AS ({VIEWS[v].strip()})" for v in needed)
+            head = ", ".join(f"{v} AS {'MATERIALIZED ' * (v in COSTLY)}({VIEWS[v].strip()})" for v in needed)
             if not head:
                 ORACLES[name] = body
             elif body.startswith(","):  # more common table expressions
@@ -66,6 +66,8 @@ def bigint_counts(sql: str) -> str:
 
 VIEWS: dict[str, str] = {}
 NEEDS: dict[str, tuple[str, ...]] = {}
+#: Views that DuckDB shall compute once.
+COSTLY: set[str] = set()
 
 # Lines of documents, as captions of an episode: 300 ms a word, and gaps that depend on the place.
 VIEWS["lines0"] = """

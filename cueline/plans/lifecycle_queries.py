@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cueline.operators import lifecycle as M
-from cueline.plans.base import NEEDS, VIEWS, clips, lines, nodes, query, sql_values, table, values
+from cueline.plans.base import COSTLY, NEEDS, VIEWS, clips, lines, nodes, query, sql_values, table, values
 from cueline.plans.quality_queries import LINES, TFIDF
 from cueline.plans.search_queries import PLAIN
 from cueline.plans.text_queries import duplicates_sql
@@ -117,13 +117,67 @@ def promote(spark, sf_dir):
     return M.promote(rows, ids).select("line_id", "filter_status")
 
 
-ORDERED = [(0, 1, "hello brave new world"), (0, 2, "hello brave new worlds"), (0, 3, "hello brave new worldly"), (0, 4, "something else entirely"), (1, 5, "hello brave new world"), (1, 6, "known text of a node"), (0, 7, "hello brave new worldss")]
-OUT = [(1, None, None, "created"), (2, None, 1, "repeated"), (3, None, 1, "repeated"), (4, None, None, "created"), (5, None, None, "created"), (6, 70, None, "merged"), (7, None, 1, "repeated")]
+# All lines, a source a batch; lines that read alike are one.
+VIEWS["read"] = f"SELECT line_id, lang, source AS batch, {PLAIN.format(duplicates_sql('en_text'))} AS x FROM lines"
+VIEWS["read_items"] = f"SELECT item_id AS node_id, {PLAIN.format(duplicates_sql('text'))} AS y FROM benchmark"
+# Letters that one text has more often must go or come: most pairs need no comparison.
+COUNTED = "*, length(x) AS n, [" + ", ".join(f"length(x) - length(replace(x, '{c}', ''))" for c in "abcdefghijklmnopqrstuvwxyz ~") + "] AS l"
+SIZED = "a.n <= b.n AND b.n * 0.85 < a.n + 1 AND a.id <> b.id"
+OFF = "greatest(" + ", ".join(f"list_sum(list_transform(list_zip(a.l, b.l), lambda z: greatest(0, {p})))" for p in ("z[1] - z[2]", "z[2] - z[1]")) + ") <= 0.15 * b.n"
+CLOSE = "(length({x}) = length({y}) OR (length({y}) - length({x})) / length({y}) < 0.15) AND levenshtein({x}, {y}) / greatest(length({y}), 1) < 0.15"
+VIEWS["found_in"] = f"SELECT x, min(node_id) AS node_id FROM (SELECT DISTINCT x FROM read) CROSS JOIN read_items WHERE greatest(length(x), length(y)) = 0 OR (abs(length(x) - length(y)) / greatest(length(x), length(y)) < 0.15 AND levenshtein(x, y) / greatest(length(x), length(y)) < 0.15) GROUP BY x"
+VIEWS["kinds"] = "SELECT batch, x, min(line_id) AS id FROM read ANTI JOIN found_in USING (x) GROUP BY ALL"
+VIEWS["counted"] = f"SELECT {COUNTED} FROM kinds"
+VIEWS["maybe"] = f"SELECT a.batch, a.id AS a, b.id AS b, a.x, b.x AS y FROM counted a JOIN counted b ON a.batch = b.batch AND {SIZED} WHERE {OFF}"
+VIEWS["near_kinds"] = f"SELECT batch, a, b FROM maybe WHERE {CLOSE.format(x='x', y='y')}"
+COSTLY |= {"read", "kinds", "counted", "maybe", "near_kinds"}
+NEEDS["read"] = ("lines0", "lines")
+NEEDS["found_in"] = ("lines0", "lines", "read", "read_items")
+NEEDS["kinds"] = (*NEEDS["found_in"], "found_in")
+NEEDS["near_kinds"] = (*NEEDS["kinds"], "kinds", "counted", "maybe")
 
 
-@query("promote_in_order", f"SELECT CAST(line_id AS BIGINT) AS line_id, CAST(node_id AS BIGINT) AS node_id, CAST(merged_into AS BIGINT) AS merged_into, outcome FROM {sql_values(OUT, 'line_id, node_id, merged_into, outcome')}")
+def _read(spark, sf_dir):
+    return lines(spark, sf_dir).select("line_id", F.col("source").alias("batch"), F.col("en_text").alias("text"))
+
+
+@query(
+    "promote_in_order",
+    """RECURSIVE
+    WITH RECURSIVE e AS (SELECT DISTINCT batch, greatest(a, b) AS id, least(a, b) AS earlier FROM near_kinds),
+    o AS (SELECT batch, id, before, row_number() OVER (PARTITION BY batch ORDER BY id) AS i FROM (SELECT batch, id, list(earlier) AS before FROM e GROUP BY ALL)),
+    f(batch, i, gone) AS (SELECT DISTINCT batch, 0::BIGINT, []::BIGINT[] FROM o UNION ALL
+      SELECT f.batch, o.i, CASE WHEN len(list_filter(before, lambda b: NOT list_contains(gone, b))) > 0 THEN list_append(gone, id) ELSE gone END FROM f JOIN o ON o.batch = f.batch AND o.i = f.i + 1),
+    g AS (SELECT batch, unnest(arg_max(gone, i)) AS id FROM f GROUP BY batch),
+    m AS (SELECT e.id, min(earlier) AS kind FROM e WHERE earlier NOT IN (SELECT id FROM g) GROUP BY e.id)
+    SELECT line_id, node_id, CASE WHEN node_id IS NULL AND coalesce(kind, k.id) <> line_id THEN coalesce(kind, k.id) END AS merged_into,
+      CASE WHEN node_id IS NOT NULL THEN 'merged' WHEN coalesce(kind, k.id) <> line_id THEN 'repeated' ELSE 'created' END AS outcome
+    FROM read LEFT JOIN found_in USING (x) LEFT JOIN kinds k USING (batch, x) LEFT JOIN m ON m.id = k.id
+    """,
+    ("near_kinds",),
+)
 def promote_in_order(spark, sf_dir):
-    return M.promote_in_order(values(spark, ORDERED, "batch int, line_id long, text string"), values(spark, [(70, "known text of a node!")], "node_id long, text string"))
+    return M.promote_in_order(_read(spark, sf_dir), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("node_id"), "text"))
+
+
+@query(
+    "similar_lines",
+    f""", k AS MATERIALIZED (SELECT {COUNTED} FROM (SELECT lang, x, min(line_id) AS id FROM read GROUP BY ALL)),
+    p AS MATERIALIZED (SELECT a.lang, a.x AS x, b.x AS y, a.id AS a, b.id AS b FROM k a JOIN k b ON a.lang = b.lang AND {SIZED} WHERE CASE WHEN {OFF} THEN {CLOSE.format(x="a.x", y="b.x")} ELSE FALSE END),
+    f AS (SELECT lang, x, min(id) AS id, count(*) AS n FROM (SELECT lang, x, b AS id FROM p UNION SELECT lang, y, a FROM p UNION SELECT lang, x, id FROM k) GROUP BY ALL)
+    SELECT line_id, id AS first_id, n FROM read JOIN f USING (lang, x)""",
+    ("read",),
+)
+def similar_lines(spark, sf_dir):
+    """Of each line, how many texts of its language are within the edit distance of its own, itself included, and the first line of these: all lines
+    against all."""
+    from cueline.functions.text import for_duplicates
+    from cueline.operators.duplicates import edit_pairs
+
+    rows = lines(spark, sf_dir).select("line_id", "lang", for_duplicates(F.col("en_text")).alias("x"))
+    texts = rows.groupBy("lang", "x").agg(F.min("line_id").alias("x_id"))
+    near = edit_pairs(texts, texts.toDF("lang", "y", "y_id"), ["lang"]).groupBy("x_id").agg(F.min("y_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    return rows.join(texts, ["lang", "x"]).join(near, "x_id").select("line_id", "first_id", "n")
 
 
 @query("update_nodes", "SELECT node_id, CASE WHEN node_id IN (SELECT item_id FROM benchmark) THEN 'work' ELSE scene END AS scene, CASE WHEN node_id IN (SELECT item_id FROM benchmark) THEN 'neu' ELSE zh_text END AS zh_text, CASE WHEN node_id IN (SELECT item_id FROM benchmark) THEN FALSE ELSE needs_translation END AS needs_translation FROM nodes", ("nodes",))

@@ -159,3 +159,64 @@ def test_encodings():
 
     for text, name in (("naïve café déjà", "cp1252"), ("你好，世界", "gb18030"), ("你好，世界", "utf-8"), ("你好", "utf-16"), ("plain", "ascii"), ("你好", "utf-8-sig")):
         assert _decode(text.encode(name)) == text
+
+
+def test_first_in_order(spark):
+    """In rounds, in one task, and both, against taking the lines one by one."""
+    from cueline.operators.lifecycle import first_in_order
+
+    rng = random.Random(6)
+    pairs = sorted({(a, a + rng.randrange(1, 12)) for a in range(0, 300) for _ in range(rng.randrange(3))} | {(k, k + 1) for k in range(1000, 1040)})
+    made, into = set(), {}
+    for line in sorted({x for p in pairs for x in p}):
+        before = [a for a, b in pairs if b == line and a in made]
+        if before:
+            into[line] = min(before)
+        else:
+            made.add(line)
+    rows = spark.createDataFrame(pairs, "earlier long, line_id long").repartition(5)
+    for few in (1_000_000, 30, 0):
+        assert {r.line_id: r.merged_into for r in first_in_order(rows, few).collect()} == into
+    assert first_in_order(rows.limit(0)).count() == 0
+
+
+def test_promote_in_order(spark):
+    from cueline.operators.lifecycle import promote_in_order
+
+    rows = [(0, 1, "hello brave new world"), (0, 2, "hello brave new worlds"), (0, 3, "hello brave new worldly"), (0, 4, "something else entirely"), (1, 5, "hello brave new world"), (1, 6, "known text of a node"), (0, 7, "hello brave new worldss"), (0, 8, "Hello, brave new world!"), (0, 9, None), (0, 10, None)]
+    got = promote_in_order(spark.createDataFrame(rows, "batch int, line_id long, text string"), spark.createDataFrame([(70, "known text of a node!")], "node_id long, text string"))
+    want = [(1, None, None, "created"), (2, None, 1, "repeated"), (3, None, 1, "repeated"), (4, None, None, "created"), (5, None, None, "created"), (6, 70, None, "merged"), (7, None, 1, "repeated"), (8, None, 1, "repeated"), (9, None, None, "created"), (10, None, None, "created")]
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_rarest_pieces():
+    """The least cost of disjoint pieces, against trying all."""
+    from itertools import combinations
+
+    import numpy as np
+
+    from cueline.operators.edit_join import rarest_pieces
+
+    rng = np.random.default_rng(3)
+    for size, wanted, n in ((2, 3, 9), (3, 2, 8), (1, 4, 6)):
+        costs = rng.integers(1, 20, (5, n - size + 1)).astype(float)
+        costs[0, -2:] = np.inf
+        for row, places in zip(costs, rarest_pieces(costs, size, wanted), strict=True):
+            assert all(b - a >= size for a, b in zip(places, places[1:]))
+            best = min(sum(row[list(c)]) for c in combinations(range(len(row)), wanted) if all(b - a >= size for a, b in zip(c, c[1:])))
+            assert sum(row[places]) == best or (np.isinf(best) and np.isinf(sum(row[places])))
+
+
+def test_term_counts_of_long_texts(spark):
+    """Time that grows with a text's length and not with its square."""
+    import time
+
+    from cueline.operators.quality import tfidf_scores
+
+    took = {}
+    for n in (2_000, 8_000, 32_000):
+        rows = spark.createDataFrame([(k, " ".join(f"word{chr(97 + (i * 7 + k) % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}" for i in range(n))) for k in range(4)], "line_id long, en_text string")
+        began = time.perf_counter()
+        assert tfidf_scores(rows).count() == 4
+        took[n] = time.perf_counter() - began
+    assert took[32_000] < 4 * took[8_000] + 3
