@@ -162,22 +162,22 @@ def promote_in_order(spark, sf_dir):
 
 @query(
     "similar_lines",
-    f""", k AS MATERIALIZED (SELECT {COUNTED} FROM (SELECT lang, x, min(line_id) AS id FROM read GROUP BY ALL)),
-    p AS MATERIALIZED (SELECT a.lang, a.x AS x, b.x AS y, a.id AS a, b.id AS b FROM k a JOIN k b ON a.lang = b.lang AND {SIZED} WHERE CASE WHEN {OFF} THEN {CLOSE.format(x="a.x", y="b.x")} ELSE FALSE END),
-    f AS (SELECT lang, x, min(id) AS id, count(*) AS n FROM (SELECT lang, x, b AS id FROM p UNION SELECT lang, y, a FROM p UNION SELECT lang, x, id FROM k) GROUP BY ALL)
-    SELECT line_id, id AS first_id, n FROM read JOIN f USING (lang, x)""",
+    f""", k AS MATERIALIZED (SELECT {COUNTED} FROM (SELECT batch, x, min(line_id) AS id FROM read GROUP BY ALL)),
+    p AS MATERIALIZED (SELECT a.batch, a.x AS x, b.x AS y, a.id AS a, b.id AS b FROM k a JOIN k b ON a.batch = b.batch AND {SIZED} WHERE CASE WHEN {OFF} THEN {CLOSE.format(x="a.x", y="b.x")} ELSE FALSE END),
+    f AS (SELECT batch, x, min(id) AS id, count(*) AS n FROM (SELECT batch, x, b AS id FROM p UNION SELECT batch, y, a FROM p UNION SELECT batch, x, id FROM k) GROUP BY ALL)
+    SELECT line_id, id AS first_id, n FROM read JOIN f USING (batch, x)""",
     ("read",),
 )
 def similar_lines(spark, sf_dir):
-    """Of each line, how many texts of its language are within the edit distance of its own, itself included, and the first line of these: all lines
-    against all."""
+    """Of each line, how many texts of its source are within the edit distance of its own, itself included, and the first line of these: all lines of
+    a source against all."""
     from cueline.functions.text import for_duplicates
     from cueline.operators.duplicates import edit_pairs
 
-    rows = lines(spark, sf_dir).select("line_id", "lang", for_duplicates(F.col("en_text")).alias("x"))
-    texts = rows.groupBy("lang", "x").agg(F.min("line_id").alias("x_id"))
-    near = edit_pairs(texts, texts.toDF("lang", "y", "y_id"), ["lang"]).groupBy("x_id").agg(F.min("y_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-    return rows.join(texts, ["lang", "x"]).join(near, "x_id").select("line_id", "first_id", "n")
+    rows = lines(spark, sf_dir).select("line_id", "source", for_duplicates(F.col("en_text")).alias("x"))
+    texts = rows.groupBy("source", "x").agg(F.min("line_id").alias("x_id"))
+    near = edit_pairs(texts, texts.toDF("source", "y", "y_id"), ["source"]).groupBy("x_id").agg(F.min("y_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    return rows.join(texts, ["source", "x"]).join(near, "x_id").select("line_id", "first_id", "n")
 
 
 @query("update_nodes", "SELECT node_id, CASE WHEN node_id IN (SELECT item_id FROM benchmark) THEN 'work' ELSE scene END AS scene, CASE WHEN node_id IN (SELECT item_id FROM benchmark) THEN 'neu' ELSE zh_text END AS zh_text, CASE WHEN node_id IN (SELECT item_id FROM benchmark) THEN FALSE ELSE needs_translation END AS needs_translation FROM nodes", ("nodes",))
