@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from itertools import batched, groupby
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,7 +97,7 @@ def align(nodes: DataFrame, segments: DataFrame, params: Params = DEFAULT) -> Da
     """Nodes of each episode, in the order of their times, each with the free segment that fits best.
 
     nodes: EPISODE, node_id, en_text, start_time and perhaps embedding; segments: EPISODE, seq_index, text, times and perhaps embedding. Texts are
-    normalised before they meet and candidates scored in bulk; only the choice, which depends on earlier ones, runs per episode.
+    normalised before they meet and candidates scored in bulk; only the choice, which depends on earlier ones, follows an episode in order, row by row.
     """
     more = lambda t: ["embedding"] if "embedding" in t.columns else []
     n = nodes.select(*EPISODE, "node_id", "start_time", for_alignment(F.col("en_text")).alias("norm"), *more(nodes)).withColumn("words", word_count(F.col("norm")))
@@ -102,33 +106,55 @@ def align(nodes: DataFrame, segments: DataFrame, params: Params = DEFAULT) -> Da
     fits = (F.col("words") > 0) & (F.col("seg_words") > 0) & (F.least("words", "seg_words") / F.greatest("words", "seg_words", F.lit(1)) >= params.min_length_ratio)
     cos = cosine(F.col("embedding"), F.col("seg_embedding")) if {"embedding", "seg_embedding"} <= set(pairs.columns) else F.lit(0.0)
     scored = pairs.where(fits).select(*EPISODE, "node_id", F.col("start_time").alias("hint"), "seq_index", "seg_start", "seg_end", F.col("seg_text").alias("segment_text"), "words", F.pandas_udf(indel_ratios, "double")("norm", "seg_norm").alias("text_similarity"), cos.alias("embedding_similarity"))
-    p = params
-    names = [*EPISODE, "node_id", "seq_index", "whisper_start", "whisper_end", "confidence", "text_similarity", "embedding_similarity", "score_margin", "align_step", "whisper_text"]
-
-    def choose(part: pd.DataFrame) -> pd.DataFrame:
-        out, used, cursor = [], set(), -1
-        for (_, node), own in part.sort_values(["hint", "node_id", "seg_start", "seq_index"], kind="stable").groupby(["hint", "node_id"], sort=True):
-            own = own[~own["seq_index"].isin(used)]
-            if own.empty:
-                continue
-            lev, vec = own["text_similarity"], own["embedding_similarity"]
-            base = (p.weight_text * lev + p.weight_vector * vec).where(vec > 0, (p.weight_text + p.weight_vector) * lev)
-            score = base + (own["seq_index"] > cursor).map({True: p.order_bonus, False: -p.order_penalty})
-            ranked = score.sort_values(ascending=False, kind="stable")
-            r = own.loc[ranked.index[0]]
-            margin = ranked.iloc[0] - (ranked.iloc[1] if len(ranked) > 1 else 0.0)
-            if (r["words"] <= p.short_words and r["text_similarity"] < p.short_similarity) or r["text_similarity"] < p.least_similarity:
-                continue
-            sure = (p.weight_text * r["text_similarity"] + p.weight_vector * r["embedding_similarity"]) / (p.weight_text + p.weight_vector) if r["embedding_similarity"] > 0 else r["text_similarity"]
-            if sure < p.least_confidence:
-                continue
-            out.append((*(r[k] for k in EPISODE), node, r["seq_index"], r["seg_start"], r["seg_end"], round(sure, 4), round(r["text_similarity"], 4), round(r["embedding_similarity"], 4), round(margin, 4), "ambiguous" if margin < p.ambiguous_margin else "seq", r["segment_text"]))
-            used.add(r["seq_index"])
-            cursor = max(cursor, r["seq_index"])
-        return pd.DataFrame(out, columns=names)
+    ordered = scored.repartition(*EPISODE).sortWithinPartitions(*EPISODE, "hint", "node_id", "seg_start", "seq_index")
+    columns = [*EPISODE, "hint", "node_id", "seq_index", "seg_start", "seg_end", "segment_text", "words", "text_similarity", "embedding_similarity"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for _, episode in groupby(rows, lambda r: r[:2]):
+            for some in batched(choose_in_order(episode, params), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), ALIGNED, strict=True)], schema=ALIGNED)
+
+    return ordered.select(*columns).mapInArrow(run, "show_name string, episode string, node_id long, seq_index long, whisper_start double, whisper_end double, confidence double, text_similarity double, embedding_similarity double, score_margin double, align_step string, whisper_text string")
 
-    kinds = "show_name string, episode string, node_id long, seq_index long, whisper_start double, whisper_end double, confidence double, text_similarity double, embedding_similarity double, score_margin double, align_step string, whisper_text string"
-    return scored.groupBy(*EPISODE).applyInPandas(choose, kinds)
+
+ALIGNED = pa.schema([*[(c, pa.string()) for c in EPISODE], ("node_id", pa.int64()), ("seq_index", pa.int64()), *[(c, pa.float64()) for c in ("whisper_start", "whisper_end", "confidence", "text_similarity", "embedding_similarity", "score_margin")], ("align_step", pa.string()), ("whisper_text", pa.string())])
+
+
+def choose_in_order(candidates: Iterable[tuple], p: Params = DEFAULT) -> Iterator[tuple]:
+    """The alignments of an episode: each node takes the best of the segments that earlier ones have left, if it is good enough.
+
+    candidates, in the order in which they are taken: show_name, episode, hint, node_id, seq_index, seg_start, seg_end, segment_text, words,
+    text_similarity, embedding_similarity. Only the segments taken so far are held.
+    """
+    used: set[int] = set()
+    cursor = -1
+    whole = p.weight_text + p.weight_vector
+    for (_, node), own in groupby(candidates, lambda r: r[2:4]):
+        best, first, second = None, 0.0, 0.0
+        for r in own:
+            seq, text, vector = r[4], r[9], r[10]
+            if seq in used:
+                continue
+            score = (p.weight_text * text + p.weight_vector * vector if vector > 0 else whole * text) + (p.order_bonus if seq > cursor else -p.order_penalty)
+            if best is None:
+                best, first, second = r, score, None
+            elif score > first:
+                best, first, second = r, score, first
+            elif second is None or score > second:
+                second = score
+        if best is None:
+            continue
+        show, episode, _, _, seq, start, end, said, words, text, vector = best
+        if text < p.least_similarity or (words <= p.short_words and text < p.short_similarity):
+            continue
+        sure = (p.weight_text * text + p.weight_vector * vector) / whole if vector > 0 else text
+        if sure < p.least_confidence:
+            continue
+        margin = first - (second or 0.0)
+        yield show, episode, node, seq, start, end, round(sure, 4), round(text, 4), round(vector, 4), round(margin, 4), "ambiguous" if margin < p.ambiguous_margin else "seq", said
+        used.add(seq)
+        cursor = max(cursor, seq)
 
 
 def closest_segments(nodes: DataFrame, segments: DataFrame, k: int = 5) -> DataFrame:
