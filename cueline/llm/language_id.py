@@ -6,8 +6,9 @@ labels spans; the language of most letters is the prediction.
 
 What is learned are n-gram counts per language from a bounded sample of labelled rows, `rows_per_language` for each language
 about, chosen by a hash of their id, and which scripts a language uses. The table of counts has a fixed number of slots, and
-columns for the `most_languages` languages with most rows: a column of many stray values teaches no more of them.
-Texts are labelled as a whole, all texts of a slice in step, one word after the other.
+columns for the `most_languages` languages with most rows; how many languages and rows are beyond that is said in a warning.
+Texts are labelled as a whole, texts of a slice in step, one word after the other; how many in step, and in what stretches a long one, goes by words
+times languages, so that a worker's memory does not grow with either.
 
 Defined cases: null text, or text without a letter, is `und` with score 0; so is everything if nothing was learned; rows
 whose language is null teach nothing; long words and texts are read as a whole; repeated rows each get their row; other
@@ -17,6 +18,7 @@ columns are not touched; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+import warnings
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,6 +39,8 @@ _scripts = np.array([SCRIPTS.index(x) for x in SCRIPT_NAMES])
 GRAMS = (1, 2, 3)
 UNKNOWN = "und"
 NEVER = np.float32(-1e4)
+CELLS = 1 << 22
+_blank = re.compile(r"\s")
 _beyond_latin = re.compile("[\u0370-\u1dff\u1f00-\u1fff\u3040-\U0010ffff]")
 
 
@@ -114,10 +118,11 @@ class Languages:
 
 
 class Labeller:
-    """Labels texts; keeps the scores of up to `limit` words."""
+    """Labels texts; keeps the scores of up to `limit` words, and fewer if there are many languages. cells: words times languages in memory at once."""
 
-    def __init__(self, languages: Languages, penalty: float, most: float, limit: int = 150_000) -> None:
-        self.l, self.penalty, self.most, self.limit = languages, np.float32(penalty), np.float32(most), limit
+    def __init__(self, languages: Languages, penalty: float, most: float, limit: int = 150_000, cells: int = CELLS) -> None:
+        self.l, self.penalty, self.most, self.cells = languages, np.float32(penalty), np.float32(most), cells
+        self.limit = min(limit, 4 * cells // max(1, len(languages.names)))
         self._clear()
 
     def _clear(self) -> None:
@@ -180,26 +185,89 @@ class Labeller:
         return labels
 
     def texts(self, texts: list[str]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
-        """(language, score, spans of words) of each text."""
+        """(language, score, spans of words) of each text; as many texts in step as fit into CELLS words times languages, longer ones in stretches."""
         if not self.l.names:
             return [(UNKNOWN, 0.0, []) for _ in texts]
+        out, some, held = [], [], 0
+        for t in texts:
+            own = (len(t) // 2 + 1) * len(self.l.names)  # words there can be
+            if some and held + own > self.cells:
+                out += self._together(some)
+                some, held = [], 0
+            if own > self.cells:
+                out.append(self._long(t))
+            else:
+                some.append(t)
+                held += own
+        return out + self._together(some)
+
+    def _along(self, best: np.ndarray | None, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Viterbi over some words of one text, from the scores before them: the scores after, whether a language is come to from another one, and which."""
+        changed, tops = np.zeros(scores.shape, bool), np.zeros(len(scores), np.int64)
+        for k, s in enumerate(scores):
+            if best is None:
+                best = s.copy()
+                continue
+            tops[k] = best.argmax()
+            change = best[tops[k]] - self.penalty
+            np.less(best, change, out=changed[k])
+            best = np.maximum(best, change) + s
+        return best, changed, tops
+
+    def _long(self, text: str) -> tuple[str, float, list[tuple[int, int, str]]]:
+        """A text of any length: forward by stretches, of which only the scores at their beginnings are kept, and back through each once more."""
+        n = len(self.l.names)
+        cuts = [0]
+        while cuts[-1] < len(text):
+            blank = _blank.search(text, cuts[-1] + max(1, 2 * self.cells // n))
+            cuts.append(blank.start() if blank else len(text))
+        stretches = list(zip(cuts, cuts[1:], strict=False))
+        best, begins = None, []
+        for a, b in stretches:
+            begins.append(best)
+            at, _ = self.words([text[a:b]])
+            if len(at):
+                best = self._along(best, self.scores[at])[0]
+        if best is None:
+            return UNKNOWN, 0.0, []
+        current, labels = int(best.argmax()), []
+        sizes, against = np.zeros(n, np.int64), np.zeros((n, n))
+        for (a, b), begin in zip(reversed(stretches), reversed(begins), strict=True):
+            at, _ = self.words([text[a:b]])
+            if not len(at):
+                continue
+            scores = self.scores[at]
+            _, changed, tops = self._along(begin, scores)
+            y = np.zeros(len(at), np.int16)
+            for k in range(len(at) - 1, -1, -1):
+                y[k] = current
+                if changed[k, current]:
+                    current = int(tops[k])
+            labels.append(y)
+            sizes += np.bincount(y, weights=self.sizes[at], minlength=n).astype(np.int64)
+            np.add.at(against, y, np.maximum(scores, -self.most))
+        winner = int(sizes.argmax())
+        return self._verdict(np.concatenate(labels[::-1]), sizes, against[winner])
+
+    def _verdict(self, y: np.ndarray, by: np.ndarray, mean: np.ndarray) -> tuple[str, float, list[tuple[int, int, str]]]:
+        """From the labels, the letters of each language, and the sums of the winner's words."""
+        if not by.sum():
+            return UNKNOWN, 0.0, []
+        winner = int(by.argmax())
+        sure = 1 / np.exp(mean - mean[winner]).sum()
+        edges = np.flatnonzero(np.r_[True, y[1:] != y[:-1], True])
+        spans = [(int(a), int(b), self.l.names[y[a]]) for a, b in zip(edges, edges[1:], strict=False)]
+        return self.l.names[winner], float(np.clip(by[winner] / by.sum() * sure, 0, 1)), spans
+
+    def _together(self, texts: list[str]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
         at, counts = self.words(texts)
         labels, sizes, scores = self.label(at, counts), self.sizes[at], self.scores[at]
         out, begin = [], 0
         for n in counts.tolist():
             y, size, s = labels[begin : begin + n], sizes[begin : begin + n], scores[begin : begin + n]
             begin += n
-            total = size.sum()
-            if not total:
-                out.append((UNKNOWN, 0.0, []))
-                continue
             by = np.bincount(y, weights=size, minlength=len(self.l.names))
-            winner = int(by.argmax())
-            mean = np.maximum(s[y == winner], -self.most).sum(0, dtype=np.float64)
-            sure = 1 / np.exp(mean - mean[winner]).sum()
-            edges = np.flatnonzero(np.r_[True, y[1:] != y[:-1], True])
-            spans = [(int(a), int(b), self.l.names[y[a]]) for a, b in zip(edges, edges[1:], strict=False)]
-            out.append((self.l.names[winner], float(np.clip(by[winner] / total * sure, 0, 1)), spans))
+            out.append(self._verdict(y, by, np.maximum(s[y == by.argmax()], -self.most).sum(0, dtype=np.float64)))
         return out
 
 
@@ -208,7 +276,10 @@ def learn_languages(labelled: DataFrame, slots: int = 1 << 15, rows_per_language
     spark = labelled.sparkSession
     prepare(spark)
     given = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    counts = {r[0]: r[1] for r in given.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
+    known = given.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = {r[0]: r[1] for r in known.orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
+    if len(counts) == most_languages and (more := known.agg(F.count(F.lit(1)), F.sum("n")).first())[0] > most_languages:
+        warnings.warn(f"{more[0] - most_languages} languages with {more[1] - sum(counts.values())} rows in all are beyond most_languages and are not learned", stacklevel=2)
     if not counts:
         return Languages([], np.zeros((slots, 0), np.float32), np.zeros((len(SCRIPTS), 0), bool))
     shares = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, rows_per_language / n) * (1 << 30)))])

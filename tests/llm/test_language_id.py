@@ -3,10 +3,12 @@
 import itertools
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from cueline.llm.language_id import SCRIPTS, UNKNOWN, Labeller, Languages, grams, held_out_language_id, label_languages, learn_languages, letters_of, words_of
 
@@ -131,3 +133,28 @@ def test_query_against_brute_force(spark):
         mean = [sum(max(e[k], -3.0) for e, v in zip(each, ranked[0], strict=True) if v == winner) for k in range(len(names))]
         assert got[i].lang_pred == names[winner]
         assert abs(got[i].score - by[winner] / sum(by.values()) / sum(math.exp(m - mean[winner]) for m in mean)) < 1e-3
+
+
+def test_stretches_and_many_languages():
+    """A text in stretches has the labels of one that is read at once; hundreds of languages stay within the cells."""
+    rng = np.random.default_rng(7)
+    few = Languages(["a", "b", "c"], rng.normal(0, 2, (64, 3)).astype(np.float32), np.ones((len(SCRIPTS), 3), bool))
+    words = ["".join(random.Random(k).choices("abcdefgh", k=1 + k % 7)) for k in range(90)]
+    text = " ".join(random.Random(1).choices(words, k=3000)) + "  "
+    whole = Labeller(few, 2.5, 3.0).texts([text, "", text[:50]])
+    for cells in (30, 900, 5000):
+        got = Labeller(few, 2.5, 3.0, cells=cells).texts([text, "", text[:50]])
+        assert [(g[0], g[2]) for g in got] == [(w[0], w[2]) for w in whole]
+        np.testing.assert_allclose([g[1] for g in got], [w[1] for w in whole], atol=1e-6)
+    many = Languages([f"l{k}" for k in range(400)], rng.normal(0, 2, (64, 400)).astype(np.float32), np.ones((len(SCRIPTS), 400), bool))
+    tracemalloc.start()
+    assert len(Labeller(many, 5.0, 3.0, cells=1 << 20).texts([text * 5, text[:90]])) == 2
+    assert tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
+    assert Labeller(few, 2.5, 3.0, cells=10).texts([" " * 500, "1 2 3 " * 90]) == [(UNKNOWN, 0.0, [])] * 2
+
+
+def test_languages_beyond_the_bound_are_told(spark):
+    docs = spark.createDataFrame([(k, f"word{k}", f"l{k % 5}") for k in range(20)], "doc_id long, text string, lang string")
+    with pytest.warns(UserWarning, match="2 languages with 8 rows"):
+        learn_languages(docs, most_languages=3)
