@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cueline.llm.shared import partitions_for, prepare, shared_folder
+from cueline.llm.shared import prepare, shared_folder
 
 #: Fixed values of the format: the skippable frame of a dictionary, the version line, and the profile of a revisit.
 SKIPPABLE = 0x184D2A5D
@@ -57,6 +57,10 @@ def record_id(row: int, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'row:{row}:{digest}')}>"
 
 
+#: Compressed bytes of archives for a task that reads them.
+READ_BYTES = 64 << 20
+
+
 def http_head(length: int) -> bytes:
     return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
 
@@ -102,21 +106,20 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def train(records: list[bytes], dictionary_bytes: int, sample_bytes: int) -> bytes:
-    """A dictionary from records spread evenly over the archive, 33 or more where it has so many; no bytes if there is too little to learn from."""
+    """A dictionary from records spread evenly over the archive, 33 or more where it has so many. Where there is too little to learn from, or nothing
+    repeats, it is the beginning of these records as it stands, which Zstandard takes as a dictionary just so."""
     import zstandard
 
     total = sum(map(len, records))
     step = max(1, min(-(-total // sample_bytes), -(-len(records) // 64)))
     sample = [x[: 1 << 16] for x in records[::step]]
-    if len(sample) < 8:
-        return b""
     size = min(dictionary_bytes, sum(map(len, sample)) // 10)
-    if size < 256:
-        return b""
-    try:
-        return zstandard.train_dictionary(size, sample, k=200, d=8, steps=4, level=3).as_bytes()
-    except zstandard.ZstdError:  # nothing repeats in these records
-        return b""
+    if len(sample) >= 8 and size >= 256:
+        try:
+            return zstandard.train_dictionary(size, sample, k=200, d=8, steps=4, level=3).as_bytes()
+        except zstandard.ZstdError:  # nothing repeats in these records
+            pass
+    return b"".join(x[: max(256, dictionary_bytes // len(sample))] for x in sample)[:dictionary_bytes]
 
 
 def archive(records: list[bytes], dictionary_bytes: int, sample_bytes: int) -> bytes:
@@ -125,7 +128,7 @@ def archive(records: list[bytes], dictionary_bytes: int, sample_bytes: int) -> b
 
     trained = train(records, dictionary_bytes, sample_bytes)
     packed = zstandard.ZstdCompressor(level=3).compress(trained)
-    context = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(trained), write_content_size=True) if trained else zstandard.ZstdCompressor(level=3, write_content_size=True)
+    context = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(trained), write_content_size=True)
     return struct.pack("<II", SKIPPABLE, len(packed)) + packed + b"".join(map(context.compress, records))
 
 
@@ -206,7 +209,7 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, archive_mb: in
 
 
 def read_warc(archives: DataFrame) -> DataFrame:
-    """The records of the archives in column `path`: id, type, digest as stated, payload length, referred id, target, payload.
+    """The records of the archives (columns path, bytes; some READ_BYTES a task): id, type, digest as stated, payload length, referred id, target, payload.
 
     A response whose payload does not have the stated digest or length is an error.
     """
@@ -242,8 +245,9 @@ def read_warc(archives: DataFrame) -> DataFrame:
                 if rows:
                     yield made(rows)
 
-    paths = archives.select("path")
-    return paths.repartition(partitions_for(paths), "path").mapInArrow(run, schema)
+    least = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = archives.agg(F.sum("bytes")).first()[0] or 0
+    return archives.select("path").repartition(max(least, total // READ_BYTES + 1), "path").mapInArrow(run, schema)
 
 
 def warc_round_trip(pages: DataFrame, min_bytes: int = 0, archive_mb: int = 16) -> DataFrame:

@@ -85,3 +85,13 @@ def test_dictionary_of_large_pages():
     records = [record(i, "http://a/", page(i), base32_sha1(page(i)), None) for i in range(40)]
     assert sum(map(len, records)) > 10 << 20 and len(train(records, 1 << 14, 2 << 20)) > 200
     assert [b for _, b in read_archive(io.BytesIO(archive(records, 1 << 14, 2 << 20)))] == [http_head(len(page(i))) + page(i) for i in range(40)]
+
+
+def test_dictionary_of_few_or_odd_records():
+    """Records too few to learn from, and such as have nothing in common, have the beginning of them as dictionary."""
+    import os
+
+    for pages in ([b""], [b"<p>one</p>"] * 3, [os.urandom(200) for _ in range(40)], [os.urandom(100_000)]):
+        records = [record(i, "http://a/", p, base32_sha1(p), None) for i, p in enumerate(pages)]
+        assert train(records, 1 << 14, 2 << 20)
+        assert [b for _, b in read_archive(io.BytesIO(archive(records, 1 << 14, 2 << 20)))] == [http_head(len(p)) + p for p in pages]
