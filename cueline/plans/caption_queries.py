@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cueline.sources import captions as S
-from cueline.plans.base import lines, query, sql_values, table, values
+from cueline.plans.base import NEEDS, VIEWS, lines, query, sql_values, table, values
 
 SRT = """1
 00:00:01,000 --> 00:00:02,500
@@ -136,6 +136,44 @@ def srt_round_trip(spark, sf_dir):
     return wanted.join(found, ["doc_id", "start_time", "text"], "left").groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum(F.least("n", F.coalesce("m", F.lit(0)))).alias("same"))
 
 
+def _through_files(spark, sf_dir, kind, made):
+    """All lines with a letter, a file a document, written and read again through the data source: file's document, text."""
+    from cueline.sources.caption_source import register
+    from cueline.workers import shared_folder
+
+    register(spark)
+    ms = lambda c: F.round(F.col(c) * 1000).cast("long")
+    rows = lines(spark, sf_dir).where(F.regexp_count("en_text", F.lit("[a-zA-Z]")) > 0)
+    rows = rows.select("doc_id", F.col("pos").alias("idx"), ms("start_time").alias("start_ms"), ms("end_time").alias("end_ms"), F.col("en_text").alias("text"), F.when(F.col("lang") == "de", "中文").otherwise("").alias("zh_text"))
+    folder = shared_folder(spark, "captions")
+    made(rows, ["doc_id"]).select(F.concat(F.col("doc_id").cast("string"), F.lit(f".{kind}")).alias("file"), F.col(kind).alias("text")).write.format("captions").mode("append").save(folder)
+    back = spark.read.format("captions").option("kinds", kind).load(folder)
+    return back.select(F.regexp_extract("file", r"(\d+)\.\w+$", 1).alias("file"), "text")
+
+
+# What a line is after it was written and read: no tags, single blanks.
+VIEWS["shown"] = r"""SELECT *, CAST(round(start_time * 1000) AS BIGINT) AS s, CAST(round(end_time * 1000) AS BIGINT) AS e, trim(regexp_replace(regexp_replace(en_text, '<[^>]+>', '', 'g'), '[\s\x0B]+', ' ', 'g')) AS shown FROM lines WHERE len(regexp_extract_all(en_text, '[a-zA-Z]')) > 0"""
+NEEDS["shown"] = ("lines0", "lines")
+
+
+@query("srt_files", "SELECT doc_id, s / 1000 AS start_time, e / 1000 AS end_time, md5(shown) AS en_text, CASE WHEN lang = 'de' THEN '中文' ELSE '' END AS zh_text FROM shown WHERE len(regexp_extract_all(shown, '[a-zA-Z]')) > 0", ("shown",))
+def srt_files(spark, sf_dir):
+    back = S.parse_srt(_through_files(spark, sf_dir, "srt", S.srt_text))
+    return back.select(F.col("file").cast("long").alias("doc_id"), "start_time", "end_time", F.md5("en_text").alias("en_text"), "zh_text")
+
+
+@query("vtt_files", "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS idx, s AS start_ms, e AS end_ms, md5(shown) AS text FROM shown WHERE shown <> ''", ("shown",))
+def vtt_files(spark, sf_dir):
+    back = S.parse_vtt(_through_files(spark, sf_dir, "vtt", S.vtt_text))
+    return back.select(F.col("file").cast("long").alias("doc_id"), F.col("idx").cast("long").alias("idx"), "start_ms", "end_ms", F.md5(F.trim(F.regexp_replace("text", r"\s+", " "))).alias("text"))
+
+
+@query("ass_files", "SELECT doc_id, s // 10 / 100 AS start_time, e // 10 / 100 AS end_time, md5(trim(regexp_replace(en_text, '[\\s\\x0B]+', ' ', 'g'))) AS en_text, CASE WHEN lang = 'de' THEN '中文' ELSE '' END AS zh_text FROM shown", ("shown",))
+def ass_files(spark, sf_dir):
+    back = S.parse_ass(_through_files(spark, sf_dir, "ass", S.ass_text))
+    return back.select(F.col("file").cast("long").alias("doc_id"), F.round("start_time", 3).alias("start_time"), F.round("end_time", 3).alias("end_time"), F.md5("en_text").alias("en_text"), "zh_text")
+
+
 @query("chinese_choice", f"SELECT id, pick FROM {sql_values([(0, 'zh-cn'), (1, 'zh-hans'), (2, None), (3, 'zh')], 'id, pick')}")
 def chinese_choice(spark, sf_dir):
     rows = values(spark, [(0, ["en", "zh-hans", "ZH-CN"]), (1, ["zh", "zh-Hans"]), (2, ["zh-tw", "zh-hant", "en"]), (3, ["zh-tw", "zh"])], "id int, langs array<string>")

@@ -21,7 +21,7 @@ SUFFIXES = {"srt": ["srt"], "ass": ["ass", "ssa"], "vtt": ["vtt"]}
 SUBTITLES = [*SUFFIXES["srt"], *SUFFIXES["ass"]]
 
 
-def _decode(raw: bytes) -> str:
+def decode_captions(raw: bytes) -> str:
     """Text of a file: by its byte-order mark, else UTF-8; else Windows 1252 if bytes beyond ASCII only stand alone, as accents in Western text do;
     else the first of GB 18030 (which GBK and GB2312 are part of), Big5 and Shift-JIS that fits, or Windows 1252 with bad bytes replaced."""
     for mark, name in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
@@ -41,7 +41,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
     @F.pandas_udf("string")
     def decoded(content: pd.Series) -> pd.Series:
-        return content.map(_decode)
+        return content.map(decode_captions)
 
     suffixes = [s for names in SUFFIXES.values() for s in names]
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -160,6 +160,29 @@ def srt_text(captions: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "entry"))), lambda x: x["entry"]), "\n").alias("srt"))
 
 
+def vtt_text(captions: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and the text of a WebVTT file. captions: keys, idx, start_ms, end_ms, text."""
+    clock = lambda c: F.replace(ms_clock(F.col(c)), F.lit(","), F.lit("."))
+    rows = captions.select(*keys, "idx", F.concat(clock("start_ms"), F.lit(" --> "), clock("end_ms"), F.lit("\n"), "text", F.lit("\n")).alias("entry"))
+    return rows.groupBy(*keys).agg(F.concat(F.lit("WEBVTT\n\n"), F.array_join(_in_order(), "\n")).alias("vtt"))
+
+
+ASS_HEAD = "[Script Info]\nScriptType: v4.00+\n\n[Events]\nFormat: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text\n"
+
+
+def ass_text(captions: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and the text of an ASS file, in hundredths of a second. captions: keys, idx, start_ms, end_ms, text, zh_text."""
+    clock = lambda c: F.format_string("%d:%02d:%02d.%02d", F.floor(F.col(c) / 3600000), F.floor(F.col(c) / 60000) % 60, F.floor(F.col(c) / 1000) % 60, F.floor(F.col(c) / 10) % 100)
+    zh = F.when(F.coalesce("zh_text", F.lit("")) != "", F.concat(F.lit("\\N"), "zh_text")).otherwise("")
+    rows = captions.select(*keys, "idx", F.concat(F.lit("Dialogue: 0,"), clock("start_ms"), F.lit(","), clock("end_ms"), F.lit(",Default,,0,0,0,,"), "text", zh).alias("entry"))
+    return rows.groupBy(*keys).agg(F.concat(F.lit(ASS_HEAD), F.array_join(_in_order(), "\n"), F.lit("\n")).alias("ass"))
+
+
+def _in_order() -> Column:
+    """The entries of a group by idx."""
+    return F.transform(F.array_sort(F.collect_list(F.struct("idx", "entry"))), lambda x: x["entry"])
+
+
 def write_srt(captions: DataFrame, keys: list[str], path: str) -> None:
     """Bilingual SRT files, one row of text each with a byte-order mark, in folders by key."""
     texts = srt_text(captions, keys).withColumn("value", F.concat(F.lit("﻿"), "srt"))

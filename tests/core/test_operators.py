@@ -155,7 +155,7 @@ def test_edit_pairs(spark):
 
 
 def test_encodings():
-    from cueline.sources.captions import _decode
+    from cueline.sources.captions import decode_captions as _decode
 
     for text, name in (("naïve café déjà", "cp1252"), ("你好，世界", "gb18030"), ("你好，世界", "utf-8"), ("你好", "utf-16"), ("plain", "ascii"), ("你好", "utf-8-sig")):
         assert _decode(text.encode(name)) == text

@@ -91,3 +91,30 @@ def test_closest_segments(spark):
         best = sorted((-round(ratio(norm(text), norm(s[3])), 9), s[2]) for s in segments if s[1] == episode)[:3]
         want += [(node, seq, k + 1, -r) for k, (r, seq) in enumerate(best)]
     assert sorted((r.node_id, r.seq_index, r["rank"], round(r.similarity, 9)) for r in got.collect()) == sorted(want)
+
+
+def test_caption_source(spark, tmp_path):
+    """Files show at commit only; what failed or was aborted is not read; encodings and kinds as asked."""
+    from cueline.sources.caption_source import register
+
+    register(spark)
+    folder = str(tmp_path / "captions")
+    rows = spark.createDataFrame([(f"{k}.{kind}", f"{kind} {k} é") for k in range(7) for kind in ("srt", "VTT", "ass", "ssa")], "file string, text string").repartition(3)
+    rows.write.format("captions").mode("append").save(folder)
+    read = lambda **o: sorted((r.file.rsplit("/", 1)[1], r.kind, r.text) for r in spark.read.format("captions").options(**o).load(folder).collect())
+    want = sorted((f"{k}.{x}", {"VTT": "vtt", "ssa": "ass"}.get(x, x), f"{x} {k} é") for k in range(7) for x in ("srt", "VTT", "ass", "ssa"))
+    assert read() == want and read(kinds="ass") == [x for x in want if x[1] == "ass"]
+    assert spark.read.format("captions").option("partitionBytes", 20).load(folder).rdd.getNumPartitions() > 5
+    assert {t for _, _, t in read(encoding="ascii", kinds="srt")} == {f"srt {k} ��" for k in range(7)}
+
+    bad = spark.createDataFrame([(f"new{k}.srt", "x") for k in range(5)] + [("none.txt", "y")], "file string, text string").repartition(4)
+    with pytest.raises(Exception, match="none.txt"):
+        bad.write.format("captions").mode("append").save(folder)
+    assert read() == want  # a part that was written before is not named anywhere
+    spark.createDataFrame([("only.srt", None)], "file string, text string").write.format("captions").mode("overwrite").save(folder)
+    assert read() == [("only.srt", "srt", "")]
+    loose = tmp_path / "loose"
+    (loose / "deep").mkdir(parents=True)
+    (loose / "deep" / "b.srt").write_bytes("naïve café".encode("cp1252"))
+    (loose / "c.txt").write_text("no")
+    assert [(r.kind, r.text) for r in spark.read.format("captions").load(str(loose)).collect()] == [("srt", "naïve café")]
