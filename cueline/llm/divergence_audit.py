@@ -33,7 +33,7 @@ from cueline.llm.shared import SLICES, U64, estimated_bytes, forget, large, mixe
 BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 DEPTH, LEAST_CELLS, MOST_CELLS = 4, 1 << 16, 1 << 23
 #: Terms that a task holds before it passes its counts on.
-HELD = 800_000
+HELD = 400_000
 #: Groups of sources that a join deals over one task each way.
 BLOCK = 2_000
 UNIT = 1_000_000_000
