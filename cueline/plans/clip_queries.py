@@ -271,6 +271,15 @@ def merge_by_vectors(spark, sf_dir):
     return merge_adjacent(e, 30.0)
 
 
+@query("covered_spans", "SELECT node_id, count(s.seq_index) > 0 AS covered FROM targets t LEFT JOIN segments s ON s.show_name = t.show_name AND s.seq_index % 3 = 0 AND s.start_time < t.end_time AND s.end_time > t.start_time GROUP BY node_id", ("targets",))
+def covered_spans(spark, sf_dir):
+    """Whether a node's time meets what every third segment of its show covers."""
+    from cueline.functions.text import overlaps
+
+    ranges = segments(spark, sf_dir).where("seq_index % 3 = 0").groupBy("show_name").agg(F.collect_list(F.struct(F.col("start_time").alias("s"), F.col("end_time").alias("e"))).alias("ranges"))
+    return _targets(spark, sf_dir).join(ranges, "show_name", "left").select("node_id", F.coalesce(overlaps(F.col("start_time"), F.col("end_time"), F.col("ranges")), F.lit(False)).alias("covered"))
+
+
 @query("closest_segments")
 def closest_segments(spark, sf_dir):
     return C.closest_segments(_targets(spark, sf_dir), segments(spark, sf_dir))

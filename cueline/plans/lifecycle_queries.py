@@ -228,6 +228,16 @@ def migrate_status(spark, sf_dir):
     return M.migrate_status(values(spark, STATUS, "id int, clip_status string, is_active boolean"))
 
 
+# Orders as clips of before, with all statuses that there were.
+OLD = "list_element(['done', 'confirmed', 'skipped', 'pending', 'rejected', 'failed', 'matched', 'unmatched'], CAST(clip_id % 8 AS INTEGER) + 1)"
+
+
+@query("migrate_clips", f"SELECT clip_id, CASE WHEN s IN ('done', 'confirmed') THEN 'matched' WHEN s IN ('skipped', 'pending', 'rejected') THEN 'unmatched' ELSE s END AS clip_status, CASE WHEN s IN ('done', 'confirmed') THEN TRUE WHEN s = 'matched' THEN is_active ELSE FALSE END AS is_active FROM (SELECT *, {OLD} AS s FROM clips)", ("clips",))
+def migrate_clips(spark, sf_dir):
+    old = F.element_at(F.array(*[F.lit(x) for x in ("done", "confirmed", "skipped", "pending", "rejected", "failed", "matched", "unmatched")]), (F.col("clip_id") % 8 + 1).cast("int"))
+    return M.migrate_status(clips(spark, sf_dir).withColumn("clip_status", old)).select("clip_id", "clip_status", "is_active")
+
+
 @query("add_missing", "SELECT r_regionkey, r_name, 'tv' AS content_type, 1 AS n FROM region")
 def add_missing(spark, sf_dir):
     return M.add_missing(table(spark, sf_dir, "region"), {"content_type": F.lit("tv"), "n": F.lit(1), "r_name": F.lit("never")})
