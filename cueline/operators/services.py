@@ -1,4 +1,4 @@
-"""What goes to a tagger or a translator in blocks of lines, and what comes back: blocks, attempts, parsing by position, fallbacks.
+"""What goes to a tagger or a translator in blocks of lines, and what comes back: blocks, attempts, parsing by position, fallbacks; and queries, asked once a text.
 
 The service is a function that is given as an argument; it may fail, answer too little, or answer something else. A task that Spark runs again asks
 again, so answers are stored once they are there.
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from cueline.functions import lexicon as L
 from cueline.functions.ranking import rule_tags
-from cueline.functions.text import numbered_lines
+from cueline.functions.text import numbered_lines, strip
+from cueline.operators.vectors import encode
 from cueline.workers import let_workers_import, stored
 
 if TYPE_CHECKING:
@@ -123,3 +124,59 @@ def translate_lines(lines: DataFrame, keys: list[str], order: list[str], service
     texts = F.transform("lines", lambda x: x["text"])
     said = replies.withColumn("said", numbered_lines(F.coalesce("answer", F.lit("")), texts))
     return said.select(F.posexplode("lines").alias("at", "line"), "said").select("line.line_id", F.get("said", F.col("at")).alias("zh_text"))
+
+
+#: Takes a query; gives an answer, or None.
+Ask = Callable[[str], str | None]
+#: How many phrasings of a query count, and how long its description may be.
+PHRASINGS, DESCRIPTION = 3, 120
+
+
+def expand_queries(queries: DataFrame, translate: Ask | None = None, expand: Ask | None = None) -> DataFrame:
+    """Queries with expanded_zh (what to look for in Chinese) and candidate_en (at most three English phrasings).
+
+    translate: an English text; expand: JSON with these two fields. Each text is asked for once, however many queries have it. A description that is missing
+    becomes the query itself, phrasings that are missing the translation, or none if there is none. A service that raises counts as one that has
+    no answer; an answer that is no JSON object leaves the translation alone. Null text counts as empty. queries: text.
+    """
+    let_workers_import(queries.sparkSession)
+
+    def ask(service: Ask | None, text: str) -> str | None:
+        try:
+            return None if service is None else service(text)
+        except Exception:  # a query without an answer is searched as it is
+            return None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch["translated"] = [ask(translate, x) for x in batch["text__"]]
+            batch["said"] = [ask(expand, x) for x in batch["text__"]]
+            yield batch
+
+    text = F.coalesce("text", F.lit(""))
+    replies = stored(queries.select(text.alias("text__")).distinct().mapInPandas(run, "text__ string, translated string, said string"), "replies")
+    english = F.btrim(F.btrim(strip(F.col("translated")), F.lit('"')), F.lit("'"))
+    fallback = F.when(english != "", F.array(english)).otherwise(F.array().cast("array<string>"))
+    whole = F.try_parse_json("said")
+    given = lambda path, kind: F.try_variant_get(whole, path, kind)
+    wide = F.substring(strip(F.coalesce(F.nullif(given("$.expanded_zh", "string"), F.lit("")), F.col("text__"))), 1, DESCRIPTION)
+    listed = F.filter(F.coalesce(given("$.candidate_en", "array<string>"), F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))
+    phrasings = F.slice(F.transform(listed, strip), 1, PHRASINGS)
+    said = given("$", "map<string,variant>").isNotNull()
+    parsed = replies.select(
+        "text__",
+        F.when(said & (wide != ""), wide).otherwise(F.col("text__")).alias("expanded_zh"),
+        F.when(said & (F.size(phrasings) > 0), phrasings).otherwise(fallback).alias("candidate_en"),
+    )
+    return queries.withColumn("text__", text).join(parsed, "text__").drop("text__")
+
+
+def encode_queries(expanded: DataFrame, model, dim: int) -> DataFrame:
+    """Expanded queries with embedding (of the description) and candidates (vectors of the phrasings, in order), as semantic_search takes them.
+
+    expanded: query_id, each once, expanded_zh, candidate_en.
+    """
+    tried = encode(expanded.select("query_id", F.posexplode("candidate_en").alias("at", "phrasing")), model, dim, "phrasing")
+    vectors = tried.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("at", "embedding"))).alias("found__"))
+    none = F.array().cast("array<array<float>>")
+    return encode(expanded, model, dim, "expanded_zh").join(vectors, "query_id", "left").withColumn("candidates", F.coalesce(F.transform("found__", lambda x: x["embedding"]), none)).drop("found__")
