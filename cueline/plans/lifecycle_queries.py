@@ -280,3 +280,16 @@ def stream_windows(spark, sf_dir):
     return feedback_windows(table(spark, sf_dir, "events")).withColumn("value", F.round("value", 4))
 
 
+@query("stream_nodes", f"SELECT md5(x) AS x, min(line_id) AS node_id, count(*) AS occurrence_count FROM (SELECT line_id, {duplicates_sql('en_text')} AS x FROM gated WHERE filter_status = 'passed') GROUP BY x", LINES)
+def stream_nodes(spark, sf_dir):
+    """Nodes of all lines, whose files arrive in three parts; each part is taken by a query that goes on from the checkpoint of the one before."""
+    from cueline.streaming.nodes import ingest_nodes
+    from cueline.workers import shared_folder
+
+    given = lines(spark, sf_dir).select("doc_id", "line_id", "en_text", "word_count")
+    top = given.agg(F.max("doc_id")).first()[0] or 0
+    arriving, checkpoint, out = shared_folder(spark, "arriving"), shared_folder(spark, "checkpoint"), shared_folder(spark, "changed")
+    for k in range(3):
+        given.where((F.col("doc_id") * 3 / (top + 1)).cast("int") == k).drop("doc_id").write.mode("append").parquet(arriving)
+        ingest_nodes(spark, arriving, "line_id long, en_text string, word_count long", lambda rows, n: rows.write.mode("overwrite").parquet(f"{out}/batch={n}"), checkpoint, files=1_000_000).awaitTermination()
+    return spark.read.parquet(out).groupBy("x").agg(F.min("node_id").alias("node_id"), F.max("occurrence_count").alias("occurrence_count")).withColumn("x", F.md5("x"))

@@ -151,6 +151,11 @@ def ids_without_clips(spark, sf_dir):
     return nodes(spark, sf_dir).select("node_id").join(clips(spark, sf_dir), "node_id", "left_anti")
 
 
+@query("ids_without_matches", "SELECT node_id FROM nodes WHERE node_id NOT IN (SELECT node_id FROM clips WHERE node_id IS NOT NULL AND is_active AND clip_status = 'matched')", ("nodes", "clips"))
+def ids_without_matches(spark, sf_dir):
+    return nodes(spark, sf_dir).select("node_id").join(clips(spark, sf_dir).where("is_active AND clip_status = 'matched'"), "node_id", "left_anti")
+
+
 @query("shows_with_nodes", "SELECT DISTINCT source AS show_name FROM documents INTERSECT SELECT show_name FROM nodes WHERE is_active", ("nodes",))
 def shows_with_nodes(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("source").alias("show_name")).intersect(nodes(spark, sf_dir).where("is_active").select("show_name"))
