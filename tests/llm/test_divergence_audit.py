@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cueline.llm import divergence_audit as A
@@ -96,3 +97,51 @@ def test_large_counts(spark):
 
 def test_width():
     assert np.log2(A.LEAST_CELLS) % 1 == 0 and A.DEPTH * A.LEAST_CELLS % (8 * A.SLICES) == 0
+
+
+@pytest.mark.parametrize("chunk", [1, 40, 1 << 20])
+def test_counts_by_arrays(chunk):
+    """Texts that touch, slices of a column, nulls, and texts longer than what is counted at once."""
+    rng = random.Random(chunk)
+    rows = [(None, "a"), ("x", "a"), ("y", "b"), ("", "a"), ("Éa!éa", "b"), (" x", "b"), ("x ", "a"), *[(" ".join(rng.choices(["q", "Q", "rs", "ü", "-", "x1y"], k=rng.randrange(60))), rng.choice("ab")) for _ in range(80)], (None, "b")]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([r[0] for r in rows], pa.string()), "source": [r[1] for r in rows]})
+    n, docs, ids = Counter(), Counter(), {}
+    for c in A._counts(iter([batch.slice(0, 30), batch.slice(30, 0), batch.slice(30)]), ["source"], ids, chunk):
+        groups, terms = list(ids), c.terms.to_pylist()
+        for g, k, many, rows_ in zip(c.group.tolist(), c.place.tolist(), c.n.tolist(), c.docs.tolist(), strict=True):
+            n[groups[g][0].decode(), terms[k].decode()] += many
+            docs[groups[g][0].decode(), terms[k].decode()] += rows_
+    assert n == Counter((s, w) for t, s in rows for w in terms_of(t))
+    assert docs == Counter((s, w) for t, s in rows for w in set(terms_of(t)))
+
+
+def test_long_texts_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(A, "CHUNK", 50)
+    rows = corpus(random.Random(5), 150)
+    assert sorted(map(tuple, A.divergence_audit(spark.createDataFrame(rows, "text string, lang string, source string").repartition(3), 5, 6).collect())) == brute(rows, 5, 6)
+
+
+def test_counts_are_written_and_shuffled_once(spark, monkeypatch):
+    """What is as large as the input's distinct terms is written as one table, and both sides of its join with itself come from one shuffle."""
+    written, plans = [], []
+
+    def stored(df, name):
+        written.append(name)
+        back = keep(df, name)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return back
+
+    keep = A.stored
+    monkeypatch.setattr(A, "stored", stored)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}  # the plan as it is run
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        A.divergence_audit(spark.createDataFrame(corpus(random.Random(3), 100), "text string, lang string, source string"), 5, 5).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert written == ["counts", "groups", "pairs"]
+    assert plans[0].count("Exchange hashpartitioning") == 1
+    assert re.search(r"ReusedExchange \[.*\], Exchange hashpartitioning\(lang#\d+, term#\d+", plans[2])
