@@ -46,3 +46,16 @@ def test_oracle(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_runs(spark, name):
     assert registry.QUERIES[name](spark, str(DATA)).count() > 0
+
+
+@pytest.mark.parametrize("name", ["merge_preview", "merge_lines"])
+def test_open_ends_after_accents(spark, tmp_path, name):
+    """Words that end in an accented letter and what looks like an open end are read as the SQL reads them."""
+    texts = ["Vamos con María\nLuego a casa", "Vamos con Marta\nLuego a casa", "otra vía\nTren\ncafé in\nParis", "solo\nSí a"]
+    rows = [(k, t, "es", "s", len(t)) for k, t in enumerate(texts, 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got, want = registry.QUERIES[name](spark, str(tmp_path)).toArrow(), c.sql(registry.ORACLES[name]).to_arrow_table()
+    rows = lambda t: sorted(tuple(same(r[k]) for k in sorted(want.column_names)) for r in t.to_pylist())
+    assert rows(got) == rows(want)
