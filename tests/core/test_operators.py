@@ -220,3 +220,41 @@ def test_term_counts_of_long_texts(spark):
         assert tfidf_scores(rows).count() == 4
         took[n] = time.perf_counter() - began
     assert took[32_000] < 4 * took[8_000] + 3
+
+
+def test_share_enough():
+    """No pair within the bound is left out, and of texts of the same letters few stay."""
+    from cueline.operators.edit_join import most_edits, share_enough
+
+    rng = random.Random(5)
+    xs = ["".join(rng.choices("abc é", k=rng.randrange(0, 300))) for _ in range(400)]
+    ys = []
+    for x in xs:
+        edited = list(x)
+        for _ in range(rng.randrange(most_edits(max(1, len(x)), 0.15) + 1)):
+            k = rng.randrange(len(edited) + 1)
+            edited[k : k + rng.randrange(2)] = rng.choice(["x", "a", ""])
+        ys.append("".join(edited))
+    bounds = lambda a, b: np.array([most_edits(max(1, len(x), len(y)), 0.15) for x, y in zip(a, b, strict=True)])
+    wide = np.maximum(bounds(xs, ys), bounds(xs, xs))  # as many edits as were made, where these left a shorter text
+    assert share_enough(xs, ys, wide).all() and share_enough(ys, xs, wide).all()
+    words = ["".join(rng.choices("abcdefghijklmno", k=6)) for _ in range(1000)]
+    a, b = ([" ".join(rng.choices(words, k=60)) for _ in range(300)] for _ in range(2))
+    assert share_enough(a, b, bounds(a, b)).mean() < 0.02 and share_enough([], [], np.array([], int)).size == 0
+
+
+def test_near_each_other(spark):
+    """A table with itself: each two texts are a candidate once, and the pairs are those of two tables."""
+    from cueline.operators.edit_join import met
+    from cueline.workers import stored
+
+    rng = random.Random(9)
+    base = ["".join(rng.choices("abcd e", k=rng.randrange(1, 60))) for _ in range(60)]
+    texts = sorted({"".join(c if rng.random() > 0.06 else rng.choice("xy") for c in rng.choice(base)) for _ in range(200)} | {""})
+    rows = stored(spark.createDataFrame([(k % 2, k, t) for k, t in enumerate(texts)], "batch int, id long, text string"))
+    found = [tuple(sorted((r.long_id, r.short_id))) for r in met(rows, rows, ["batch"], own=True).collect()]
+    assert len(found) == len(set(found)) and all(a != b for a, b in found)
+    got = sorted((r.x_id, r.y_id) for r in D.near_each_other(rows, ["batch"]).collect())
+    want = sorted((r.x_id, r.y_id) for r in D.near_texts(rows, rows, ["batch"]).collect())
+    slow = rows.alias("a").join(rows.alias("b"), "batch").where(X.edit_distance(F.col("a.text"), F.col("b.text")) < 0.15).select(F.col("a.id"), F.col("b.id"))
+    assert got == want == sorted(map(tuple, slow.collect())) and len(got) > len(texts) + 20
