@@ -40,3 +40,12 @@ def test_three_batches_and_a_restart(spark, tmp_path):
     assert batches == [0, 1, 2]
     ingest_nodes(spark, path, SCHEMA, sink, checkpoint).awaitTermination(60)
     assert seen == want and batches == [0, 1, 2], "nothing arrived"
+
+
+def test_state_without_python(spark, tmp_path):
+    """Texts and their state stay in the JVM: no call of Python for each text."""
+    from cueline.streaming.nodes import stream_nodes
+
+    lines = spark.readStream.schema(SCHEMA).parquet(str(tmp_path))
+    plan = stream_nodes(lines)._jdf.queryExecution().analyzed().toString()
+    assert "Aggregate" in plan and not any(word in plan for word in ("Python", "Pandas", "Arrow"))
