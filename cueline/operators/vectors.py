@@ -33,6 +33,38 @@ def _blocks(table: DataFrame, key: str, name: str) -> DataFrame:
     return given.mapInArrow(run, f"{name}_ids binary, {name}_rows binary")
 
 
+#: Beyond what products of single precision are off, for vectors of length 1 (of some thousand numbers); and so many nodes in doubt a row are looked at one by one.
+DOUBT, IN_DOUBT = 1e-4, 64
+
+
+def top_pairs(q: np.ndarray, n: np.ndarray, names: np.ndarray, k: int, tile: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, column of n, cosine) of the k highest of each row, ties to the lower name. Products of single precision tell which may be among
+    them, and those in double precision, to twelve digits, which are."""
+    k, single, odd = min(k, len(n)), np.ascontiguousarray(n.astype(np.float32).T), bool(np.isnan(n).any())
+    parts = []
+    for start in range(0, len(q) if k else 0, tile):  # some rows at a time, which stay in the cache
+        part = q[start : start + tile]
+        rough = part.astype(np.float32) @ single
+        # the highest of 64 shares of the columns: of k of them the least is not above the k-th highest of all
+        best = rough[:, : len(n) // 64 * 64].reshape(len(part), -1, 64).max(1) if k <= 16 and len(n) >= 1024 else rough
+        least = np.partition(best, best.shape[1] - k, axis=1)[:, best.shape[1] - k]
+        maybe = rough >= (least - np.float32(DOUBT))[:, None]
+        many = (np.count_nonzero(maybe, axis=1) > k + IN_DOUBT) | np.isnan(part).any(1) | odd
+        if many.any():  # most of all where vectors are copies: all products in double precision
+            at = np.flatnonzero(many)
+            scores = np.round(part[at] @ n.T, 12)
+            order = np.lexsort((np.broadcast_to(names, scores.shape), -scores), axis=1)[:, :k]
+            parts.append((np.repeat(at + start, k), order.ravel(), np.take_along_axis(scores, order, 1).ravel()))
+            maybe[many] = False
+        rows, columns = np.divmod(np.flatnonzero(maybe), len(n))
+        scores = np.round((part[rows] * n[columns]).sum(1), 12)
+        order = np.lexsort((names[columns], -scores, rows))
+        rows, columns, scores = rows[order], columns[order], scores[order]
+        first = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+        parts.append((rows[first] + start, columns[first], scores[first]))
+    return tuple(np.concatenate([np.empty(0, t), *x]) for t, x in zip((np.int64, np.int64, float), zip(*parts, strict=True) if parts else ((), (), ()), strict=True))
+
+
 def nearest(queries: DataFrame, nodes: DataFrame, k: int, key: str = "query_id") -> DataFrame:
     """The k nodes of highest cosine for each query: key, node_id, similarity, rank; ties go to the lower node_id.
 
@@ -45,9 +77,8 @@ def nearest(queries: DataFrame, nodes: DataFrame, k: int, key: str = "query_id")
         for batch in batches:
             for q_ids, q_rows, n_ids, n_rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids, names = np.frombuffer(q_ids, np.int64), np.frombuffer(n_ids, np.int64)
-                scores = np.round(np.frombuffer(q_rows).reshape(len(ids), -1) @ np.frombuffer(n_rows).reshape(len(names), -1).T, 12)
-                order = np.lexsort((np.broadcast_to(names, scores.shape), -scores), axis=1)[:, :k]
-                yield pa.RecordBatch.from_pydict({"q": pa.array(np.repeat(ids, order.shape[1])), "node_id": pa.array(names[order].ravel()), "similarity": pa.array(np.take_along_axis(scores, order, 1).ravel())})
+                rows, columns, scores = top_pairs(np.frombuffer(q_rows).reshape(len(ids), -1), np.frombuffer(n_rows).reshape(len(names), -1), names, k)
+                yield pa.RecordBatch.from_pydict({"q": pa.array(ids[rows]), "node_id": pa.array(names[columns]), "similarity": pa.array(scores)})
 
     met = _blocks(queries, key, "q").crossJoin(_blocks(nodes, "node_id", "n"))  # of blocks, not of rows
     found = met.select("q_ids", "q_rows", "n_ids", "n_rows").mapInArrow(run, "q long, node_id long, similarity double")

@@ -258,3 +258,19 @@ def test_near_each_other(spark):
     want = sorted((r.x_id, r.y_id) for r in D.near_texts(rows, rows, ["batch"]).collect())
     slow = rows.alias("a").join(rows.alias("b"), "batch").where(X.edit_distance(F.col("a.text"), F.col("b.text")) < 0.15).select(F.col("a.id"), F.col("b.id"))
     assert got == want == sorted(map(tuple, slow.collect())) and len(got) > len(texts) + 20
+
+
+def test_top_pairs():
+    """The k highest of each row with ties to the lower name, as sorting all products gives them, with copies and vectors that differ by less than single precision."""
+    rng = np.random.default_rng(7)
+    for copies, near, k, size in ((0, 0, 5, 400), (150, 0, 4, 400), (0, 40, 3, 400), (3, 300, 700, 400), (90, 20, 16, 1100)):
+        n = rng.normal(size=(size, 16))
+        n[:copies] = n[0]
+        n[50 : 50 + near] = n[50] + rng.normal(size=(len(n[50 : 50 + near]), 16)) * 1e-8
+        n /= np.linalg.norm(n, axis=1, keepdims=True)
+        q, names = np.concatenate([n[:60], -n[:5], np.zeros((1, 16)), np.full((1, 16), np.nan)]), rng.permutation(size)
+        scores = np.round(np.stack([(n * x).sum(1) for x in q]), 12)
+        order = np.lexsort((np.broadcast_to(names, scores.shape), -scores), axis=1)[:, :k]
+        rows, columns, found = V.top_pairs(q, n, names, k)
+        assert {(int(r), int(names[c])) for r, c in zip(rows, columns)} == {(r, int(c)) for r in range(len(q)) for c in names[order[r]]} and len(rows) == order.size
+        assert np.allclose(found, scores[rows, columns], equal_nan=True)
