@@ -274,3 +274,17 @@ def test_top_pairs():
         rows, columns, found = V.top_pairs(q, n, names, k)
         assert {(int(r), int(names[c])) for r, c in zip(rows, columns)} == {(r, int(c)) for r in range(len(q)) for c in names[order[r]]} and len(rows) == order.size
         assert np.allclose(found, scores[rows, columns], equal_nan=True)
+
+
+def test_pieces_that_are_nowhere():
+    """Texts whose pieces no other text has choose none, and what others have is still chosen."""
+    from cueline.operators.edit_join import SLOTS, _slots, choose, codes, piece_hashes
+
+    counts = np.zeros(SLOTS, np.int32)
+    texts = [codes("the quick brown fox jumps over the lazy dog while seven old wizards brew a mighty potion and judge my vow of black quartz"), codes("something else that nobody has said before now")]
+    counts[_slots(piece_hashes(texts[0], 6))] = 2
+    assert [k for k, *_ in choose(texts, counts, 0.15)] == [0]
+    few = np.zeros(SLOTS, np.int32)
+    few[_slots(piece_hashes(texts[0][:90], 6))] = 1
+    (_, edits, places, hashes), = choose(texts[:1], few, 0.15)
+    assert 0 < len(places) < edits + 1 and (few[_slots(hashes)] > 0).all()
