@@ -7,10 +7,13 @@ which depends on what came before, run in Python.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from cueline.functions import lexicon as L
 from cueline.functions.text import bilingual, clock_seconds, cue_ms, ms_clock, squeeze, strip, word_count
@@ -93,7 +96,7 @@ def parse_vtt(files: DataFrame) -> DataFrame:
 def ass_events(files: DataFrame) -> DataFrame:
     """file, n, part, times and text of the dialogue events of ASS and SSA texts, cut at their line breaks and without tags."""
     rows = files.select("file", F.posexplode(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"\r\n?", "\n"), "\n")).alias("n", "line")).where(F.regexp_like("line", F.lit(r"^\s*Dialogue:")))
-    fields = F.split(F.regexp_replace("line", r"^\s*Dialogue:\s*", ""), ",", 10)
+    fields, rows = F.col("fields"), rows.withColumn("fields", F.explode(F.array(F.split(F.regexp_replace("line", r"^\s*Dialogue:\s*", ""), ",", 10))))  # once a line
     events = rows.select("file", "n", clock_seconds(F.try_element_at(fields, F.lit(2))).alias("start_time"), clock_seconds(F.try_element_at(fields, F.lit(3))).alias("end_time"), F.posexplode(F.split(F.coalesce(F.try_element_at(fields, F.lit(10)), F.lit("")), r"\\[Nn]")).alias("part", "raw"))
     return events.withColumn("text", squeeze(F.regexp_replace("raw", r"\{[^}]*\}", " "))).where("text <> '' AND start_time IS NOT NULL AND end_time IS NOT NULL").drop("raw")
 
@@ -101,18 +104,23 @@ def ass_events(files: DataFrame) -> DataFrame:
 def parse_ass(files: DataFrame, within: float = 0.1) -> DataFrame:
     """Rows as of parse_srt(): events that start less than `within` after the first one of their group are one block."""
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["start_time", "n", "part"], kind="stable")
-        block, start, blocks = -1, None, []
-        for t in part["start_time"]:
-            if start is None or abs(start - t) >= within:
-                block, start = block + 1, t
-            blocks.append(block)
-        return part.assign(block=blocks)[["file", "block", "n", "part", "start_time", "end_time", "text"]]
-
-    dealt = ass_events(files).groupBy("file").applyInPandas(fold, "file string, block int, n int, part int, start_time double, end_time double, text string")
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, block, first = object(), 0, 0.0
+        for batch in batches:
+            blocks = []
+            for file, start in zip(batch.column("file").to_pylist(), batch.column("start_time").to_pylist(), strict=True):
+                if file != last:
+                    last, block, first = file, 0, start
+                elif abs(first - start) >= within:
+                    block, first = block + 1, start
+                blocks.append(block)
+            yield batch.append_column("block", pa.array(blocks, pa.int32()))
+
+    events = ass_events(files)  # sorted by file in each task, and numbered as they come
+    schema = StructType([*events.schema.fields, StructField("block", IntegerType())])
+    dealt = events.repartition("file").sortWithinPartitions("file", "start_time", "n", "part").mapInArrow(number, schema)
     grouped = dealt.groupBy("file", "block").agg(F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), F.transform(F.array_sort(F.collect_list(F.struct("start_time", "n", "part", "text"))), lambda x: x["text"]).alias("texts"))
-    rows = grouped.withColumn("both", bilingual(F.col("texts")))
+    rows = grouped.withColumn("both", F.explode(F.array(bilingual(F.col("texts")))))  # of one: a condition on it is not computed before it
     return rows.select("file", "block", "start_time", "end_time", F.col("both.en").alias("en_text"), F.col("both.zh").alias("zh_text")).where("en_text <> ''").withColumn("word_count", word_count(F.col("en_text")))
 
 

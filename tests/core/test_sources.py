@@ -118,3 +118,30 @@ def test_caption_source(spark, tmp_path):
     (loose / "deep" / "b.srt").write_bytes("naïve café".encode("cp1252"))
     (loose / "c.txt").write_text("no")
     assert [(r.kind, r.text) for r in spark.read.format("captions").load(str(loose)).collect()] == [("srt", "naïve café")]
+
+
+def test_ass_groups_without_a_call_a_file(spark):
+    """Events of many files, dealt over several tasks and Arrow batches, are grouped within their file, and no file costs a call of Python."""
+    from cueline.sources.captions import parse_ass
+
+    clock = lambda ms: f"0:{ms // 60000:02d}:{ms // 1000 % 60:02d}.{ms // 10 % 100:02d}"
+    starts = {f"f{k}": [(i * (37 + k)) % 700 * 10 for i in range(3 + k * 11 % 50)] for k in range(40)} | {None: [0, 50, 100, 300]}
+    rows = [(f, "".join(f"Dialogue: 0,{clock(t)},{clock(t + 2000)},Default,,0,0,0,,line {i}\n" for i, t in enumerate(ts))) for f, ts in starts.items()]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = parse_ass(spark.createDataFrame(rows, "file string, text string").repartition(5))
+        plan = out._jdf.queryExecution().analyzed().toString()
+        got = sorted(((str(r.file), r.block, r.en_text) for r in out.collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert "FlatMapGroupsInPandas" not in plan
+    want = []
+    for f, ts in starts.items():
+        blocks = []
+        for t, i in sorted((t, i) for i, t in enumerate(ts)):
+            if not blocks or t / 1000 - blocks[-1][0] >= 0.1:
+                blocks.append((t / 1000, []))
+            blocks[-1][1].append(f"line {i}")
+        want += [(str(f), k, " ".join(texts)) for k, (_, texts) in enumerate(blocks)]
+    assert got == sorted(want)
