@@ -288,3 +288,22 @@ def test_pieces_that_are_nowhere():
     few[_slots(piece_hashes(texts[0][:90], 6))] = 1
     (_, edits, places, hashes), = choose(texts[:1], few, 0.15)
     assert 0 < len(places) < edits + 1 and (few[_slots(hashes)] > 0).all()
+
+
+def test_nodes_are_read_once(spark):
+    """A batch is held against its nodes several times, and these are computed once."""
+    from cueline.operators import lifecycle as M
+
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        calls.add(1)
+        return x
+
+    nodes = spark.createDataFrame([(k, f"node number {k} says so", [float(k), 1.0]) for k in range(7)], "node_id long, t string, embedding array<float>")
+    nodes = nodes.select("node_id", counted.asNondeterministic()("t").alias("text"), "embedding", F.lit(True).alias("is_active"), F.lit(None).cast("long").alias("subtitle_id"))
+    lines = spark.createDataFrame([(k, f"I really think we should go home now {k}", 9, "s", "e", float(k), [1.0, float(k)]) for k in range(9)], "line_id long, text string, word_count long, show_name string, episode string, start_time double, embedding array<float>")
+    assert M.ingest(lines, nodes).count() == 9 and calls.value == 7
+    gated = lines.withColumn("filter_status", F.lit("passed"))
+    assert M.sync_episode(gated, nodes).count() == 9 and calls.value == 14
